@@ -1,0 +1,217 @@
+"""Encoding of whole texts through bounded caches of blank-separated chunks and words.
+
+A byte-pair encoder works on each match of its split pattern separately, and no
+match of the patterns in use spans from a visible character to a following blank.
+So a text may be cut in front of every blank or line feed that stands between two
+visible characters, and the ids of the parts are the ids of the text. Natural text
+repeats most of its chunks, so most of the work becomes dictionary look-ups.
+"""
+
+from __future__ import annotations
+
+import functools
+import os
+import re
+from collections.abc import Callable
+
+import numpy as np
+
+#: Longer chunks and words are encoded but not kept.
+KEEP_CHARS = 40
+#: Chunks and words kept by each Python worker.
+KEEP_CHUNKS, KEEP_WORDS = 600_000, 400_000
+#: Chunks that every pattern engine splits alike: a blank or line feed at most, then
+#: visible characters of the first Latin blocks.
+PLAIN = re.compile("[ \n]?[!-~¡-ɏ]+")
+
+
+def visible(char: str) -> bool:
+    """Whether ``char`` is surely no white space in any of the pattern engines."""
+    return "!" <= char <= "~" or char.isalnum()
+
+
+def cuttable(chunk: str) -> bool:
+    """Whether a chunk begins (after one line feed) and ends with a visible character."""
+    body = chunk[1:] if chunk[:1] == "\n" else chunk
+    return bool(body) and visible(body[0]) and visible(body[-1])
+
+
+def joined(chunk: str) -> str:
+    """A chunk with the blank or line feed that stands before it."""
+    return chunk if chunk[:1] == "\n" else " " + chunk
+
+
+class ChunkEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    encode_many: ids, in that form, of each of a list of strings. A full cache starts
+    again, so memory stays bounded whatever the number of different words.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], capacity: int = KEEP_CHUNKS):
+        self.encode_many = encode_many
+        self.capacity = capacity
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; None counts as empty."""
+        if len(self.kept) > self.capacity:
+            self.kept.clear()
+        get = self.kept.get
+        found: list[list] = []
+        new: dict[str, str] = {}  # by what is to be encoded: the chunk to keep it under, or ""
+        for text in texts:
+            if not text:
+                found.append([])
+                continue
+            chunks = text.replace("\n", " \n").split(" ")
+            parts = [*map(get, chunks)]
+            parts[0] = None  # the first chunk has nothing before it
+            misses = [i for i, x in enumerate(parts) if x is None]
+            head = chunks[0]
+            if head and visible(head[0]) and visible(head[-1]) and all(cuttable(chunks[i]) for i in misses[1:]):
+                parts[0] = head
+                new.setdefault(head, "")
+                for i in misses[1:]:
+                    chunk = chunks[i]
+                    parts[i] = whole = joined(chunk)
+                    if len(chunk) <= KEEP_CHARS:
+                        new[whole] = chunk
+                    else:
+                        new.setdefault(whole, "")
+            else:
+                parts = runs(chunks)
+                for x in parts:
+                    new.setdefault(x, "")
+            found.append(parts)
+        todo = [*new]
+        ids = dict(zip(todo, self.encode_many(todo))) if todo else {}
+        for whole, chunk in new.items():
+            if chunk:
+                self.kept[chunk] = ids[whole]
+        return [b"".join([x if type(x) is bytes else ids[x] for x in parts]) for parts in found]
+
+
+def runs(chunks: list[str]) -> list[str]:
+    """The text of ``chunks`` cut only between visible characters.
+
+    A run of chunks that begin or end otherwise is joined with the chunk on either side.
+    """
+    out = [chunks[0]]
+    open_end = not (chunks[0] and visible(chunks[0][-1]))
+    for chunk in chunks[1:]:
+        whole = joined(chunk)
+        if open_end or not (len(whole) > 1 and visible(whole[1])):
+            out[-1] += whole
+        else:
+            out.append(whole)
+        open_end = not visible(whole[-1])
+    return out
+
+
+class WordCache:
+    """encode_many for plain chunks by way of their words (matches of a split pattern).
+
+    words: the words of a plain chunk without its line feed. encode_words: ids of each
+    of a list of words. whole: ids of strings that aren't plain. feed: ids of a line feed.
+    """
+
+    def __init__(self, words, encode_words, whole, feed: bytes, capacity: int = KEEP_WORDS):
+        self.words, self.encode_words, self.whole, self.feed, self.capacity = words, encode_words, whole, feed, capacity
+        self.kept: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.kept) > self.capacity:
+            self.kept.clear()
+        plain = [self.words(t.lstrip("\n")) if PLAIN.fullmatch(t) else None for t in texts]
+        new = dict.fromkeys(w for x in plain if x for w in x if w not in self.kept)
+        ids = dict(zip(new, self.encode_words([*new]))) if new else {}
+        odd = [t for t, x in zip(texts, plain) if x is None]
+        other = iter(self.whole(odd) if odd else ())
+        kept = self.kept
+        out = [
+            next(other) if x is None else (self.feed if t[0] == "\n" else b"") + b"".join([kept[w] if w in kept else ids[w] for w in x])
+            for t, x in zip(texts, plain)
+        ]
+        for w, x in ids.items():
+            if len(w) <= KEEP_CHARS:
+                kept[w] = x
+        return out
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def split_after(ids: list[int], ends: np.ndarray, n: int) -> list[bytes] | None:
+    """``ids`` cut behind each id that ``ends`` marks; None unless that makes n parts."""
+    a = np.array(ids, dtype="<u4")
+    cuts = np.flatnonzero(ends[a]) + 1
+    if len(cuts) != n or (n and cuts[-1] != len(a)):
+        return None
+    raw, at = a.tobytes(), [0, *(cuts * 4).tolist()]
+    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+
+@functools.cache
+def library_encoder(path: str) -> ChunkEncoder:
+    """A ChunkEncoder over the tokenizers library and the vocabulary file at ``path``.
+
+    One for each Python worker and file, so that its caches outlive a task. Strings of
+    special tokens that stand in a text are ordinary text.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    word_ends = [i for x, i in vocabulary.items() if x.endswith("</w>")]
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [as_bytes(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if word_ends:
+        # Fixed value: the split pattern in the vocabulary file. Words are in lower case.
+        pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        ends[word_ends] = True
+
+        def words(chunk: str) -> list[str]:
+            return pattern.findall(chunk.lower())
+
+        def encode_words(found: list[str]) -> list[bytes]:
+            ids = tokenizer.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids
+            return split_after(ids, ends, len(found)) or whole(found)
+
+        plain = WordCache(words, encode_words, whole, b"")
+        return ChunkEncoder(lambda texts: mixed(texts, plain, whole))
+
+    import public_tokenizers
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    ends[feed] = True
+
+    def encode_words(found: list[str]) -> list[bytes]:
+        ids = tokenizer.encode_batch_fast(["\n".join(found) + "\n"], add_special_tokens=False)[0].ids
+        parts = split_after(ids, ends, len(found))
+        return [x[:-4] for x in parts] if parts else whole(found)
+
+    return ChunkEncoder(WordCache(pattern.findall, encode_words, whole, as_bytes(feed)))
+
+
+def mixed(texts: list[str], plain: WordCache, whole) -> list[bytes]:
+    """Dotted capital I turns into two characters in lower case, which only the library does as it should."""
+    odd = [t for t in texts if "İ" in t]
+    if not odd:
+        return plain(texts)
+    known = dict(zip(odd, whole(odd)))
+    rest = iter(plain([t for t in texts if t not in known]))
+    return [known[t] if t in known else next(rest) for t in texts]
+
+
