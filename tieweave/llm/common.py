@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,7 +99,7 @@ def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
             yield batch
         return
     begin, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         held += n or 0
         if held >= SLICE_BYTES:
             yield batch.slice(begin, i + 1 - begin)

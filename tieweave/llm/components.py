@@ -1,0 +1,51 @@
+"""Connected components of an edge table, by rounds of hooking and contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+
+#: Hooks are followed 2 ** JUMPS steps within a round.
+JUMPS = 3
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node of ``edges``; root is the least node reachable.
+
+    In each round every node hooks to its least neighbour, chains of hooks are
+    shortened, and the edges are contracted to what still joins different labels. The
+    edges left shrink by a constant factor or more, so rounds grow with the logarithm of
+    the longest path. Both tables are checkpointed in each round; nothing but "is any
+    edge left" reaches the driver.
+    """
+    left = checkpointed(
+        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
+    )
+    labels = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+        for _ in range(JUMPS):
+            hooks = _follow(hooks, hooks)
+        hooks = checkpointed(hooks)
+        labels = checkpointed(hooks if labels is None else _follow(labels, hooks))
+        ends = hooks.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+        others = hooks.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+        left = checkpointed(
+            left.join(ends, "a")
+            .join(others, "b")
+            .where("root_a != root_b")
+            .select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+            .distinct()
+        )
+    if labels is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return labels
+
+
+def _follow(labels: DataFrame, hooks: DataFrame) -> DataFrame:
+    """``labels`` with each root replaced by what ``hooks`` has for it, if anything."""
+    step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import scratch_path, table
 from .packing import pack_powers_of_two
+from .simhash import near_duplicates
 from .token_files import read_token_files, with_crc32, write_token_files
 
 
@@ -32,6 +33,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
