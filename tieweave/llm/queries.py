@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact
+from . import exact, quality
 from .bpe import encode_decode
 from .common import scratch_path, table
 from .packing import pack_powers_of_two
@@ -43,11 +43,50 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 SQL = {
+    "op10_quality_rules": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+        judged AS (
+            SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+                length(regexp_replace(line, '[^|<>]', '', 'g')) AS separators
+            FROM lines),
+        losses AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+                sum(n) FILTER (
+                    symbols > 0 AND (5 * separators >= n OR 5 * symbols > n)
+                    OR n >= 3 AND regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}')
+                    OR regexp_matches(line, '(?i)BOILERPLATE')
+                    OR n < 12 AND NOT regexp_matches(line, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$')) AS lost
+            FROM judged WHERE n > 0 GROUP BY doc_id),
+        words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols
+            FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words),
+        windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM places),
+        repeats AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows),
+        covered AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM repeats WHERE c > 1),
+        repeated AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+        counts AS (
+            SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols,
+                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+            FROM words LEFT JOIN losses USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+        base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+            NOT base_failed AND lost <= 0.3 * n_words AS kept
+        FROM base
+    """.replace("BOILERPLATE", "|".join(quality.BOILERPLATE)),
     "op8_exact_dedup": """
         WITH texts AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
