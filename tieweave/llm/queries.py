@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, quality
+from . import chat, exact, langid, quality, urls
 from .bpe import encode_decode
 from .common import scratch_path, table
 from .packing import pack_powers_of_two
@@ -40,6 +40,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.segments(table(spark, sf_dir, "conversations"))
+    return rendered.select("conv_id", "position", "n_turns", "copies", "role", F.sha2("segment", 256).alias("segment_sha256"), "trained")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,6 +54,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    urls.Rule("net/", "block"),
+    urls.Rule("example.net/en/", "allow"),
+    urls.Rule("example.com/de/", "block"),
+    urls.Rule("org/fr/", "allow"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
@@ -58,6 +75,94 @@ def queries() -> dict:
 
 
 SQL = {
+    "op5_chat_formatting": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS position,
+                coalesce(role, '') AS role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS segment
+            FROM conversations),
+        prefixes AS (
+            SELECT conv_id, position, count(*) OVER (PARTITION BY conv_id) AS n_turns, role, segment,
+                sha256(string_agg(sha256(segment), '') OVER (PARTITION BY conv_id ORDER BY position)) AS prefix
+            FROM turns),
+        whole AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies FROM prefixes WHERE position = n_turns GROUP BY prefix),
+        kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE position < n_turns))
+        SELECT conv_id, position, n_turns, copies, role, sha256(segment) AS segment_sha256, role = 'assistant' AS trained
+        FROM prefixes JOIN kept USING (conv_id)
+    """,
+    "op9_url_filters": """
+        WITH whole AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parsed AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM whole),
+        ruled AS (
+            SELECT *, CASE
+                WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+                list_filter(string_split(path, '/'), lambda x: x <> '') AS seg
+            FROM parsed),
+        cut AS (
+            SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS v,
+                seg[1] AS s1, seg[2] AS s2, CASE WHEN len(seg) > 3 THEN '**' ELSE seg[3] END AS s3
+            FROM ruled),
+        counts AS (
+            SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (v = 'block') AS bad, count(*) FILTER (v = 'allow') AS good FROM cut GROUP BY ALL),
+        kinds1 AS (SELECT host, s1, sum(n) AS own FROM counts WHERE s1 IS NOT NULL GROUP BY ALL),
+        named1 AS (
+            SELECT *, CASE WHEN count(*) OVER w >= 8 AND 10 * own <= sum(own) OVER w OR count(*) OVER w >= 2 AND regexp_matches(s1, '[0-9]') THEN '*' ELSE s1 END AS t1
+            FROM kinds1 WINDOW w AS (PARTITION BY host)),
+        level1 AS (
+            SELECT l.*, r.t1 FROM counts l LEFT JOIN named1 r ON l.host = r.host AND l.s1 = r.s1),
+        kinds2 AS (SELECT host, t1, s2, sum(n) AS own FROM level1 WHERE s2 IS NOT NULL GROUP BY ALL),
+        named2 AS (
+            SELECT *, CASE WHEN count(*) OVER w >= 8 AND 10 * own <= sum(own) OVER w OR count(*) OVER w >= 2 AND regexp_matches(s2, '[0-9]') THEN '*' ELSE s2 END AS t2
+            FROM kinds2 WINDOW w AS (PARTITION BY host, t1)),
+        level2 AS (
+            SELECT l.*, r.t2 FROM level1 l LEFT JOIN named2 r ON l.host = r.host AND l.s2 = r.s2 AND l.t1 IS NOT DISTINCT FROM r.t1),
+        kinds3 AS (SELECT host, t1, t2, s3, sum(n) AS own FROM level2 WHERE s3 IS NOT NULL GROUP BY ALL),
+        named3 AS (
+            SELECT *, CASE WHEN count(*) OVER w >= 8 AND 10 * own <= sum(own) OVER w OR count(*) OVER w >= 2 AND regexp_matches(s3, '[0-9]') THEN '*' ELSE s3 END AS t3
+            FROM kinds3 WINDOW w AS (PARTITION BY host, t1, t2)),
+        level3 AS (
+            SELECT l.*, r.t3 FROM level2 l LEFT JOIN named3 r ON l.host = r.host AND l.s3 = r.s3 AND l.t1 IS NOT DISTINCT FROM r.t1 AND l.t2 IS NOT DISTINCT FROM r.t2),
+        ways2 AS (SELECT host, t1, t2, coalesce(t3, '') AS below, sum(n) AS n FROM level3 WHERE t2 IS NOT NULL GROUP BY ALL),
+        pooled2 AS (
+            SELECT *, n / sum(n) OVER (PARTITION BY host, t1, t2) - sum(n) OVER (PARTITION BY host, t1, below) / sum(n) OVER (PARTITION BY host, t1) AS more,
+                dense_rank() OVER (PARTITION BY host, t1 ORDER BY t2) AS place
+            FROM ways2),
+        node2 AS (SELECT *, max(place) OVER (PARTITION BY host, t1) AS branches FROM pooled2),
+        alike2 AS (
+            SELECT host, t1, t2 FROM node2 GROUP BY host, t1, t2
+            HAVING round(sum(greatest(more, 0)), 9) <= round(0.1 + 1 / sqrt(sum(n)), 9) AND max(branches) > 1
+                AND 2 * sum(CASE WHEN below <> '' THEN n ELSE 0 END) >= sum(n)),
+        merged2 AS (
+            SELECT l.* REPLACE (CASE WHEN r.host IS NULL THEN l.t2 ELSE '{}' END AS t2)
+            FROM level3 l LEFT JOIN alike2 r ON l.host = r.host AND l.t1 = r.t1 AND l.t2 = r.t2),
+        ways1 AS (SELECT host,  t1, concat_ws('/', t2, t3) AS below, sum(n) AS n FROM merged2 WHERE t1 IS NOT NULL GROUP BY ALL),
+        pooled1 AS (
+            SELECT *, n / sum(n) OVER (PARTITION BY host,  t1) - sum(n) OVER (PARTITION BY host,  below) / sum(n) OVER (PARTITION BY host) AS more,
+                dense_rank() OVER (PARTITION BY host ORDER BY t1) AS place
+            FROM ways1),
+        node1 AS (SELECT *, max(place) OVER (PARTITION BY host) AS branches FROM pooled1),
+        alike1 AS (
+            SELECT host,  t1 FROM node1 GROUP BY host,  t1
+            HAVING round(sum(greatest(more, 0)), 9) <= round(0.1 + 1 / sqrt(sum(n)), 9) AND max(branches) > 1
+                AND 2 * sum(CASE WHEN below <> '' THEN n ELSE 0 END) >= sum(n)),
+        merged1 AS (
+            SELECT l.* REPLACE (CASE WHEN r.host IS NULL THEN l.t1 ELSE '{}' END AS t1)
+            FROM merged2 l LEFT JOIN alike1 r ON l.host = r.host AND l.t1 = r.t1),
+        totals AS (
+            SELECT host, s1, s2, s3, concat_ws('/', '', t1, t2, t3) AS template, sum(bad) OVER w AS n_bad, sum(good) OVER w AS n_good,
+                sum(n - bad - good) OVER w AS n_unlabelled
+            FROM merged1 WINDOW w AS (PARTITION BY host, concat_ws('/', '', t1, t2, t3)))
+        SELECT page_id, cut.host, path, rule, template, n_bad::BIGINT AS n_bad, n_good::BIGINT AS n_good, n_unlabelled::BIGINT AS n_unlabelled,
+            coalesce(v, CASE WHEN 4 * n_bad > 4 * (n_good + 2) + n_unlabelled THEN 'block' ELSE 'allow' END) AS verdict
+        FROM cut JOIN totals t ON cut.host = t.host AND cut.s1 IS NOT DISTINCT FROM t.s1
+            AND cut.s2 IS NOT DISTINCT FROM t.s2 AND cut.s3 IS NOT DISTINCT FROM t.s3
+    """,
     "op10_quality_rules": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
