@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat, exact, langid, quality, urls
 from .bpe import encode_decode
 from .common import scratch_path, table
+from .line_dedup import line_report
 from .packing import pack_powers_of_two
 from .simhash import near_duplicates
 from .token_files import read_token_files, with_crc32, write_token_files
@@ -45,6 +46,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.select("conv_id", "position", "n_turns", "copies", "role", F.sha2("segment", 256).alias("segment_sha256"), "trained")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -198,6 +204,31 @@ SQL = {
             NOT base_failed AND lost <= 0.3 * n_words AS kept
         FROM base
     """.replace("BOILERPLATE", "|".join(quality.BOILERPLATE)),
+    "op6_line_dedup": """
+        WITH numbered AS (
+            SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS raw
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+        lines AS (
+            SELECT doc_id, line, w, len(w) AS n, array_to_string(w, ' ') AS own
+            FROM (SELECT doc_id, line, regexp_extract_all(
+                translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM numbered)
+            WHERE len(w) > 0),
+        different AS (SELECT own, any_value(w) AS w, any_value(n) AS n, min((doc_id, line)) AS place FROM lines WHERE n >= 3 GROUP BY own),
+        places AS (SELECT own, w, place, unnest(range(1, n + 1)) AS i FROM different WHERE n >= 8),
+        rests AS (SELECT own, place, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS rest FROM places),
+        replaced AS (SELECT own, place > min(place) OVER (PARTITION BY i, rest) AS late FROM rests),
+        near AS (
+            SELECT own FROM replaced WHERE late
+            UNION SELECT r.own FROM rests r JOIN different d ON d.own = r.rest AND d.n >= 8 WHERE d.place < r.place
+            UNION SELECT d.own FROM rests r JOIN different d ON d.own = r.rest AND d.n >= 8 WHERE r.place < d.place),
+        gone AS (
+            SELECT DISTINCT l.doc_id, l.line FROM lines l JOIN different d USING (own)
+            WHERE d.place <> (l.doc_id, l.line) OR l.own IN (SELECT own FROM near)),
+        dropped AS (SELECT doc_id, count(*) AS n_dropped, string_agg(line::VARCHAR, ',' ORDER BY line) AS dropped FROM gone GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped
+        FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN dropped USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH texts AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
