@@ -144,7 +144,7 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     # Bin b holds the places from b * n // bins up to where the next one begins.
     numbered = scored.withColumn("place", place).withColumn("total", total).withColumn("bin", F.floor(((F.col("place") + 1) * bins - 1) / F.col("total")))
     return numbered.groupBy("bin").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("share")
+        F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("*"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("share")
     )
 
 

@@ -459,7 +459,7 @@ SQL: dict[str, str] = {
     "fs_score_pairs": _graph("SELECT * FROM banded", _PEOPLE),
     "fs_bands": _graph("SELECT band, across, count(*) AS n FROM banded GROUP BY ALL", _PEOPLE),
     "calib_threshold": f"WITH {_SCORED} SELECT min(score) AS threshold FROM (SELECT score, sum(label) OVER w / count(*) OVER w AS p FROM gold WINDOW w AS (ORDER BY score DESC, label DESC ROWS UNBOUNDED PRECEDING)) WHERE p >= 0.9",
-    "calib_reliability": f"WITH {_SCORED} SELECT b AS bin, count(*) AS n, round(avg(score), 4) AS mean_score, round(avg(label), 4) AS share FROM (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS p, count(*) OVER () AS n FROM gold) JOIN range(10) r(b) ON p >= b * n // 10 AND p < (b + 1) * n // 10 GROUP BY b",
+    "calib_reliability": f"WITH {_SCORED} SELECT b AS bin, count(*) AS n, round(sum(score::DECIMAL(18,6))::DOUBLE / count(*), 4) AS mean_score, round(avg(label), 4) AS share FROM (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS p, count(*) OVER () AS n FROM gold) JOIN range(10) r(b) ON p >= b * n // 10 AND p < (b + 1) * n // 10 GROUP BY b",
     "calib_report": f"WITH {_SCORED} SELECT kind, count(*) AS n, round(min(score), 4) AS least, round(quantile_cont(score, 0.5), 4) AS median, round(max(score), 4) AS most FROM gold GROUP BY kind",
     "graph_load_nodes": _graph("SELECT * FROM node"),
     "graph_types": _graph("SELECT entity_type, count(*) AS n FROM ents GROUP BY 1"),
