@@ -7,7 +7,7 @@ steps. Amounts are decimals, scores are rounded as in the operators.
 from __future__ import annotations
 
 from ..functions import text as words
-from ..operators import findings
+from ..operators import findings, reads
 from ..schemas import SOURCE_PRIORS, STATEMENT_TYPES
 
 _AS_OF = "DATE '2001-08-01'"
@@ -355,6 +355,7 @@ _PATH = f"""{_ADJ},
         FROM (SELECT adj.b, min(w.path) AS path, any_value(w.hop) AS hop FROM walk w JOIN adj ON adj.a = w.id WHERE NOT list_contains(w.path, adj.b) GROUP BY adj.b)
         WHERE hop < 4),
     best AS (SELECT path FROM walk WHERE id = 'P11' ORDER BY hop, path LIMIT 1)"""
+_LABELS = "labels(s, label) AS (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in reads.REGISTERS.items()) + ")"
 _RANKED = """
     covered AS (
         SELECT subject_id AS entity_id FROM stm JOIN mps ON mps.entity_id = subject_id WHERE statement_type IN ('DIRECTOR_OF', 'OWNS', 'ADVISER_TO')
@@ -487,4 +488,43 @@ SQL: dict[str, str] = {
     "ties_of": _graph("""SELECT statement_type, direction, o AS other_id, e.name AS other, confidence, strength, round(2 * strength + confidence, 4) AS score, max(round(2 * strength + confidence, 4)) OVER (PARTITION BY statement_type) AS group_score,
             row_number() OVER (PARTITION BY statement_type ORDER BY round(2 * strength + confidence, 4) DESC, statement_id)::INT AS place
         FROM (SELECT 'out' AS direction, object_id AS o, * FROM stm WHERE subject_id = 'P7' UNION ALL SELECT 'in', subject_id, * FROM stm WHERE object_id = 'P7') JOIN ents e ON e.entity_id = o"""),
+    "graph_registers": _graph("SELECT DISTINCT coalesce(label, s) AS register FROM (SELECT unnest(sources) AS s FROM stm) LEFT JOIN labels USING (s)", _LABELS),
+    "graph_load_links": _graph("""SELECT statement_id, subject_id, object_id, replace(lower(statement_type), '_', ' ') AS relation, method, '£' || format('{:,}', round(amount_gbp)::BIGINT) AS amount, confidence, strength,
+            CASE WHEN confidence >= 0.8 THEN 'Established' WHEN confidence >= 0.5 THEN 'Probable' ELSE 'Lead' END AS tier,
+            CASE WHEN strength >= 0.75 THEN 'very strong' WHEN strength >= 0.5 THEN 'strong' WHEN strength >= 0.25 THEN 'moderate' ELSE 'weak' END AS band
+        FROM stm JOIN (SELECT statement_id, string_agg(coalesce(label, s), ' + ' ORDER BY s) AS method FROM (SELECT statement_id, unnest(sources) AS s FROM stm) LEFT JOIN labels USING (s) GROUP BY 1) USING (statement_id)""", _LABELS),
+    "graph_path_summary": _graph("""SELECT count(*) AS steps, min(confidence) AS weakest, (SELECT count(DISTINCT s) FROM (SELECT unnest(sources) AS s FROM onpath)) AS n_sources
+        FROM (SELECT hop, max(confidence) AS confidence FROM onpath GROUP BY hop)""", f"""{_PATH},
+        steps AS (SELECT h AS hop, path[h] AS x, path[h + 1] AS y FROM best, range(1, len(path)) r(h)),
+        onpath AS (SELECT hop, stm.* FROM steps JOIN stm ON subject_id = x AND object_id = y OR subject_id = y AND object_id = x)"""),
+    "leads_money": _graph("""SELECT statement_id, donor, party, amount_gbp, coalesce((SELECT string_agg(name, ', ' ORDER BY o) FROM (
+            SELECT DISTINCT o, e.name FROM around JOIN ents e ON e.entity_id = o WHERE around.d = top.subject_id AND o <> top.object_id ORDER BY o LIMIT 4)), '') AS behind FROM top""",
+        """top AS (SELECT stm.*, d.name AS donor, p.name AS party FROM stm JOIN ents p ON p.entity_id = object_id AND p.entity_type = 'party' JOIN ents d ON d.entity_id = subject_id
+            WHERE statement_type = 'DONATED_TO' ORDER BY amount_gbp DESC, statement_id LIMIT 8),
+        around AS (SELECT subject_id AS d, object_id AS o FROM stm WHERE statement_type IN ('DIRECTOR_OF', 'PSC_OF', 'OWNS') UNION SELECT object_id, subject_id FROM stm WHERE statement_type IN ('DIRECTOR_OF', 'PSC_OF', 'OWNS'))"""),
+    "headlines": _graph("""SELECT finding_id, CASE shape_code WHEN 'SHARED_BENCH' THEN regexp_extract(slots, 'n_people=([^;]*)', 1) || ' parliamentarians around ' || regexp_extract(slots, 'org=([^;]*)', 1)
+            ELSE regexp_extract(slots, 'person=([^;]*)', 1) || ' is behind ' || regexp_extract(slots, 'n_companies=([^;]*)', 1) || ' companies' END AS headline FROM found""", _found("SHARED_BENCH", "QUIET_PORTFOLIO")),
+    "lead_pick": _graph("""SELECT finding_id, score FROM (SELECT finding_id, round(surprise * CASE shape_code WHEN 'OVERSEAS_MONEY' THEN 1.3 ELSE 1.0 END
+            * CASE WHEN len(list_filter(member_ids, lambda x: x LIKE 'C%')) > 0 THEN 1.3 ELSE 1.0 END, 4) AS score FROM found) ORDER BY score DESC, finding_id LIMIT 1""", _found("OVERSEAS_MONEY", "SHARED_BENCH")),
+    "evidence": _graph("SELECT DISTINCT statement_id, strength FROM ends WHERE entity_id = 'C1' ORDER BY strength DESC, statement_id LIMIT 12"),
+    "constellation": _graph("SELECT entity_id, source, row_number() OVER (ORDER BY source, w DESC, entity_id) AS place FROM firsts ORDER BY source, w DESC, entity_id LIMIT 300",
+        _found("BIG_MONEY") + """,
+        every AS (
+            SELECT unnest(member_ids) AS entity_id, 1 AS source, surprise AS w FROM found
+            UNION ALL SELECT entity_id, 2, amount_gbp::DOUBLE FROM (SELECT subject_id, object_id, amount_gbp FROM stm WHERE statement_type = 'DONATED_TO' ORDER BY amount_gbp DESC, statement_id LIMIT 25) UNPIVOT (entity_id FOR e IN (subject_id, object_id))
+            UNION ALL SELECT entity_id, 3, ties::DOUBLE FROM (SELECT entity_id, ties FROM node ORDER BY ties DESC, entity_id LIMIT 50)),
+        firsts AS (SELECT entity_id, source, max(w) AS w FROM every e WHERE source = (SELECT min(source) FROM every f WHERE f.entity_id = e.entity_id) GROUP BY 1, 2)"""),
+    "surname_given": f"""WITH {_NAMES} SELECT id, lower(CASE WHEN contains(raw_name, ',') THEN trim(split_part(raw_name, ',', 1)) ELSE regexp_replace(raw_name, '^.* ', '') END) AS surname,
+            nullif(array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(lower(CASE WHEN contains(raw_name, ',') THEN regexp_replace(split_part(raw_name, ',', 2), '^ ', '')
+                ELSE regexp_replace(raw_name, ' [^ ]*$', '') END), '[^a-z ]', '', 'g'), ' ')), lambda w: w <> '' AND w NOT IN ({", ".join(repr(w) for w in findings.NO_GIVEN_NAMES)}))), ' '), '') AS given FROM people""",
+    "supplier_search_key": f"""WITH {_NAMES}, sup AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(raw_name), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'),
+            '{words.SUPPLIER_SUFFIXES}', ' ', 'g'), '\\s+', ' ', 'g')) AS supplier FROM companies),
+        toks AS (SELECT id, supplier, unnest(string_split(supplier, ' ')) AS w, generate_subscripts(string_split(supplier, ' '), 1) AS i FROM sup),
+        stops AS (SELECT id, min(i) AS m FROM toks WHERE i > 1 AND w IN ({", ".join(repr(w) for w in words.GENERIC_TAIL)}) GROUP BY id)
+        SELECT id, supplier, string_agg(w, ' ' ORDER BY i) FILTER (i < coalesce(m, 1000)) AS search_key FROM toks LEFT JOIN stops USING (id) GROUP BY 1, 2""",
+    "money_parse": """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n,
+            CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE '£' || format('{:,}', floor(o_totalprice)::BIGINT) || '.50' END AS raw FROM orders),
+        v AS (SELECT *, try_cast(trim(regexp_replace(raw, '[£,]', '', 'g')) AS DECIMAL(18,2)) AS d FROM t)
+        SELECT o_orderkey, CASE WHEN raw = '' THEN 0 ELSE d END AS money, d AS declared, CASE WHEN d > 0 THEN d END AS contract, (n % 90) * ([1e3, 1e6, 1e9, 1.0])[o_orderkey % 4 + 1]::DOUBLE AS short FROM v""",
+    "date_parse": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS register_date, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS strict_date FROM orders""",
 }
