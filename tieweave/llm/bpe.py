@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import ChunkEncoder, WordCache, as_bytes
+from .chunks import ChunkEncoder, WordCache, as_bytes, word_splitter
 from .common import map_text, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -107,19 +107,23 @@ class BytePairCodec:
         def whole(texts: list[str]) -> list[bytes]:
             return [b"".join(encode_words(split(t))) for t in texts]
 
-        self._encoder = ChunkEncoder(WordCache(split, encode_words, whole, as_bytes(merge(b"\n", self.ranks))))
+        cache = WordCache(word_splitter(split), encode_words, whole, as_bytes(merge(b"\n", self.ranks)))
+        self._encoder = ChunkEncoder(cache, cache)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         return self._encoder.encode_all(texts)
 
+    def forget(self) -> None:
+        self._encoder.forget()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
 @functools.cache
 def codec(path: str, pattern: str) -> BytePairCodec:
-    """One codec for each Python worker, so that its caches outlive a task."""
+    """One codec for each Python worker, as loading takes a while."""
     return BytePairCodec(path, pattern)
 
 
@@ -142,6 +146,7 @@ def encode_decode(
             ids = coder.encode_all(texts)
             return [pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())]
 
+        work.forget = coder.forget
         return work
 
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]

@@ -12,10 +12,9 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
 #: Longer chunks and words are encoded but not kept.
 KEEP_CHARS = 40
 #: Chunks and words kept by each Python worker.
@@ -44,15 +43,22 @@ def joined(chunk: str) -> str:
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    encode_many: ids, in that form, of each of a list of strings. A full cache starts
-    again, so memory stays bounded whatever the number of different words.
+    encode_many: ids, in that form, of each of a list of strings. words: the cache behind
+    it, if there is one. A full cache starts again, so memory stays bounded whatever the
+    number of different words; ``forget`` empties it when a task ends.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], capacity: int = KEEP_CHUNKS):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], words: WordCache | None = None, capacity: int = KEEP_CHUNKS):
         self.encode_many = encode_many
+        self.words = words
         self.capacity = capacity
         self.kept: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.kept = {}
+        if self.words:
+            self.words.kept = {}
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -143,25 +149,41 @@ class WordCache:
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: End a chunk of letters as a word of their own under both split patterns.
+END_MARKS = frozenset(".,;:!?")
+
+
+def word_splitter(findall: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
+    """``findall`` of a split pattern, by a short way for letters with one mark at most."""
+
+    def words(chunk: str) -> list[str]:
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1] in END_MARKS and body[:-1].isalpha():
+            return [chunk[:-1], body[-1]]
+        return findall(chunk)
 
+    return words
 
-def split_after(ids: list[int], ends: np.ndarray, n: int) -> list[bytes] | None:
-    """``ids`` cut behind each id that ``ends`` marks; None unless that makes n parts."""
-    a = np.array(ids, dtype="<u4")
-    cuts = np.flatnonzero(ends[a]) + 1
-    if len(cuts) != n or (n and cuts[-1] != len(a)):
-        return None
-    raw, at = a.tobytes(), [0, *(cuts * 4).tolist()]
-    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it shows, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 @functools.cache
 def library_encoder(path: str) -> ChunkEncoder:
     """A ChunkEncoder over the tokenizers library and the vocabulary file at ``path``.
 
-    One for each Python worker and file, so that its caches outlive a task. Strings of
-    special tokens that stand in a text are ordinary text.
+    One for each Python worker and file, as loading takes a while. Strings of
+    special tokens that stand in a text are ordinary text. Words of plain chunks go to
+    the library's model straight away, all else through its whole chain of steps.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
@@ -169,40 +191,26 @@ def library_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    vocabulary = tokenizer.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-    word_ends = [i for x, i in vocabulary.items() if x.endswith("</w>")]
+    tokenize = tokenizer.model.tokenize
+    letters = byte_letters()
 
     def whole(texts: list[str]) -> list[bytes]:
         return [as_bytes(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    if word_ends:
-        # Fixed value: the split pattern in the vocabulary file. Words are in lower case.
-        pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        ends[word_ends] = True
-
-        def words(chunk: str) -> list[str]:
-            return pattern.findall(chunk.lower())
+    def encode_words(words: list[str]) -> list[bytes]:
+        return [as_bytes([t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]) for w in words]
 
-        def encode_words(found: list[str]) -> list[bytes]:
-            ids = tokenizer.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids
-            return split_after(ids, ends, len(found)) or whole(found)
-
-        plain = WordCache(words, encode_words, whole, b"")
-        return ChunkEncoder(lambda texts: mixed(texts, plain, whole))
+    if any(x.endswith("</w>") for x in tokenizer.get_vocab()):
+        # Fixed value: the split pattern in the vocabulary file. Its chain lowers case first.
+        split = word_splitter(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall)
+        plain = WordCache(lambda chunk: split(chunk.lstrip(" ").lower()), encode_words, whole, b"")
+        return ChunkEncoder(lambda texts: mixed(texts, plain, whole), plain)
 
     import public_tokenizers
 
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    ends[feed] = True
-
-    def encode_words(found: list[str]) -> list[bytes]:
-        ids = tokenizer.encode_batch_fast(["\n".join(found) + "\n"], add_special_tokens=False)[0].ids
-        parts = split_after(ids, ends, len(found))
-        return [x[:-4] for x in parts] if parts else whole(found)
-
-    return ChunkEncoder(WordCache(pattern.findall, encode_words, whole, as_bytes(feed)))
+    split = word_splitter(regex.compile(public_tokenizers.PATTERN).findall)
+    cache = WordCache(split, encode_words, whole, whole(["\n"])[0])
+    return ChunkEncoder(cache, cache)
 
 
 def mixed(texts: list[str], plain: WordCache, whole) -> list[bytes]:
@@ -213,5 +221,3 @@ def mixed(texts: list[str], plain: WordCache, whole) -> list[bytes]:
     known = dict(zip(odd, whole(odd)))
     rest = iter(plain([t for t in texts if t not in known]))
     return [known[t] if t in known else next(rest) for t in texts]
-
-

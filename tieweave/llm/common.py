@@ -73,17 +73,21 @@ def map_text(
 
     ``make`` runs once in a Python worker and returns a function from the texts of
     one Arrow batch to one array for each of ``fields``. Only the id and the text
-    travel to Python and only the id and the results travel back.
+    travel to Python and only the id and the results travel back. If that function has
+    the attribute ``forget``, it is called when the task ends.
     """
     id_field = docs.schema[id_col]
     schema = T.StructType([id_field, *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for part in slices(batch):
-                columns = work(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    columns = work(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+        finally:
+            getattr(work, "forget", int)()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

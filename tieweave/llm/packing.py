@@ -68,22 +68,25 @@ def pack_powers_of_two(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
-        for batch in batches:
-            for part in slices(batch):
-                rows, starts, lengths, ids, totals = [], [], [], [], []
-                for row, raw in enumerate(encoder.encode_all(part.column(1).to_pylist())):
-                    raw += tail
-                    n, at = len(raw) // 4, 0
-                    for length in piece_lengths(n, max_length):
-                        rows.append(row)
-                        starts.append(at)
-                        lengths.append(length)
-                        ids.append(raw[4 * at : 4 * (at + length)])
-                        totals.append(n)
-                        at += length
-                owners = part.column(0).take(pa.array(np.array(rows, dtype=np.int64)))
-                columns = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
-                yield pa.RecordBatch.from_arrays([owners, *columns], names=schema.names)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    rows, starts, lengths, ids, totals = [], [], [], [], []
+                    for row, raw in enumerate(encoder.encode_all(part.column(1).to_pylist())):
+                        raw += tail
+                        n, at = len(raw) // 4, 0
+                        for length in piece_lengths(n, max_length):
+                            rows.append(row)
+                            starts.append(at)
+                            lengths.append(length)
+                            ids.append(raw[4 * at : 4 * (at + length)])
+                            totals.append(n)
+                            at += length
+                    owners = part.column(0).take(pa.array(np.array(rows, dtype=np.int64)))
+                    columns = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([owners, *columns], names=schema.names)
+        finally:
+            encoder.forget()
 
     pieces = docs.select(id_col, text_col).mapInArrow(run, schema)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -66,16 +66,19 @@ def write_token_files(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         number, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in slices(batch):
-                raw = [x + tail for x in encoder.encode_all(part.column(1).to_pylist())]
-                lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                ends = lengths.cumsum()
-                values = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").view("<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                numbers = pa.array(np.full(len(raw), number, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array(at + ends - lengths), pa.array(lengths), ids], names=schema.names)
-                at += int(ends[-1])
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    raw = [x + tail for x in encoder.encode_all(part.column(1).to_pylist())]
+                    lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+                    ends = lengths.cumsum()
+                    values = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").view("<i4"))
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                    numbers = pa.array(np.full(len(raw), number, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array(at + ends - lengths), pa.array(lengths), ids], names=schema.names)
+                    at += int(ends[-1])
+        finally:
+            encoder.forget()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (tie,) = fresh(docs, "tie")
