@@ -6,17 +6,21 @@ insertion, deletion or replacement of it. The edit bound is one word from NEAR_W
 on and nothing below; lines under MIN_WORDS words always stay.
 
 1. Every line gets a 128-bit hash; different lines get their first place.
-2. One edit leaves one half of a line alone. Different lines that share a half with
-   another are candidates; halves are hashed at the two lengths at which two lines that
-   one edit parts must agree. All others are done.
+2. One edit leaves one half of a line alone. Lines that share a half with a different
+   line are candidates; halves are hashed at the two lengths at which two lines that one
+   edit parts must agree. All others are done.
 3. The candidates' words are fetched by a second read of the documents, through a Bloom
-   filter of their hashes of at most MAX_FILTER_BYTES (chance hits go in a join).
-4. A candidate of n words emits hashed keys: itself, and for each word the rest without
-   it, alone and with the word's place. Equal (place, rest) keys are replacements; an own
-   key equal to a rest is an insertion or deletion.
+   filter of the shared halves (a chance hit is one candidate more, nothing else).
+4. A candidate of n words has hashed keys: itself, and for each word the rest without it,
+   alone and with the word's place. Equal (place, rest) keys are replacements; an own key
+   equal to a rest is an insertion or deletion. Keys are counted first, and those that
+   two lines have are emitted with their lines, through a second such filter.
 5. Under each key the earliest line is found by aggregation, every other line is joined to
    it, the edit distance is verified on the words, and the later line goes.
 
+Filters have at most MAX_FILTER_BYTES; beyond what that serves well, more candidates and
+keys pass, and the exact steps behind them do more work with the same result.
+
 A key's group is reduced to its earliest line before the join, so rows grow with the
 variants, never with pairs, and a hot line is one row for each task from step 1 on.
 
@@ -128,16 +132,34 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _candidate_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, words) of the lines in ``wanted``, words joined by blanks."""
-    slots = filter_slots(wanted.count(), max_bytes=MAX_FILTER_BYTES)
-    slot = wanted.select(F.explode(F.array(F.pmod("h1", F.lit(slots)) + 1, F.pmod("h2", F.lit(slots)) + 1)).alias("slot"))
+def _filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A Bloom filter of 64-bit keys as bits, of at most MAX_FILTER_BYTES, and its slots."""
+    slots = filter_slots(keys.count(), max_bytes=MAX_FILTER_BYTES)
+    places = F.array(F.pmod(F.col(column), F.lit(slots)) + 1, F.pmod(F.shiftright(column, 32), F.lit(slots)) + 1)
+    slot = keys.select(F.explode(places).alias("slot"))
     bitmaps = slot.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
     bits = np.zeros(slots // 8, dtype=np.uint8)
-    for bucket, own in bitmaps.toLocalIterator():  # at most MAX_FILTER_BYTES in all
+    for bucket, own in bitmaps.toLocalIterator():
         # Spark counts bits and buckets from 1 on.
         at = (bucket - 1) * BITMAP_SLOTS // 8
         bits[at : at + len(own)] = np.frombuffer(own, dtype=np.uint8)
+    return bits, slots
+
+
+def _hit(bits: np.ndarray, slots: int, key: int) -> bool:
+    a, b = key % slots, (key >> 32) % slots
+    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+
+def _shared(keys: DataFrame, column: str) -> DataFrame:
+    """The keys that two different lines have, from (key, h1)."""
+    own = keys.groupBy(column).agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+    return own.where("a != b").select(column)
+
+
+def _candidates(docs: DataFrame, halves: DataFrame, text_col: str) -> DataFrame:
+    """(h1, h2, words) of the lines that share a half with another, words joined by blanks."""
+    bits, slots = _filter(halves, "half")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = T.StructType([T.StructField("h1", LONG), T.StructField("h2", LONG), T.StructField("words", T.BinaryType())])
 
@@ -149,10 +171,10 @@ def _candidate_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
                 for text in part.column(0).to_pylist():
                     for line in (text or "").split("\n"):
                         words = line_words(line)
-                        if len(words) < NEAR_WORDS:
+                        if len(words) < NEAR_WORDS or not any(_hit(own, slots, k) for k in half_keys(words)):
                             continue
                         pair = line_hash(words)
-                        if pair in sent or not all(own[s >> 3] >> (s & 7) & 1 for s in (pair[0] % slots, pair[1] % slots)):
+                        if pair in sent:
                             continue
                         if len(sent) >= REMEMBERED:
                             sent.clear()
@@ -165,22 +187,25 @@ def _candidate_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
     return found.groupBy("h1", "h2").agg(F.first("words").alias("words"))
 
 
-def _variants(candidates: DataFrame) -> DataFrame:
-    """(kind, key, place, h1, h2) for each variant of each candidate."""
-    fields = [T.StructField("kind", T.IntegerType()), T.StructField("key", LONG), *(candidates.schema[c] for c in ("h1", "h2"))]
-    schema = T.StructType(fields)
+def _variants(candidates: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(kind, key, h1, h2) of the candidates' variants; those that may be in ``keys`` if it is given."""
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, LONG) for c in ("key", "h1", "h2"))])
+    bits, slots = _filter(keys, "key") if keys is not None else (None, 1)
+    shared = candidates.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
             for part in slices(batch, 2):
-                kinds, keys, rows = [], [], []
+                kinds, found, rows = [], [], []
                 for row, words in enumerate(part.column(2).to_pylist()):
                     for kind, key in variants(words.split(b" ")):
-                        kinds.append(kind)
-                        keys.append(key)
-                        rows.append(row)
+                        if own is None or _hit(own, slots, key):
+                            kinds.append(kind)
+                            found.append(key)
+                            rows.append(row)
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=schema.names)
 
     return candidates.select("h1", "h2", "words").mapInArrow(run, schema)
 
@@ -205,15 +230,16 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     _lines(docs, id_col, text_col).write.parquet(path)
     lines = spark.read.parquet(path)
     place = F.struct("doc", "line")
-    different = checkpointed(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")))
-
-    halves = different.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    wanted = checkpointed(halves.join(shared, "half").select("h1", "h2").distinct())
-    words = _candidate_words(docs, wanted, id_col, text_col)
-    candidates = checkpointed(wanted.join(words, ["h1", "h2"]).join(different.select("h1", "h2", "place"), ["h1", "h2"]))
-
-    keyed = checkpointed(_variants(candidates).distinct().join(candidates.select("h1", "h2", "place"), ["h1", "h2"]))
+    path = scratch_path(spark, "different")
+    lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).write.parquet(path)
+    different = spark.read.parquet(path)
+
+    halves = checkpointed(_shared(lines.select("h1", F.explode("halves").alias("half")), "half"))
+    words = checkpointed(_candidates(docs, halves, text_col))
+    keys = checkpointed(_shared(_variants(words).select("key", "h1"), "key"))
+    keyed = _variants(words, keys).distinct()
+    candidates = checkpointed(words.join(different.select("h1", "h2", "place"), ["h1", "h2"]))
+    keyed = checkpointed(keyed.join(candidates.select("h1", "h2", "place"), ["h1", "h2"]))
     replaced = (F.col("kind") == PLACED).alias("replaced")
     line = F.struct("place", "h1", "h2")
     first = keyed.groupBy(replaced, "key").agg(
