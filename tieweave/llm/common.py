@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,36 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import checkpointed, shared_dir  # noqa: F401 (operators take checkpointed from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests in
-    one process), a folder of its own is made and set as checkpoint folder.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tieweave-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut; executors may be lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import connected_components
 from .common import checkpointed, map_text
-from .components import connected_components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
