@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import checkpointed, map_text
+from .common import checkpointed, map_text, scratch_path
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -200,7 +200,10 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """(id, fingerprint, component_id) for each row; component_id is the least id reachable."""
-    prints = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words))
+    # A written table, as a checkpoint would read and hash all texts twice.
+    path = scratch_path(docs.sparkSession, "fingerprints")
+    fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words).write.parquet(path)
+    prints = docs.sparkSession.read.parquet(path)
     nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
     roots = connected_components(links(nodes, max_bits=max_bits)).withColumnRenamed("node", "fingerprint")
     joined = nodes.join(roots, "fingerprint")
