@@ -13,8 +13,10 @@ on and nothing below; lines under MIN_WORDS words always stay.
    filter of the shared halves (a chance hit is one candidate more, nothing else).
 4. A candidate of n words has hashed keys: itself, and for each word the rest without it,
    alone and with the word's place. Equal (place, rest) keys are replacements; an own key
-   equal to a rest is an insertion or deletion. Keys are counted first, and those that
-   two lines have are emitted with their lines, through a second such filter.
+   equal to a rest is an insertion or deletion. A line's hash is a sum over its words and
+   places, so the keys of all rests come from prefix sums. Placed keys are counted first,
+   and only those that two lines have are emitted with their lines; rests only if they may
+   be a whole candidate (both by such filters).
 5. Under each key the earliest line is found by aggregation, every other line is joined to
    it, the edit distance is verified on the words, and the later line goes.
 
@@ -54,42 +56,60 @@ def line_words(line: str) -> list[bytes]:
     return line.encode().lower().split()
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def half_digests(words: list[bytes]) -> bytes:
+    """Hashes (8 bytes each) of halves of which lines that one edit parts share one at least."""
+    from xxhash import xxh3_64_digest
 
-
-def line_hash(words: list[bytes]) -> tuple[int, int]:
-    from xxhash import xxh3_128_intdigest
-
-    x = xxh3_128_intdigest(b" ".join(words))
-    return signed(x >> 64), signed(x & (1 << 64) - 1)
-
-
-def key_hash(kind: int, number: int, words: list[bytes]) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return signed(xxh3_64_intdigest(b" ".join(words), kind << 32 | number))
+    n, out = len(words), b""
+    for h in {(n - 1) // 2, (n - 2) // 2}:
+        out += xxh3_64_digest(b" ".join(words[:h]), 1 << 32 | h) + xxh3_64_digest(b" ".join(words[n - h :]), 2 << 32 | h)
+    return out
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of which lines that one edit parts share one at least."""
-    n, out = len(words), []
-    for h in sorted({(n - 1) // 2, (n - 2) // 2}):
-        out += [key_hash(1, h, words[:h]), key_hash(2, h, words[n - h :])]
-    return out
+def as_longs(digests: bytes) -> np.ndarray:
+    return np.frombuffer(digests, dtype=">i8").astype(np.int64)
 
 
 #: Kinds of variants.
 WHOLE, REST, PLACED = 0, 1, 2
-
-
-def variants(words: list[bytes]) -> list[tuple[int, int]]:
-    """(kind, key) of a line; WHOLE and REST keys of equal words are equal."""
-    out = [(WHOLE, key_hash(3, 0, words))]
-    for i in range(len(words)):
-        rest = words[:i] + words[i + 1 :]
-        out += [(REST, key_hash(3, 0, rest)), (PLACED, key_hash(4, i, rest))]
-    return out
+#: Odd, so it has an inverse among 64-bit numbers.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed (the finish of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def variant_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, rest, placed, counts) of lines: a key for each line, and two for each word.
+
+    A line's number is the sum of word hash times BASE to the power of the word's place.
+    Without word i, the words behind it stand one place before: their sum is divided by BASE.
+    """
+    from xxhash import xxh3_64_digest
+
+    counts = np.array([len(x) for x in lines], dtype=np.int64)
+    if not len(counts) or not counts.sum():
+        none = np.empty(0, dtype=np.int64)
+        return np.zeros(len(counts), dtype=np.int64), none, none, counts
+    own = as_longs(b"".join([xxh3_64_digest(w) for x in lines for w in x])).view(np.uint64)
+    starts = np.cumsum(counts) - counts
+    place = np.arange(len(own)) - np.repeat(starts, counts)
+    powers = np.empty(int(counts.max()), dtype=np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(np.full(len(powers) - 1, BASE, dtype=np.uint64), out=powers[1:])
+    terms = own * powers[place]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    total = sums[starts + counts] - sums[starts]
+    before = sums[:-1] - np.repeat(sums[starts], counts)
+    behind = np.repeat(total, counts) - before - terms
+    rest = mixed(before + behind * np.uint64(INVERSE))
+    placed = mixed(rest + place.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    return mixed(total).view(np.int64), rest.view(np.int64), placed.view(np.int64), counts
 
 
 def within_one(a: list, b: list) -> bool:
@@ -115,25 +135,33 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType(fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             for part in slices(batch):
-                rows: list[list] = [[], [], [], [], []]
+                rows, numbers, hashes, halves, n_halves = [], [], [], [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     for number, line in enumerate((text or "").split("\n")):
                         words = line_words(line)
-                        if len(words) >= MIN_WORDS:
-                            halves = half_keys(words) if len(words) >= NEAR_WORDS else None
-                            for column, value in zip(rows, (row, number, *line_hash(words), halves)):
-                                column.append(value)
-                owners = part.column(0).take(pa.array(rows[0], pa.int64()))
-                columns = [pa.array(x, pa.int64()) for x in rows[1:4]] + [pa.array(rows[4], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([owners, *columns], names=schema.names)
+                        if len(words) < MIN_WORDS:
+                            continue
+                        own = half_digests(words) if len(words) >= NEAR_WORDS else b""
+                        rows.append(row)
+                        numbers.append(number)
+                        hashes.append(xxh3_128_digest(b" ".join(words)))
+                        halves.append(own)
+                        n_halves.append(len(own) // 8)
+                owners = part.column(0).take(pa.array(rows, pa.int64()))
+                pairs = as_longs(b"".join(hashes)).reshape(-1, 2)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n_halves)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(as_longs(b"".join(halves))))
+                yield pa.RecordBatch.from_arrays([owners, pa.array(numbers, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), lists], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A Bloom filter of 64-bit keys as bits, of at most MAX_FILTER_BYTES, and its slots."""
+def _filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of 64-bit keys as bits, of at most MAX_FILTER_BYTES."""
     slots = filter_slots(keys.count(), max_bytes=MAX_FILTER_BYTES)
     places = F.array(F.pmod(F.col(column), F.lit(slots)) + 1, F.pmod(F.shiftright(column, 32), F.lit(slots)) + 1)
     slot = keys.select(F.explode(places).alias("slot"))
@@ -143,12 +171,14 @@ def _filter(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
         # Spark counts bits and buckets from 1 on.
         at = (bucket - 1) * BITMAP_SLOTS // 8
         bits[at : at + len(own)] = np.frombuffer(own, dtype=np.uint8)
-    return bits, slots
+    return bits
 
 
-def _hit(bits: np.ndarray, slots: int, key: int) -> bool:
-    a, b = key % slots, (key >> 32) % slots
-    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in a filter."""
+    slots = len(bits) * 8
+    a, b = keys % slots, (keys >> 32) % slots
+    return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _shared(keys: DataFrame, column: str) -> DataFrame:
@@ -159,53 +189,80 @@ def _shared(keys: DataFrame, column: str) -> DataFrame:
 
 def _candidates(docs: DataFrame, halves: DataFrame, text_col: str) -> DataFrame:
     """(h1, h2, words) of the lines that share a half with another, words joined by blanks."""
-    bits, slots = _filter(halves, "half")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(halves, "half"))
     schema = T.StructType([T.StructField("h1", LONG), T.StructField("h2", LONG), T.StructField("words", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         own, sent = shared.value, set()
         for batch in batches:
             for part in slices(batch, 0):
-                rows: tuple[list, list, list] = ([], [], [])
+                lines, digests, counts = [], [], []
                 for text in part.column(0).to_pylist():
                     for line in (text or "").split("\n"):
                         words = line_words(line)
-                        if len(words) < NEAR_WORDS or not any(_hit(own, slots, k) for k in half_keys(words)):
-                            continue
-                        pair = line_hash(words)
-                        if pair in sent:
-                            continue
+                        if len(words) >= NEAR_WORDS:
+                            found = half_digests(words)
+                            lines.append(words)
+                            digests.append(found)
+                            counts.append(len(found) // 8)
+                if not lines:
+                    continue
+                hits = _hits(own, as_longs(b"".join(digests)))
+                starts = np.cumsum(counts) - counts
+                hashes, texts = [], []
+                for i in np.flatnonzero(np.logical_or.reduceat(hits, starts)).tolist():
+                    text = b" ".join(lines[i])
+                    pair = xxh3_128_digest(text)
+                    if pair not in sent:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
                         sent.add(pair)
-                        for column, value in zip(rows, (*pair, b" ".join(words))):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=schema.names)
+                        hashes.append(pair)
+                        texts.append(text)
+                pairs = as_longs(b"".join(hashes)).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(texts, pa.binary())], names=schema.names)
 
     found = docs.select(text_col).mapInArrow(run, schema)
     return found.groupBy("h1", "h2").agg(F.first("words").alias("words"))
 
 
-def _variants(candidates: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(kind, key, h1, h2) of the candidates' variants; those that may be in ``keys`` if it is given."""
+def _wholes(candidates: DataFrame) -> DataFrame:
+    """(key) of each candidate itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                whole = variant_keys([x.split(b" ") for x in part.column(0).to_pylist()])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(whole)], names=["key"])
+
+    return candidates.select("words").mapInArrow(run, "key long")
+
+
+def _variants(candidates: DataFrame, whole_keys: np.ndarray | None = None, placed_keys: np.ndarray | None = None) -> DataFrame:
+    """(kind, key, h1, h2) of the candidates' variants.
+
+    Without filters the placed ones; with them whole lines, rests that may be a whole
+    line, and placed ones that may be shared.
+    """
     schema = T.StructType([T.StructField("kind", T.IntegerType()), *(T.StructField(c, LONG) for c in ("key", "h1", "h2"))])
-    bits, slots = _filter(keys, "key") if keys is not None else (None, 1)
-    shared = candidates.sparkSession.sparkContext.broadcast(bits)
+    shared = candidates.sparkSession.sparkContext.broadcast((whole_keys, placed_keys))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        whole_filter, placed_filter = shared.value
         for batch in batches:
             for part in slices(batch, 2):
-                kinds, found, rows = [], [], []
-                for row, words in enumerate(part.column(2).to_pylist()):
-                    for kind, key in variants(words.split(b" ")):
-                        if own is None or _hit(own, slots, key):
-                            kinds.append(kind)
-                            found.append(key)
-                            rows.append(row)
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=schema.names)
+                whole, rest, placed, counts = variant_keys([x.split(b" ") for x in part.column(2).to_pylist()])
+                line = np.repeat(np.arange(len(counts)), counts)
+                if placed_filter is None:
+                    keys, rows, kinds = placed, line, np.full(len(placed), PLACED)
+                else:
+                    r, p = np.flatnonzero(_hits(whole_filter, rest)), np.flatnonzero(_hits(placed_filter, placed))
+                    keys, rows = np.concatenate([whole, rest[r], placed[p]]), np.concatenate([np.arange(len(whole)), line[r], line[p]])
+                    kinds = np.repeat([WHOLE, REST, PLACED], [len(whole), len(r), len(p)])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(keys), part.column(0).take(at), part.column(1).take(at)], names=schema.names)
 
     return candidates.select("h1", "h2", "words").mapInArrow(run, schema)
 
@@ -236,8 +293,8 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     halves = checkpointed(_shared(lines.select("h1", F.explode("halves").alias("half")), "half"))
     words = checkpointed(_candidates(docs, halves, text_col))
-    keys = checkpointed(_shared(_variants(words).select("key", "h1"), "key"))
-    keyed = _variants(words, keys).distinct()
+    placed = checkpointed(_shared(_variants(words).select("key", "h1"), "key"))
+    keyed = _variants(words, _filter(_wholes(words), "key"), _filter(placed, "key")).distinct()
     candidates = checkpointed(words.join(different.select("h1", "h2", "place"), ["h1", "h2"]))
     keyed = checkpointed(keyed.join(candidates.select("h1", "h2", "place"), ["h1", "h2"]))
     replaced = (F.col("kind") == PLACED).alias("replaced")
