@@ -14,9 +14,10 @@ above MAX_FILTER_BYTES. Beyond the number of rows for which that is enough, more
 shuffle, up to all of them (a plain hash aggregation); nothing else changes. Passes
 shuffle eight-byte slots and (hash, id) pairs, never texts.
 
-Hot groups: equal rows are combined before each shuffle (slot counts, group sizes), and
-the join that hands each row its group's result has one row a group on the other side,
-so a hot group is split by adaptive execution.
+Hot groups: equal rows are combined before each shuffle (slot counts, group sizes). Each
+row gets its group's result by a join; groups with more than one row in HOT_GROUPS are at
+most HOT_GROUPS in number, so theirs are broadcast, and no other group is large.
+``groups`` hashes each text once and works on a table of hashes from there on.
 
 Defined results: a null text equals the empty one; of equal texts the row with the
 largest id stays, null being the least; rows equal in id and text are counted apart in
@@ -29,12 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import checkpointed, fresh, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = 2
 SLOTS_PER_ROW = 16
 MAX_FILTER_BYTES = 256 << 20
+#: Groups above this share of the rows (one in so many) are joined by broadcast.
+HOT_GROUPS = 10_000
 #: Fixed value: slots in one bitmap of Spark's bitmap functions.
 BITMAP_SLOTS = 32_768
 
@@ -80,15 +83,24 @@ def maybe_repeated(rows: DataFrame, digest: str, bitmaps: DataFrame, slots: int,
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
-    digests = docs.select(F.col(id_col).alias("_tw_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    slots = filter_slots(docs.select(id_col).count(), max_bytes=max_filter_bytes)
+    spark = docs.sparkSession
+    path = scratch_path(spark, "digests")
+    docs.select(F.col(id_col).alias("_tw_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")).write.parquet(path)
+    digests = spark.read.parquet(path)
+    rows = digests.count()
+    slots = filter_slots(rows, max_bytes=max_filter_bytes)
     bitmaps = repeated_slots(digests, "text_sha256", slots, hashes)
     tested = maybe_repeated(digests, "text_sha256", bitmaps, slots, hashes)
-    alone = tested.where("not _tw_maybe").select("_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = tested.where("not _tw_maybe").select("_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     shared = tested.where("_tw_maybe").select("_tw_id", "text_sha256")
-    sizes = shared.groupBy("text_sha256").agg(F.max("_tw_id").alias("keep_id"), F.count("*").alias("group_size"))
-    counted = shared.join(sizes, "text_sha256").select("_tw_id", "keep_id", "group_size", F.expr("_tw_id <=> keep_id").alias("kept"), "text_sha256")
-    return alone.unionByName(counted).withColumnRenamed("_tw_id", id_col)
+    sizes = checkpointed(shared.groupBy("text_sha256").agg(F.max("_tw_id").alias("keep_id"), F.count("*").alias("group_size")))
+    # At most HOT_GROUPS groups can have more than one in HOT_GROUPS of all rows.
+    hot = F.col("group_size") > rows // HOT_GROUPS
+    large, small = F.broadcast(sizes.where(hot)), sizes.where(~hot)
+    in_large = shared.join(large, "text_sha256")
+    in_small = shared.join(large.select("text_sha256"), "text_sha256", "left_anti").join(small, "text_sha256")
+    found = alone.unionByName(in_large).unionByName(in_small)
+    return found.select(F.col("_tw_id").alias(id_col), "keep_id", "group_size", F.expr("_tw_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
