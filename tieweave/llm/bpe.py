@@ -107,8 +107,7 @@ class BytePairCodec:
         def whole(texts: list[str]) -> list[bytes]:
             return [b"".join(encode_words(split(t))) for t in texts]
 
-        cache = WordCache(word_splitter(split), encode_words, whole, as_bytes(merge(b"\n", self.ranks)))
-        self._encoder = ChunkEncoder(cache, cache)
+        self._encoder = ChunkEncoder(whole, WordCache(word_splitter(split), encode_words, as_bytes(merge(b"\n", self.ranks)), True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""

@@ -19,9 +19,9 @@ from collections.abc import Callable
 KEEP_CHARS = 40
 #: Chunks and words kept by each Python worker.
 KEEP_CHUNKS, KEEP_WORDS = 600_000, 400_000
-#: Chunks that every pattern engine splits alike: a blank or line feed at most, then
-#: visible characters of the first Latin blocks.
-PLAIN = re.compile("[ \n]?[!-~¡-ɏ]+")
+#: Chunks that every pattern engine splits alike: a line feed at most, then visible
+#: characters of the first Latin blocks.
+PLAIN = re.compile("\n?[!-~¡-ɏ]+")
 
 
 def visible(char: str) -> bool:
@@ -43,21 +43,20 @@ def joined(chunk: str) -> str:
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    encode_many: ids, in that form, of each of a list of strings. words: the cache behind
-    it, if there is one. A full cache starts again, so memory stays bounded whatever the
-    number of different words; ``forget`` empties it when a task ends.
+    whole: ids, in that form, of each of a list of strings. words: the cache by which
+    plain chunks are encoded. A full cache starts again, so memory stays bounded whatever
+    the number of different words; ``forget`` empties it when a task ends.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], words: WordCache | None = None, capacity: int = KEEP_CHUNKS):
-        self.encode_many = encode_many
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], words: WordCache, capacity: int = KEEP_CHUNKS):
+        self.whole = whole
         self.words = words
         self.capacity = capacity
         self.kept: dict[str, bytes] = {}
 
     def forget(self) -> None:
         self.kept = {}
-        if self.words:
-            self.words.kept = {}
+        self.words.kept = {}
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -65,40 +64,47 @@ class ChunkEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; None counts as empty."""
         if len(self.kept) > self.capacity:
-            self.kept.clear()
-        get = self.kept.get
+            self.kept = {}
+        kept, plain = self.kept, PLAIN.fullmatch
+        get = kept.get
         found: list[list] = []
-        new: dict[str, str] = {}  # by what is to be encoded: the chunk to keep it under, or ""
+        new: set[str] = set()  # plain chunks
+        odd: dict[str, bytes] = {}  # strings to be encoded as they are
         for text in texts:
             if not text:
                 found.append([])
                 continue
             chunks = text.replace("\n", " \n").split(" ")
             parts = [*map(get, chunks)]
-            parts[0] = None  # the first chunk has nothing before it
-            misses = [i for i, x in enumerate(parts) if x is None]
             head = chunks[0]
-            if head and visible(head[0]) and visible(head[-1]) and all(cuttable(chunks[i]) for i in misses[1:]):
-                parts[0] = head
-                new.setdefault(head, "")
-                for i in misses[1:]:
-                    chunk = chunks[i]
+            safe = bool(head) and visible(head[0]) and visible(head[-1])
+            parts[0] = head  # nothing stands before the first chunk
+            for i in [i for i, x in enumerate(parts) if x is None]:
+                chunk = chunks[i]
+                if plain(chunk):
+                    new.add(chunk)
+                    parts[i] = (chunk,)
+                elif cuttable(chunk):
                     parts[i] = whole = joined(chunk)
-                    if len(chunk) <= KEEP_CHARS:
-                        new[whole] = chunk
-                    else:
-                        new.setdefault(whole, "")
-            else:
+                    odd[whole] = b""
+                else:
+                    safe = False
+                    break
+            if not safe:
                 parts = runs(chunks)
-                for x in parts:
-                    new.setdefault(x, "")
+                odd.update(dict.fromkeys(parts, b""))
+            else:
+                odd[head] = b""
             found.append(parts)
-        todo = [*new]
-        ids = dict(zip(todo, self.encode_many(todo))) if todo else {}
-        for whole, chunk in new.items():
-            if chunk:
-                self.kept[chunk] = ids[whole]
-        return [b"".join([x if type(x) is bytes else ids[x] for x in parts]) for parts in found]
+        ids: dict[str, bytes] = {}
+        if new:
+            todo = [*new]
+            ids = dict(zip(todo, self.words.encode(todo)))
+            kept.update((c, x) for c, x in ids.items() if len(c) <= KEEP_CHARS)
+        if odd:
+            todo = [*odd]
+            odd = dict(zip(todo, self.whole(todo)))
+        return [b"".join([x if type(x) is bytes else odd[x] if type(x) is str else ids[x[0]] for x in parts]) for parts in found]
 
 
 def runs(chunks: list[str]) -> list[str]:
@@ -119,32 +125,31 @@ def runs(chunks: list[str]) -> list[str]:
 
 
 class WordCache:
-    """encode_many for plain chunks by way of their words (matches of a split pattern).
+    """Ids of plain chunks by way of their words (matches of a split pattern).
 
-    words: the words of a plain chunk without its line feed. encode_words: ids of each
-    of a list of words. whole: ids of strings that aren't plain. feed: ids of a line feed.
+    words: the words of a chunk, after its blank if ``blank`` is true. encode_words: ids of
+    each of a list of words. feed: ids of a line feed.
     """
 
-    def __init__(self, words, encode_words, whole, feed: bytes, capacity: int = KEEP_WORDS):
-        self.words, self.encode_words, self.whole, self.feed, self.capacity = words, encode_words, whole, feed, capacity
+    def __init__(self, words: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], feed: bytes, blank: bool, capacity: int = KEEP_WORDS):
+        self.words, self.encode_words, self.feed, self.blank, self.capacity = words, encode_words, feed, blank, capacity
         self.kept: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that have a blank before them, or else begin with a line feed."""
         if len(self.kept) > self.capacity:
-            self.kept.clear()
-        plain = [self.words(t.lstrip("\n")) if PLAIN.fullmatch(t) else None for t in texts]
-        new = dict.fromkeys(w for x in plain if x for w in x if w not in self.kept)
-        ids = dict(zip(new, self.encode_words([*new]))) if new else {}
-        odd = [t for t, x in zip(texts, plain) if x is None]
-        other = iter(self.whole(odd) if odd else ())
-        kept = self.kept
-        out = [
-            next(other) if x is None else (self.feed if t[0] == "\n" else b"") + b"".join([kept[w] if w in kept else ids[w] for w in x])
-            for t, x in zip(texts, plain)
-        ]
-        for w, x in ids.items():
-            if len(w) <= KEEP_CHARS:
-                kept[w] = x
+            self.kept = {}
+        kept, words, before = self.kept, self.words, " " if self.blank else ""
+        split = [words(c[1:] if c[0] == "\n" else before + c) for c in chunks]
+        new = [*{w for x in split for w in x if w not in kept}]
+        ids = dict(zip(new, self.encode_words(new)))
+        kept.update(ids)
+        out = [kept[x[0]] if len(x) == 1 else b"".join([kept[w] for w in x]) for x in split]
+        if self.feed:
+            out = [self.feed + x if c[0] == "\n" else x for c, x in zip(chunks, out)]
+        for w in new:
+            if len(w) > KEEP_CHARS:
+                del kept[w]
         return out
 
 
@@ -201,23 +206,27 @@ def library_encoder(path: str) -> ChunkEncoder:
         return [as_bytes([t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]) for w in words]
 
     if any(x.endswith("</w>") for x in tokenizer.get_vocab()):
-        # Fixed value: the split pattern in the vocabulary file. Its chain lowers case first.
+        # Fixed value: the split pattern in the vocabulary file. Its chain lowers case
+        # first, in which a dotted capital I alone is not as in str.lower; the library does it.
         split = word_splitter(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall)
-        plain = WordCache(lambda chunk: split(chunk.lstrip(" ").lower()), encode_words, whole, b"")
-        return ChunkEncoder(lambda texts: mixed(texts, plain, whole), plain)
+
+        def lowered(chunk: str) -> list[str]:
+            return [DOTTED + chunk] if DOTTED in chunk else split(chunk.lower())
+
+        def encode_lowered(words: list[str]) -> list[bytes]:
+            dotted = [w for w in words if w[0] == DOTTED]
+            if not dotted:
+                return encode_words(words)
+            known = dict(zip(dotted, whole([w[1:] for w in dotted])))
+            return [known[w] if w in known else encode_words([w])[0] for w in words]
+
+        return ChunkEncoder(whole, WordCache(lowered, encode_lowered, b"", False))
 
     import public_tokenizers
 
     split = word_splitter(regex.compile(public_tokenizers.PATTERN).findall)
-    cache = WordCache(split, encode_words, whole, whole(["\n"])[0])
-    return ChunkEncoder(cache, cache)
-
-
-def mixed(texts: list[str], plain: WordCache, whole) -> list[bytes]:
-    """Dotted capital I turns into two characters in lower case, which only the library does as it should."""
-    odd = [t for t in texts if "İ" in t]
-    if not odd:
-        return plain(texts)
-    known = dict(zip(odd, whole(odd)))
-    rest = iter(plain([t for t in texts if t not in known]))
-    return [known[t] if t in known else next(rest) for t in texts]
+    return ChunkEncoder(whole, WordCache(split, encode_words, whole(["\n"])[0], True))
+
+
+#: Capital I with a dot, which lower case turns into two characters.
+DOTTED = "İ"
