@@ -77,3 +77,14 @@ def test_surroundings_keep_the_strongest(spark):
     g = small(spark, [("a", "b", 0.9, 0.1), ("a", "c", 0.9, 0.9), ("c", "d", 0.9, 0.9)])
     assert {tuple(r) for r in reads.surroundings(g, "a", cap=2).collect()} == {("a", 0), ("c", 1)}
     assert {tuple(r) for r in reads.surroundings(g, "a").collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+
+
+def test_matcher_scores_every_person(spark, data, g):
+    people = queries.QUERIES["fs_score_pairs_everyone"](spark, data)
+    named = queries.everyone(spark, data)
+    assert named.count() == g.entities.where("entity_type = 'person'").count() > queries.people(spark, data).count()
+    sizes = [r["count"] for r in named.where("surname != ''").groupBy("surname").count().collect()]
+    assert people.count() == sum(n * (n - 1) // 2 for n in sizes)
+    persons = {r.entity_id for r in named.collect()}
+    ties = {e for a, b in g.statements.select("subject_id", "object_id").collect() for e in ((a, b), (b, a))}
+    assert {(r.entity_id, n) for r in named.collect() for n in r.neighbours} == {(a, b) for a, b in ties if a in persons}

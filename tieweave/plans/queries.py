@@ -122,6 +122,13 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.persons(g.entities.where("entity_type != 'person' or category = 'mp'"), g.of("DIRECTOR_OF", "OWNS"), cited)
 
 
+def everyone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every person, with neighbours from every statement."""
+    g = graph(spark, sf_dir)
+    cited = findings.both_ends(g.statements, "sources").select("entity_id", F.explode("sources").alias("source_code"))
+    return matcher.persons(g.entities, g.statements, cited)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled set for calibration, from the events' values."""
     rows = fixture.table(spark, sf_dir, "events").where("value is not null")
@@ -248,6 +255,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fs_surname_rarity": lambda s, d: matcher.rarity(people(s, d)).select("surname", F.round("u", 6).alias("u")),
     "fs_score_pairs": lambda s, d: matcher.pairs(people(s, d)),
     "fs_bands": lambda s, d: matcher.pairs(people(s, d)).groupBy("band", "across").agg(F.count("*").alias("n")),
+    "fs_surname_rarity_everyone": lambda s, d: matcher.rarity(everyone(s, d)).select("surname", F.round("u", 6).alias("u")),
+    "fs_score_pairs_everyone": lambda s, d: matcher.pairs(everyone(s, d)),
+    "fs_bands_everyone": lambda s, d: matcher.pairs(everyone(s, d)).groupBy("band", "across").agg(F.count("*").alias("n")),
     "calib_threshold": lambda s, d: matcher.threshold(_scored(s, d).select("score", "label"), 0.9),
     "calib_reliability": lambda s, d: matcher.reliability(_scored(s, d)),
     "calib_report": lambda s, d: matcher.report(_scored(s, d)),
