@@ -88,3 +88,13 @@ def test_matcher_scores_every_person(spark, data, g):
     persons = {r.entity_id for r in named.collect()}
     ties = {e for a, b in g.statements.select("subject_id", "object_id").collect() for e in ((a, b), (b, a))}
     assert {(r.entity_id, n) for r in named.collect() for n in r.neighbours} == {(a, b) for a, b in ties if a in persons}
+
+
+def test_last_insights_heed_all_others(spark, data, g):
+    found = queries.QUERIES["insights_all"](spark, data).select("entity_id", "kind").collect()
+    last = {r.entity_id for r in found if r.kind in ("NEAREST_NOTABLE", "BASIC")}
+    ranked = {r.entity_id for r in found} - last
+    assert not last & {r.entity_id for r in found if r.kind not in ("NEAREST_NOTABLE", "BASIC")}
+    assert ranked | last == {r.entity_id for r in g.entities.collect()}
+    assert {r.kind for r in found} >= {"RANK_MONEY_GIVEN", "RANK_MONEY_RECEIVED", "RANK_PORTFOLIO", "BRIDGE"}
+    assert {r.entity_id for r in queries.QUERIES["insight_basic"](spark, data).collect()} & ranked

@@ -111,6 +111,14 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.rank_portfolio(graph(spark, sf_dir)).unionByName(insights.only_donor_contractor(graph(spark, sf_dir)))
 
 
+def insights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every insight: the last two kinds only where no other is, nearness to findings of all shapes."""
+    g = graph(spark, sf_dir)
+    ranked = checkpointed(resolve.union_all([f(g) for f in insights.RANKED]))
+    some = ranked.unionByName(checkpointed(insights.nearest_notable(g, all_findings(spark, sf_dir), ranked)))
+    return _insight_rows(some.unionByName(insights.basic(g, some)))
+
+
 def _statement_rows(df: DataFrame) -> DataFrame:
     return df.select("statement_id", "subject_id", "statement_type", "object_id", "valid_from", "valid_to", "confidence", "strength", "amount_gbp", F.array_join("sources", ",").alias("sources"))
 
@@ -250,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insight_bridge": _insight(insights.bridge),
     "insight_nearest_notable": lambda s, d: _insight_rows(insights.nearest_notable(graph(s, d), _facts(s, d), _ranked(s, d))),
     "insight_basic": lambda s, d: _insight_rows(insights.basic(graph(s, d), _ranked(s, d))),
+    "insights_all": insights_all,
     "register_stats": lambda s, d: insights.register_stats(graph(s, d)),
     # Matcher
     "fs_surname_rarity": lambda s, d: matcher.rarity(people(s, d)).select("surname", F.round("u", 6).alias("u")),
