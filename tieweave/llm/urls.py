@@ -3,8 +3,7 @@
 Rules given by hand (host and path prefix, block or allow) decide what they fit, and
 their decisions are the labels from which the method judges all other URLs:
 
-1. Per host the paths form a tree of segments, DEPTH deep (what is deeper is one last
-   segment, ``**``). Level by level, a segment becomes the wildcard ``*`` if its node has
+1. Per host the paths form a tree of segments, as deep as the longest path. Level by level, a segment becomes the wildcard ``*`` if its node has
    VARIABLE_KINDS different segments or more and it holds at most one in VARIABLE_SHARE
    of the node's URLs, or if it has a digit and is not the node's only one.
 2. From the lowest level up, branches that are statistically similar are merged into one,
@@ -18,7 +17,7 @@ their decisions are the labels from which the method judges all other URLs:
 URLs are reduced to (host, segments) counts before each level, so the shuffles of a hot
 host carry one row for each different segment and task; the joins back have the reduced
 side unique by key, so adaptive execution splits a hot host. The counts are
-checkpointed after each level. Nothing is collected.
+checkpointed after each level. Only the number of levels is collected.
 
 Defined results: a URL that is null or has no ``://`` has empty host and path, fits no
 rule, and is judged with its like by the same method; repeated rows and null ids are
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .exact import LOWER, UPPER
 
-DEPTH = 3
 VARIABLE_KINDS = 8
 VARIABLE_SHARE = 10
 MERGE_DISTANCE = 0.1
@@ -83,13 +81,13 @@ def _node(level: int) -> list[str]:
     return ["host", *(f"t{i}" for i in range(1, level))]
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """Templates t1 ... tDEPTH (null where the path has ended) for each (host, s1 ... sDEPTH).
+def templates(urls: DataFrame, depth: int) -> DataFrame:
+    """Templates t1 ... t<depth> (null where the path has ended) for each (host, s1 ... s<depth>).
 
-    ``urls`` has host, s1 ... sDEPTH (segments, null where the path has ended) and n, the
+    ``urls`` has host, s1 ... s<depth> (segments, null where the path has ended) and n, the
     number of URLs; the result has them too.
     """
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         node, s = _node(k), f"s{k}"
         kinds = urls.where(F.col(s).isNotNull()).groupBy(*node, s).agg(F.sum("n").alias("own"))
         whole = kinds.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("own").alias("whole"))
@@ -97,15 +95,15 @@ def templates(urls: DataFrame) -> DataFrame:
         numbered = F.col(s).rlike("[0-9]") & (F.col("kinds") >= 2)
         named = _same(kinds, whole, node).withColumn(f"t{k}", F.when(many | numbered, "*").otherwise(F.col(s))).select(*node, s, f"t{k}")
         urls = checkpointed(_same(urls, named, [*node, s], "left"))
-    for k in range(DEPTH - 1, 0, -1):
-        urls = checkpointed(_merge(urls, k))
+    for k in range(depth - 1, 0, -1):
+        urls = checkpointed(_merge(urls, k, depth))
     return urls
 
 
-def _merge(urls: DataFrame, k: int) -> DataFrame:
+def _merge(urls: DataFrame, k: int, depth: int) -> DataFrame:
     """Similar branches at level k get the template ``{}``."""
     node, t = _node(k), f"t{k}"
-    below = F.concat_ws("/", *(f"t{i}" for i in range(k + 1, DEPTH + 1)))
+    below = F.concat_ws("/", *(f"t{i}" for i in range(k + 1, depth + 1)))
     ways = checkpointed(urls.where(F.col(t).isNotNull()).groupBy(*node, t, below.alias("below")).agg(F.sum("n").alias("n")))
     branch = ways.groupBy(*node, t).agg(F.sum("n").alias("n_branch"), F.sum(F.when(F.col("below") != "", F.col("n")).otherwise(0)).alias("n_on"))
     pooled = ways.groupBy(*node, "below").agg(F.sum("n").alias("n_pooled"))
@@ -137,17 +135,17 @@ def judged(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_
     rows = rows.withColumn("ruled", first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict))
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = rows.withColumn("_segments", segments)
-    names = [f"s{k}" for k in range(1, DEPTH + 1)]
-    for k, name in enumerate(names, start=1):
-        own = F.get("_segments", F.lit(k - 1))
-        rows = rows.withColumn(name, F.when(F.size("_segments") > DEPTH, "**").otherwise(own) if k == DEPTH else own)
+    depth = max(1, rows.agg(F.max(F.size("_segments"))).first()[0] or 0)
+    names = [f"s{k}" for k in range(1, depth + 1)]
+    for k, name in enumerate(names):
+        rows = rows.withColumn(name, F.get("_segments", F.lit(k)))
     rows = rows.drop("_segments")
     key = ["host", *names]
     counts = rows.groupBy(*key).agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good")
     )
-    named = templates(checkpointed(counts))
-    template = [f"t{k}" for k in range(1, DEPTH + 1)]
+    named = templates(checkpointed(counts), depth)
+    template = [f"t{k}" for k in range(1, depth + 1)]
     named = named.withColumn("template", F.concat_ws("/", F.lit(""), *template))
     totals = named.groupBy("host", "template").agg(F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good"), F.sum(F.col("n") - F.col("bad") - F.col("good")).alias("n_unlabelled"))
     known = _same(named.select(*key, "template"), totals, ["host", "template"])
