@@ -38,9 +38,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column, and its name, that tells rows apart by id and text (by its hash).
+
+    Rows with the same id and different texts, and rows without an id, have names of
+    their own; rows equal in both share one. Names are ordered by id, null last.
+    """
+    (name,) = fresh(docs, "name")
+    own = F.col(id_col)
+    return docs.withColumn(name, F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(text_col).alias("text"))), name
+
+
+def id_name(id_col: str, results: Iterable[str]) -> str:
+    """``id_col``, with as many times ``_id`` after it as it takes to be none of ``results``."""
+    taken = {name.lower() for name in results}
+    while id_col.lower() in taken:
+        id_col += "_id"
+    return id_col
+
+
 def map_text(
     docs: DataFrame,
-    make: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
+    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
     fields: list[T.StructField],
     *,
     id_col: str = "doc_id",
@@ -51,17 +70,17 @@ def map_text(
     ``make`` runs once in a Python worker and returns a function from the texts of
     one Arrow batch to one array for each of ``fields``. Only the id and the text
     travel to Python and only the id and the results travel back. If that function has
-    the attribute ``forget``, it is called when the task ends.
+    the attribute ``forget``, it is called when the task ends. An id column that has the
+    name of a result is returned under ``id_name``.
     """
-    id_field = docs.schema[id_col]
-    schema = T.StructType([id_field, *fields])
+    schema = T.StructType([T.StructField(id_name(id_col, [f.name for f in fields]), docs.schema[id_col].dataType), *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         try:
             for batch in batches:
                 for part in slices(batch):
-                    columns = work(part.column(1).to_pylist())
+                    columns = work(part.column(1))
                     yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
         finally:
             getattr(work, "forget", int)()

@@ -3,31 +3,35 @@
 Each document becomes token ids with an end id, and its length is written as a sum of
 powers of two: whole sequences of ``max_length`` first, then one piece for each binary
 digit of the rest, longest first. Every piece is a sequence of its own, so no sequence
-crosses documents, and pieces of equal length form buckets that train without padding.
-The decomposition needs no shuffle; only ``write_buckets`` groups rows, by file.
-
-Defined results: a null or empty text is the end id alone (one piece of length 1); rows
-that repeat, also with the same id, are packed each on their own; a null id stays null;
-an empty table gives an empty result; other columns of the input are not read.
+crosses documents. Pieces are then put into buckets of equal length, one folder for each
+length, which are trained on without padding. Nothing is shuffled: each task writes its
+own files in each bucket, so no bucket meets in one task.
+
+Defined results: a null or empty text is the end id alone (one piece of length 1); a
+very long text gives as many sequences as it needs, handed on in parts; rows that repeat,
+also with the same id, are packed each on their own; a null id stays null; an empty table
+gives an empty result; other columns of the input are not read. An id column that has the
+name of a result comes back with ``_id`` after it.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import library_encoder
-from .common import slices, tokenizer_path
+from .common import id_name, scratch_path, slices, tokenizer_path
+from .matches import library_encoder, with_end
 
 MAX_LENGTH = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces are handed on in batches of about so many bytes.
+BATCH_BYTES = 16 << 20
 
 
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -36,7 +40,14 @@ def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_powers_of_two(
+def _in_batches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of places whose ``sizes`` add up to about BATCH_BYTES."""
+    number = np.cumsum(sizes) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+    return ((i, j) for i, j in zip(cuts, cuts[1:]) if i < j)
+
+
+def cut_powers_of_two(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -54,37 +65,30 @@ def pack_powers_of_two(
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
     vocabulary = vocabulary or tokenizer_path(VOCABULARY)
-    tail = struct.pack("<I", end_id)
     long = T.LongType()
-    schema = T.StructType(
-        [
-            docs.schema[id_col],
-            T.StructField("start", long),
-            T.StructField("length", long),
-            T.StructField("ids", T.BinaryType()),
-            T.StructField("doc_tokens", long),
-        ]
-    )
+    results = ["start", "length", "ids", "doc_tokens"]
+    kinds = dict.fromkeys(results, long) | {"ids": T.BinaryType()}
+    owner = id_name(id_col, [*results, "sequence_id", "offset", "bucket"])
+    schema = T.StructType([T.StructField(owner, docs.schema[id_col].dataType), *(T.StructField(c, kinds[c]) for c in results)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         try:
             for batch in batches:
                 for part in slices(batch):
-                    rows, starts, lengths, ids, totals = [], [], [], [], []
-                    for row, raw in enumerate(encoder.encode_all(part.column(1).to_pylist())):
-                        raw += tail
-                        n, at = len(raw) // 4, 0
-                        for length in piece_lengths(n, max_length):
-                            rows.append(row)
-                            starts.append(at)
-                            lengths.append(length)
-                            ids.append(raw[4 * at : 4 * (at + length)])
-                            totals.append(n)
-                            at += length
-                    owners = part.column(0).take(pa.array(np.array(rows, dtype=np.int64)))
-                    columns = [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
-                    yield pa.RecordBatch.from_arrays([owners, *columns], names=schema.names)
+                    ids, ends = with_end(*encoder.encode_array(part.column(1)), end_id)
+                    totals = np.diff(ends)
+                    cut = [piece_lengths(n, max_length) for n in totals.tolist()]
+                    lengths = np.array([x for own in cut for x in own], dtype=np.int64)
+                    rows = np.repeat(np.arange(len(cut)), [*map(len, cut)])
+                    begins = np.cumsum(lengths) - lengths
+                    for i, j in _in_batches(4 * lengths):
+                        own, low = rows[i:j], begins[i]
+                        raw = pa.py_buffer(ids[low : begins[j - 1] + lengths[j - 1]].tobytes())
+                        offsets = (4 * (np.append(begins[i:j], begins[j - 1] + lengths[j - 1]) - low)).astype(np.int32)
+                        pieces = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), raw])
+                        numbers = [pa.array(x) for x in (begins[i:j] - ends[own], lengths[i:j], totals[own])]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *numbers[:2], pieces, numbers[2]], names=schema.names)
         finally:
             encoder.forget()
 
@@ -93,10 +97,22 @@ def pack_powers_of_two(
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """The pieces as Parquet files in one folder for each length.
-
-    There are at most log2(max_length) + 1 folders. Each task writes its own files in
-    each, so no bucket is gathered in one task.
-    """
+    """The pieces as Parquet files in one folder for each length, log2(max_length) + 1 folders at most."""
     lengths = pieces.withColumn("bucket", F.col("length"))
-    lengths.write.partitionBy("bucket").parquet(path)
+    lengths.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, lengths: list[int] | None = None) -> DataFrame:
+    """The sequences in the buckets of ``lengths`` (all), with the columns of ``schema``."""
+    found = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.LongType())])).parquet(path)
+    if lengths is not None:
+        found = found.where(F.col("bucket").isin(lengths))
+    return found.drop("bucket")
+
+
+def pack_powers_of_two(docs: DataFrame, *, path: str | None = None, **options) -> DataFrame:
+    """The sequences of ``docs``, from buckets written to ``path`` (a new folder in the shared one)."""
+    path = path or scratch_path(docs.sparkSession, "buckets")
+    pieces = cut_powers_of_two(docs, **options)
+    write_buckets(pieces, path)
+    return read_buckets(docs.sparkSession, path, pieces.schema)

@@ -5,16 +5,17 @@ its number of ids, the ids before it within its partition and the ids as a list
 the order of partitions gives the place of each document in the whole stream. The list
 is dictionary encoded while the dictionary is small and delta encoded after that
 (version 2 pages). Row groups and pages are small and every page has an entry in the
-page index, so a reader of a few documents, or of lengths alone, fetches a few pages.
+page index, so a reader of a few documents (``read_documents``), or of lengths alone
+(``read_lengths``), fetches a few pages.
 
-Defined results: a null or empty text is the end id alone; a null id sorts first;
-documents with the same id are ordered by a hash of their texts, equal ones are
-interchangeable; an empty table gives no files' rows; other columns are not read.
+Defined results: a null or empty text is the end id alone; a very long text is one row;
+a null id sorts first; documents with the same id are ordered by a hash of their texts,
+equal ones are interchangeable; an empty table gives no files' rows; other columns are
+not read. An id column that has the name of a result comes back with ``_id`` after it.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import library_encoder
-from .common import fresh, slices, tokenizer_path
+from .common import fresh, id_name, slices, tokenizer_path
+from .matches import library_encoder, with_end
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 64
+#: What the files and their readers add to the id.
+RESULTS = ("part", "part_start", "n_tokens", "ids", "start", "ids_crc32")
 
 
 def write_token_files(
@@ -52,10 +55,10 @@ def write_token_files(
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or tokenizer_path(VOCABULARY)
-    tail = struct.pack("<I", end_id)
+    owner = id_name(id_col, RESULTS)
     schema = T.StructType(
         [
-            docs.schema[id_col],
+            T.StructField(owner, docs.schema[id_col].dataType),
             T.StructField("part", T.IntegerType()),
             T.StructField("part_start", T.LongType()),
             T.StructField("n_tokens", T.LongType()),
@@ -69,13 +72,10 @@ def write_token_files(
         try:
             for batch in batches:
                 for part in slices(batch):
-                    raw = [x + tail for x in encoder.encode_all(part.column(1).to_pylist())]
-                    lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                    ends = lengths.cumsum()
-                    values = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").view("<i4"))
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                    numbers = pa.array(np.full(len(raw), number, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array(at + ends - lengths), pa.array(lengths), ids], names=schema.names)
+                    flat, ends = with_end(*encoder.encode_array(part.column(1)), end_id)
+                    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                    numbers = pa.array(np.full(len(ids), number, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(0), numbers, pa.array(at + ends[:-1]), pa.array(np.diff(ends)), ids], names=schema.names)
                     at += int(ends[-1])
         finally:
             encoder.forget()
@@ -108,6 +108,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.join(F.broadcast(starts), "part").withColumn("start", F.col("_tw_before") + F.col("part_start")).drop("_tw_before")
 
 
+def read_lengths(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens) of every document, from the pages of those columns alone."""
+    return read_token_files(spark, path).select(id_col, "start", "n_tokens")
+
+
+def read_documents(spark: SparkSession, path: str, first: object, last: object, id_col: str = "doc_id") -> DataFrame:
+    """The rows with an id from ``first`` to ``last``.
+
+    Files lie in the order of ids, so all row groups but a few are left out by their
+    statistics, and all pages but a few of those by the page index.
+    """
+    return read_token_files(spark, path).where(F.col(id_col).between(first, last))
+
+
 def with_crc32(tokens: DataFrame, *, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ids_crc32 of the list column ``ids``, as unsigned 32-bit."""
     schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField("ids_crc32", T.LongType())])
