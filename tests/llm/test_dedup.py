@@ -63,9 +63,53 @@ def test_near_duplicates_equal_the_plain_version(spark):
     wanted = sorted(((i, simhash.signed(prints[i, t]), least.get(roots[prints[i, t]])) for i, t in rows), key=str)
     found = sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str)
     assert found == wanted
+    renamed = simhash.near_duplicates(df.select("doc_id", "text").withColumnRenamed("doc_id", "fingerprint"), id_col="fingerprint")
+    assert renamed.columns == ["fingerprint_id", "fingerprint", "component_id"]
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, c in wanted if i is None or i == c), key=str)
+    # One row of each component stays; the one without an id only if its component has no other.
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, c in wanted if i == c), key=str)
+
+
+#: Names that operators have inside, and those of results, as columns of their input.
+TAKEN = ["_tw_maybe", "_tw_digest", "_tw_row", "_tw_name", "_tw_dropped", "_tw_slot", "_tw_bucket", "_tw_bits", "id", "text_sha256", "component_id", "fingerprint", "node", "line", "doc", "kept"]
+
+
+def with_taken(df):
+    return df.selectExpr("*", *(f"'{i}' AS {name}" for i, name in enumerate(TAKEN)))
+
+
+SAME_ID = [(1, "one two three four five six\nshared line of words\n1"), (1, "quite another text it is\nshared line of words\n1"), (2, "ONE two three four five six\nshared line of words\n1"), (None, "no id here\nx y"), (None, "nor here\nx y")]
+
+
+@pytest.mark.parametrize("options", [{"max_bits": 4}, {"by_similarity": True, "shingle_words": 5}])
+def test_documents_with_the_same_id_are_told_apart(spark, options):
+    df = with_taken(spark.createDataFrame(SAME_ID, "doc_id long, text string"))
+    kept = simhash.drop_near_duplicates(df, **options)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == SAME_ID[:2]
+    assert {r.text for r in kept.where("doc_id is null").collect()} == {SAME_ID[3][1], SAME_ID[4][1]}
+
+
+def test_lines_of_documents_with_the_same_id_are_told_apart(spark):
+    df = with_taken(spark.createDataFrame(SAME_ID, "doc_id long, text string"))
+    left = line_dedup.without_lines(df)
+    assert left.columns == df.columns
+    lines = [x for r in left.collect() for x in r.text.split("\n")]
+    every = [x.lower() for _, t in SAME_ID for x in t.split("\n")]
+    assert sorted(x.lower() for x in lines if x) == sorted(set(every))
+    report = line_dedup.line_report(df)
+    assert report.count() == len(SAME_ID) and report.selectExpr("sum(size(dropped))").first()[0] == len(every) - len(set(every))
+
+
+def test_exact_dedup_with_taken_names(spark):
+    df = with_taken(spark.createDataFrame([*SAME_ID, (7, SAME_ID[0][1])], "doc_id long, text string"))
+    kept = exact.drop_exact(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("7", SAME_ID[0][1]), ("1", SAME_ID[1][1]), *((str(None), t) for _, t in SAME_ID[3:])])
+    for name in ("kept", "keep_id", "text_sha256", "GROUP_SIZE"):
+        found = exact.groups(df.select("doc_id", "text").withColumnRenamed("doc_id", name), id_col=name)
+        assert len(set(map(str.lower, found.columns))) == 5 and found.count() == 6
 
 
 @pytest.mark.parametrize("block", [2, 7, 4096])
@@ -124,7 +168,7 @@ def plain_dropped(rows):
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
             w = tuple(words(line))
-            if len(w) >= 3:
+            if w:
                 places.setdefault(w, []).append((i, n))
     out = set()
     for w, own in places.items():

@@ -22,7 +22,10 @@ most HOT_GROUPS in number, so theirs are broadcast, and no other group is large.
 Defined results: a null text equals the empty one; of equal texts the row with the
 largest id stays, null being the least; rows equal in id and text are counted apart in
 group_size and are kept or dropped together in ``groups``, while ``drop_exact``
-keeps one row of each group; an empty table gives no rows.
+keeps one row of each group; a very long text is hashed whole; an empty table gives no
+rows. Further columns, whatever their names, are not read by ``groups`` and pass through
+``drop_exact``; an id column that has the name of a result of ``groups`` comes back with
+``_id`` after it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, scratch_path
+from .common import checkpointed, fresh, id_name, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = 2
@@ -64,21 +67,21 @@ def repeated_slots(digests: DataFrame, column: str, slots: int, hashes: int = HA
     return twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
 
 
-def maybe_repeated(rows: DataFrame, digest: str, bitmaps: DataFrame, slots: int, hashes: int = HASHES) -> DataFrame:
-    """``rows`` with the boolean ``_tw_maybe``: all slots of the digest are in the filter."""
+def maybe_repeated(rows: DataFrame, digest: str, bitmaps: DataFrame, slots: int, hashes: int = HASHES) -> tuple[DataFrame, str]:
+    """``rows`` with a boolean column, and its name: all slots of the digest are in the filter."""
     columns, tests = rows.columns, []
+    (maybe,) = fresh(rows, "maybe")
     for k in range(hashes):
-        bucket, bits = f"_tw_bucket{k}", f"_tw_bits{k}"
-        slot = _slot(F.col(digest), k, slots)
+        own, bucket, bits = fresh(rows, "slot", "bucket", "bits")
         found = F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
-        rows = rows.withColumn(f"_tw_slot{k}", slot).join(found, F.expr(f"bitmap_bucket_number(_tw_slot{k}) = {bucket}"), "left")
-        at = F.expr(f"bitmap_bit_position(_tw_slot{k})")
-        byte = F.conv(F.hex(F.substring(bits, F.expr(f"cast(bitmap_bit_position(_tw_slot{k}) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+        rows = rows.withColumn(own, _slot(F.col(digest), k, slots)).join(found, F.expr(f"bitmap_bucket_number({own}) = {bucket}"), "left")
+        at = F.expr(f"bitmap_bit_position({own})")
+        byte = F.conv(F.hex(F.substring(bits, F.expr(f"cast(bitmap_bit_position({own}) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
         tests.append(F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
-    maybe = tests[0]
+    all_there = tests[0]
     for test in tests[1:]:
-        maybe = maybe & test
-    return rows.select(*columns, maybe.alias("_tw_maybe"))
+        all_there = all_there & test
+    return rows.select(*columns, all_there.alias(maybe)), maybe
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -90,9 +93,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     rows = digests.count()
     slots = filter_slots(rows, max_bytes=max_filter_bytes)
     bitmaps = repeated_slots(digests, "text_sha256", slots, hashes)
-    tested = maybe_repeated(digests, "text_sha256", bitmaps, slots, hashes)
-    alone = tested.where("not _tw_maybe").select("_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    shared = tested.where("_tw_maybe").select("_tw_id", "text_sha256")
+    tested, maybe = maybe_repeated(digests, "text_sha256", bitmaps, slots, hashes)
+    alone = tested.where(~F.col(maybe)).select("_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    shared = tested.where(maybe).select("_tw_id", "text_sha256")
     sizes = checkpointed(shared.groupBy("text_sha256").agg(F.max("_tw_id").alias("keep_id"), F.count("*").alias("group_size")))
     # At most HOT_GROUPS groups can have more than one in HOT_GROUPS of all rows.
     hot = F.col("group_size") > rows // HOT_GROUPS
@@ -100,7 +103,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     in_large = shared.join(large, "text_sha256")
     in_small = shared.join(large.select("text_sha256"), "text_sha256", "left_anti").join(small, "text_sha256")
     found = alone.unionByName(in_large).unionByName(in_small)
-    return found.select(F.col("_tw_id").alias(id_col), "keep_id", "group_size", F.expr("_tw_id <=> keep_id").alias("kept"), "text_sha256")
+    own = id_name(id_col, ["keep_id", "group_size", "kept", "text_sha256"])
+    return found.select(F.col("_tw_id").alias(own), "keep_id", "group_size", F.expr("_tw_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -114,9 +118,10 @@ def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
     slots = filter_slots(docs.select(id_col).count(), max_bytes=max_filter_bytes)
     bitmaps = repeated_slots(rows, digest, slots, hashes)
-    tested = maybe_repeated(rows, digest, bitmaps, slots, hashes)
-    alone = tested.where("not _tw_maybe").select(*docs.columns)
+    tested, maybe = maybe_repeated(rows, digest, bitmaps, slots, hashes)
+    (row,) = fresh(tested, "row")
+    alone = tested.where(~F.col(maybe)).select(*docs.columns)
     plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     order = F.struct(F.col(id_col), F.xxhash64(*plain))
-    kept = tested.where("_tw_maybe").groupBy(digest).agg(F.max_by(F.struct(*docs.columns), order).alias("_tw_row")).select("_tw_row.*")
+    kept = tested.where(maybe).groupBy(digest).agg(F.max_by(F.struct(*docs.columns), order).alias(row)).select(f"{row}.*")
     return alone.unionByName(kept)
