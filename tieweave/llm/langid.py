@@ -5,15 +5,18 @@ HIDDEN units reads forwards and another one backwards, both states label every b
 position with class probabilities, and a document's score is the mean over all its
 positions, whole text. The network is trained in numpy by backpropagation through time.
 
-Training reads a bounded sample: of each language the SAMPLE_ROWS rows (at most) with the
-least hashes of their ids, and of each row SAMPLE_WINDOWS windows at hashed places over
-the whole text, cut out by the executors. Languages are at most MAX_LANGUAGES (the most
-frequent). Everything is seeded, so a fit is repeatable. Prediction needs no shuffle.
+Training reads a bounded sample: SAMPLE_ROWS labelled rows at most (one for each language
+if there are more languages than that), dealt evenly over all languages, those with the
+least hashes of their ids; their whole texts come to the driver. Every window of them is
+learnt from, and a language's windows count as much as another's. Everything is seeded,
+so a fit is repeatable. Prediction needs no shuffle.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so does
-any text if there is nothing to learn from; repeated rows and null ids get results of
-their own; rows with a null language are predicted but not learnt from; an empty table
-gives no rows; other columns are not read.
+any text if there is nothing to learn from; a very long text is read whole; repeated rows
+and null ids get results of their own; rows with a null language are predicted but not
+learnt from; an empty table gives no rows; other columns are not read by ``predict`` and
+pass through ``keep_known``, and an id column that has the name of a result comes back
+with ``_id`` after it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +35,10 @@ from .common import map_text
 
 WINDOW = 64
 HIDDEN = 8
-SAMPLE_ROWS = 1500
-SAMPLE_WINDOWS = 4
-MAX_LANGUAGES = 64
-EPOCHS = 8
+#: Labelled rows that a fit may read, over all languages.
+SAMPLE_ROWS = 480
+#: Passes over the sample's windows, one at least; fewer if there are more windows than this many.
+EPOCHS, PASSED_WINDOWS = 8, 200_000
 BATCH = 256
 RATE = 0.02
 UNDETERMINED = "und"
@@ -43,7 +46,12 @@ UNDETERMINED = "und"
 SIDE_BY_SIDE = 4096
 #: Stands after the end of a text in its last window; labels there don't count.
 PADDING = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
 
 
 @dataclass
@@ -144,23 +152,24 @@ def gradients(net: Network, windows: np.ndarray, labels: np.ndarray, weights: np
     return out
 
 
-def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Network | None:
-    """A network fitted to windows with their languages (Adam); None without rows."""
+def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int | None = None, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Network | None:
+    """A network fitted to texts with their languages (Adam); None without a text."""
+    rows = [(raw, lang) for raw, lang in rows if raw]
     if not rows:
         return None
     languages = sorted({lang for _, lang in rows})
-    windows = np.full((len(rows), WINDOW), PADDING, dtype=np.int64)
-    for i, (raw, _) in enumerate(rows):
-        windows[i, : len(raw)] = np.frombuffer(raw[:WINDOW], dtype=np.uint8)
-    labels = np.array([languages.index(lang) for _, lang in rows])
-    weights = (len(rows) / len(languages) / np.bincount(labels, minlength=len(languages)))[labels]
+    number = {lang: i for i, lang in enumerate(languages)}
+    windows, owners = cut_windows([raw for raw, _ in rows])
+    labels = np.array([number[lang] for _, lang in rows])[owners]
+    weights = (len(windows) / len(languages) / np.bincount(labels, minlength=len(languages)))[labels]
+    epochs = epochs or max(1, min(EPOCHS, PASSED_WINDOWS // len(windows)))
     random = np.random.default_rng(seed)
     net = new_network(languages, hidden, random)
     first, second = [np.zeros_like(x) for x in net.parts], [np.zeros_like(x) for x in net.parts]
-    step, steps = 0, epochs * -(-len(rows) // batch)
+    step, steps = 0, epochs * -(-len(windows) // batch)
     for _ in range(epochs):
-        order = random.permutation(len(rows))
-        for at in range(0, len(rows), batch):
+        order = random.permutation(len(windows))
+        for at in range(0, len(windows), batch):
             own = order[at : at + batch]
             step += 1
             now = rate * (1 - step / (steps + 1))
@@ -172,30 +181,34 @@ def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int =
     return net
 
 
-def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean class probabilities over all byte positions of each text, (texts, languages)."""
+def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, owners): all windows of all texts, (windows, WINDOW), and the text of each."""
     counts = np.array([len(x) for x in texts], dtype=np.int64)
     per_text = -(-counts // WINDOW)
-    sums = np.zeros((len(texts), len(net.languages)))
-    owners = np.repeat(np.arange(len(texts)), per_text)
     padded = b"".join(x.ljust(int(n) * WINDOW, b"\0") for x, n in zip(texts, per_text))
-    windows = np.frombuffer(padded, dtype=np.uint8).reshape(-1, WINDOW)
-    ends = np.cumsum(per_text)
+    windows = np.frombuffer(padded, dtype=np.uint8).reshape(-1, WINDOW).astype(np.int16)
     used = np.full(len(windows), WINDOW)
     full = per_text > 0
-    used[ends[full] - 1] = counts[full] - (per_text[full] - 1) * WINDOW
+    used[np.cumsum(per_text)[full] - 1] = counts[full] - (per_text[full] - 1) * WINDOW
+    ends = np.flatnonzero(used < WINDOW)
+    windows[ends] = np.where(np.arange(WINDOW) < used[ends, None], windows[ends], PADDING)
+    return windows, np.repeat(np.arange(len(texts)), per_text)
+
+
+def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Mean class probabilities over all byte positions of each text, (texts, languages)."""
+    windows, owners = cut_windows(texts)
+    sums = np.zeros((len(texts), len(net.languages)))
     for at in range(0, len(windows), SIDE_BY_SIDE):
-        part = windows[at : at + SIDE_BY_SIDE].T.astype(np.int16)
-        inside = np.arange(WINDOW)[:, None] < used[at : at + SIDE_BY_SIDE]
-        part[~inside] = PADDING
+        part = np.ascontiguousarray(windows[at : at + SIDE_BY_SIDE].T)
         h = net.recurrent.shape[1]
         scores = states(net, part, 0) @ net.output[:h]
         scores += states(net, part, 1) @ net.output[h:]
         scores += net.bias
         chances = softmax(scores)
-        chances *= inside[:, :, None]
+        chances *= (part != PADDING)[:, :, None]
         np.add.at(sums, owners[at : at + SIDE_BY_SIDE], chances.sum(axis=0))
-    return sums / np.maximum(counts, 1)[:, None]
+    return sums / np.maximum([len(x) for x in texts], 1)[:, None]
 
 
 def held_out(id_column: Column) -> Column:
@@ -203,31 +216,30 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_windows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
-    """The bounded sample, brought to the driver: at most sample_rows * SAMPLE_WINDOWS windows a language."""
+def training_texts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
+    """The bounded sample (text, language), brought to the driver; one scan counts, one takes."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    place = F.xxhash64(F.col(id_col))
-    out = []
-    raw = F.col(text_col).cast("binary")
-    starts = [(F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.octet_length(text_col) - WINDOW + 1, F.lit(1))) + 1).cast("int") for k in range(SAMPLE_WINDOWS)]
-    cut = [F.substring(raw, start, F.lit(WINDOW)) for start in starts]
-    # The share of each language's rows by hash is about sample_rows; the limit makes it a bound.
-    for lang, n in counts:
-        share = min(1.0, 1.2 * sample_rows / n)
-        within = F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))
-        rows = known.where((F.col(lang_col) == lang) & within).select(place.alias("place"), *(c.alias(f"w{k}") for k, c in enumerate(cut)))
-        for row in rows.orderBy("place").limit(sample_rows).collect():
-            out += [(bytes(w), lang) for w in row[1:] if w]
-    return out
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("place"))
+    counts = dict(known.groupBy("lang").count().collect())
+    if not counts:
+        return []
+    each = max(1, sample_rows // len(counts))
+    # Rows under its language's share of the hashes' range are about twice as many as wanted.
+    span = 1 << 30
+    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(span, 2 * (each + 8) * span // n)))]
+    within = known.where(F.pmod("place", F.lit(span)) < F.element_at(F.create_map(*shares), F.col("lang")))
+    ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(span)), "place", "text")))
+    rows = ranked.where(F.col("rank") <= each).orderBy("lang", "rank").select("text", "lang")
+    return [(text.encode(), lang) for text, lang in rows.collect()]
 
 
 def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row."""
 
     def make():
-        def work(texts: list[str | None]) -> list[pa.Array]:
-            with_letter = [bool(t and _LETTER.search(t)) and net is not None for t in texts]
+        def work(given: pa.Array) -> list[pa.Array]:
+            texts = given.to_pylist()
+            with_letter = [has_letter(t) and net is not None for t in texts]
             chances = iter(pooled(net, [t.encode() for t, yes in zip(texts, with_letter) if yes]) if any(with_letter) else ())
             langs, scores = [], []
             for yes in with_letter:
@@ -249,7 +261,7 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network fitted to the labelled rows of ``docs`` that are not held out."""
-    return train(training_windows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample_rows=sample_rows))
+    return train(training_texts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample_rows=sample_rows))
 
 
 def keep_known(docs: DataFrame, net: Network | None, *, min_score: float = 0.5, text_col: str = "text", languages: list[str] | None = None) -> DataFrame:
@@ -263,7 +275,7 @@ def keep_known(docs: DataFrame, net: Network | None, *, min_score: float = 0.5,
         for batch in batches:
             for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
-                use = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                use = [i for i, t in enumerate(texts) if has_letter(t)]
                 keep = np.zeros(len(texts), dtype=bool)
                 if use and net is not None:
                     chances = pooled(net, [texts[i].encode() for i in use])
