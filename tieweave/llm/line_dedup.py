@@ -1,11 +1,13 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words, with A-Z in lower case. A line goes if an
-earlier line (by document id, then line number) is the same, or is within one word's
-insertion, deletion or replacement of it. The edit bound is one word from NEAR_WORDS words
-on and nothing below; lines under MIN_WORDS words always stay.
+earlier line (by document id, then line number) is the same, or is within the edit bound
+of it: the insertion, deletion or replacement of one word in NEAR_WORDS, and of one at
+most. A line of fewer than NEAR_WORDS words thus goes only if an earlier one has the same
+words. A line without a word always stays.
 
-1. Every line gets a 128-bit hash; different lines get their first place.
+1. Every line gets a 128-bit hash; different lines get their first place. Lines of NEAR_WORDS words or
+   more go through steps 2 to 5 as well.
 2. One edit leaves one half of a line alone. Lines that share a half with a different
    line are candidates; halves are hashed at the two lengths at which two lines that one
    edit parts must agree. All others are done.
@@ -27,9 +29,12 @@ A key's group is reduced to its earliest line before the join, so rows grow with
 variants, never with pairs, and a hot line is one row for each task from step 1 on.
 
 Defined results: null and empty texts have no lines that could go; rows with the same id
-are copies of one document, so equal lines at the same number are the same line and stay;
-a null id comes first; an empty table gives no rows; other columns are not read by
-``dropped_lines`` and pass through ``without_lines``.
+and text are copies of one document, so equal lines at the same number are the same line
+and stay; rows with the same id (or none) and different texts are documents of their own,
+in the order of a hash of their texts; a null id comes last; very long texts and lines
+are compared whole; an empty table gives no rows; other columns, whatever their names, are
+not read by ``dropped_lines`` and pass through ``without_lines``. An id column that has
+the name of a result comes back with ``_id`` after it.
 """
 
 from __future__ import annotations
@@ -42,10 +47,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, scratch_path, slices
+from .common import checkpointed, fresh, id_name, named, scratch_path, slices
 from .exact import BITMAP_SLOTS, filter_slots
 
-MIN_WORDS = 3
+#: One word in so many may be edited, and one at most.
 NEAR_WORDS = 8
 MAX_FILTER_BYTES = 32 << 20
 #: Candidate lines that a task remembers so as not to send them again.
@@ -130,7 +135,7 @@ LONG = T.LongType()
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, h1, h2, halves) of all lines of MIN_WORDS words or more."""
+    """(doc, line, h1, h2, halves) of all lines with a word."""
     fields = [T.StructField("doc", docs.schema[id_col].dataType), *(T.StructField(c, LONG) for c in ("line", "h1", "h2")), T.StructField("halves", T.ArrayType(LONG))]
     schema = T.StructType(fields)
 
@@ -143,7 +148,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for row, text in enumerate(part.column(1).to_pylist()):
                     for number, line in enumerate((text or "").split("\n")):
                         words = line_words(line)
-                        if len(words) < MIN_WORDS:
+                        if not words:
                             continue
                         own = half_digests(words) if len(words) >= NEAR_WORDS else b""
                         rows.append(row)
@@ -281,7 +286,13 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, line) of every line that goes; lines are numbered from 0."""
+    """(doc, line) of every line that goes, ``doc`` being the id; lines are numbered from 0."""
+    rows, name = named(docs, id_col, text_col)
+    return _dropped(rows, name, text_col).select("doc.id", "line").withColumnRenamed("id", "doc")
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line) of every line that goes, where ``id_col`` tells documents apart."""
     spark = docs.sparkSession
     path = scratch_path(spark, "lines")
     _lines(docs, id_col, text_col).write.parquet(path)
@@ -318,19 +329,18 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_lines (with a visible word) and dropped, the numbers of the lines that go."""
-    gone = dropped_lines(docs, id_col=id_col, text_col=text_col)
-    lists = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+    rows, name = named(docs.select(id_col, text_col), id_col, text_col)
+    lists = _dropped(rows, name, text_col).groupBy(F.col("doc").alias(name)).agg(F.sort_array(F.collect_list("line")).alias("dropped"))
     some = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    own = docs.select(F.col(id_col), F.size(some).cast("long").alias("n_lines"))
-    joined = own.join(lists, own[id_col].eqNullSafe(lists["doc"]), "left")
-    return joined.select(id_col, "n_lines", F.coalesce("dropped", F.array().cast("array<bigint>")).alias("dropped"))
+    own = rows.select(name, F.col(id_col).alias(id_name(id_col, ["n_lines", "dropped"])), F.size(some).cast("long").alias("n_lines"))
+    return own.join(lists, name, "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<bigint>"))).drop(name)
 
 
 def without_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that go taken out of the texts; all columns and rows stay."""
-    doc, gone = fresh(docs, "doc", "dropped")
-    lists = dropped_lines(docs, id_col=id_col, text_col=text_col).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(gone))
-    joined = docs.join(lists, F.col(id_col).eqNullSafe(F.col(doc)), "left")
+    rows, name = named(docs, id_col, text_col)
+    (gone,) = fresh(rows, "dropped")
+    lists = _dropped(rows, name, text_col).groupBy(F.col("doc").alias(name)).agg(F.collect_set("line").alias(gone))
     left = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(gone, i.cast("long")))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return rows.join(lists, name, "left").withColumn(text_col, text).select(*docs.columns)
