@@ -43,14 +43,52 @@ def test_held_out_accuracy(spark, data):
 
 
 def test_language_of_odd_texts(spark):
-    rows = [(1, "the quick brown fox " * 40, "en"), (2, "le renard brun et la " * 40, "fr"), (3, None, "en"), (4, "", "fr"), (5, "123 !?", None), (None, "the fox", "en"), (6, "x" * 500_000, None)]
+    rows = [(1, "the quick brown fox " * 40, "en"), (2, "le renard brun et la " * 40, "fr"), (3, None, "en"), (4, "", "fr"), (5, "123 !?", None), (None, "the fox", "en"), (6, "x" * 500_000, None), (7, "½ ² Ⅷ _", None), (8, "Ж", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score")
     found = {r.doc_id: r for r in langid.predict(df, langid.fit(df)).collect()}
-    assert {i: (found[i].lang_pred, found[i].score) for i in (3, 4, 5)} == dict.fromkeys((3, 4, 5), ("und", 0.0))
+    assert {i: (found[i].lang_pred, found[i].score) for i in (3, 4, 5, 7)} == dict.fromkeys((3, 4, 5, 7), ("und", 0.0))
+    assert found[8].lang_pred in ("en", "fr")
+    assert langid.predict(df.withColumnRenamed("doc_id", "lang_pred"), None, id_col="lang_pred").columns == ["lang_pred_id", "lang_pred", "score"]
     assert langid.fit(df.limit(0)) is None
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
     kept = langid.keep_known(df, langid.fit(df), min_score=0.0)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, None}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, 8, None}
+
+
+def test_every_language_is_learnt_and_the_sample_is_bounded(spark):
+    rows = [(i, f"wort{i % 70} " * 30, f"l{i % 70:02}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang"}
+    found = langid.training_texts(df, **names, sample_rows=210)
+    assert len(found) == 210 and len({lang for _, lang in found}) == 70
+    assert len(langid.training_texts(df, **names, sample_rows=10)) == 70
+    assert all(text.decode() == f"wort{int(lang[1:])} " * 30 for text, lang in found)
+
+
+def test_forward_pass_equals_a_plain_loop():
+    net = langid.new_network(["a", "b", "c"], 4, np.random.default_rng(4))
+    text = "Sätze aus Bytes. ".encode() * 9
+
+    def plain(part, direction):
+        h, state, out = 4, np.zeros(4), {}
+        for t in range(langid.WINDOW) if direction == 0 else range(langid.WINDOW - 1, -1, -1):
+            given, u = net.inputs[direction][part[t]], net.recurrent[direction]
+            update = 1 / (1 + np.exp(-(given[:h] + state @ u[:, :h])))
+            reset = 1 / (1 + np.exp(-(given[h : 2 * h] + state @ u[:, h : 2 * h])))
+            state = (1 - update) * state + update * np.tanh(given[2 * h :] + (reset * state) @ u[:, 2 * h :])
+            out[t] = state
+        return out
+
+    total = np.zeros(3)
+    for at in range(0, len(text), langid.WINDOW):
+        part = [*text[at : at + langid.WINDOW]]
+        size = len(part)
+        part += [langid.PADDING] * (langid.WINDOW - size)
+        forwards, backwards = plain(part, 0), plain(part, 1)
+        for t in range(size):
+            scores = np.exp(np.concatenate([forwards[t], backwards[t]]) @ net.output + net.bias)
+            total += scores / scores.sum()
+    assert np.allclose(langid.pooled(net, [text])[0], total / len(text), atol=1e-5)
 
 
 def test_position_sums_do_not_depend_on_the_batch():
@@ -105,12 +143,53 @@ def test_templates_and_purity(spark):
 @pytest.mark.parametrize(
     ("line", "failure"),
     [
-        ("Home | News | About", "navigation"), ("bad### words%%% here&&&", "symbols"), ("WIN NOW AND HERE!!", "shouting"), ("Please accept cookies to go on.", "boilerplate"),
+        ("Home | News | About", "navigation"), ("bad### words%%% here&&&", "symbols"), ("WIN NOW AND HERE!!", "shouting"), ("Please ACCEPT  cookies to go on.", "boilerplate"),
         ("a short line", "unfinished"), ("A short line.", None), ('He said "so."', None), ("one two three four five six seven eight nine ten eleven twelve", None),
     ],
 )
 def test_line_rules(line, failure):
-    assert quality.line_failure(line, len(line.split())) == failure
+    known = {quality.line_hash(b"please accept cookies to go on.".split())}
+    assert quality.line_failure(line, line.encode().split(), known) == failure
+
+
+def test_boilerplate_is_found_by_its_neighbours(spark):
+    def page(i, *inside):
+        return "\n".join([f"This{i} page{i} begins{i}.", *inside, "", f"And{i} here{i} it{i} ends{i}."])
+
+    long = " ".join(f"w{k}" for k in range(quality.BOILERPLATE_WORDS + 1)) + "."
+    rows = [page(i, f"Eigen{i}.", "Alle Rechte\tvorbehalten.", long) for i in range(12)]
+    rows += ["A first line.\nA copied line.\nA last line." + f"\nEdit {i}." * (i % 3 == 0) for i in range(30)]
+    rows += [page(100 + i, "Not often.") for i in range(9)] + [None, "", " \n"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, line string").repartition(3)
+    found = set(quality.boilerplate_lines(df).tolist())
+    # The unfinished page marks at the ends of a text have neighbours of their own.
+    assert found == {quality.line_hash(b"alle rechte vorbehalten.".split())}
+    assert len(quality.boilerplate_lines(df.limit(0))) == 0
+    texts = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert texts[0].lost_words == 3 and texts[12].lost_words == 0
+
+
+def test_very_long_texts_are_judged_whole(spark):
+    sentence = "Many different words stand in line number {} of this very long text, so it stays."
+    whole = "\n".join(sentence.format(i) for i in range(30_000))
+    df = spark.createDataFrame([(1, whole), (2, whole + "\n" + "A | B\n" * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert found[1].n_words == 16 * 30_000 and found[2].lost_words == 600_000
+    assert found[2].kept is False
+
+
+@pytest.mark.parametrize("name", ["kept", "n_words", "LOST_WORDS"])
+def test_quality_ids_may_have_any_name(spark, name):
+    df = spark.createDataFrame([(1, "a b")], f"{name} long, text string")
+    assert quality.verdicts(df, id_col=name).first()[0] == 1
+
+
+def test_quality_against_labels(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.verdicts(docs).join(labels, "doc_id").collect()
+    good, bad = ([r for r in rows if r.quality == q and r.n_words >= quality.MIN_WORDS] for q in (1, 0))
+    assert sum(r.kept for r in good) >= 0.97 * len(good)
+    assert sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
 def test_repeated_words_equal_the_plain_count():

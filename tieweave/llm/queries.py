@@ -171,19 +171,27 @@ SQL = {
     """,
     "op10_quality_rules": r"""
         WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+            SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
         judged AS (
-            SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+            SELECT doc_id, place, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS own,
                 length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
                 length(regexp_replace(line, '[^|<>]', '', 'g')) AS separators
             FROM lines),
+        placed AS (
+            SELECT own, n, coalesce(lag(own) OVER w, '') AS earlier, coalesce(lead(own) OVER w, '') AS later
+            FROM judged WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+        boilerplate AS (
+            SELECT own FROM placed WHERE n <= 40 GROUP BY own
+            HAVING count(*) >= 10 AND 1000000 * count(*) >= (SELECT count(*) FROM placed WHERE n <= 40)
+                AND 4 * greatest(count(DISTINCT earlier), count(DISTINCT later)) >= 3 * count(*)),
         losses AS (
             SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
                 sum(n) FILTER (
                     symbols > 0 AND (5 * separators >= n OR 5 * symbols > n)
                     OR n >= 3 AND regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}')
-                    OR regexp_matches(line, '(?i)BOILERPLATE')
-                    OR n < 12 AND NOT regexp_matches(line, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$')) AS lost
+                    OR own IN (SELECT own FROM boilerplate)
+                    OR n < 12 AND NOT regexp_matches(line, '[.!?…:;。！？।؟]["''”’»)\]]*[\x20\x09-\x0D]*$')) AS lost
             FROM judged WHERE n > 0 GROUP BY doc_id),
         words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -203,7 +211,7 @@ SQL = {
             n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
             NOT base_failed AND lost <= 0.3 * n_words AS kept
         FROM base
-    """.replace("BOILERPLATE", "|".join(quality.BOILERPLATE)),
+    """,
     "op6_line_dedup": """
         WITH numbered AS (
             SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS raw
@@ -213,7 +221,7 @@ SQL = {
             FROM (SELECT doc_id, line, regexp_extract_all(
                 translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM numbered)
             WHERE len(w) > 0),
-        different AS (SELECT own, any_value(w) AS w, any_value(n) AS n, min((doc_id, line)) AS place FROM lines WHERE n >= 3 GROUP BY own),
+        different AS (SELECT own, any_value(w) AS w, any_value(n) AS n, min((doc_id, line)) AS place FROM lines GROUP BY own),
         places AS (SELECT own, w, place, unnest(range(1, n + 1)) AS i FROM different WHERE n >= 8),
         rests AS (SELECT own, place, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS rest FROM places),
         replaced AS (SELECT own, place > min(place) OVER (PARTITION BY i, rest) AS late FROM rests),
