@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import HUB_TYPES
 from .findings import Graph, _slots, both_ends, degree
+from .ranks import ranked
 
 
 def registers(g: Graph) -> DataFrame:
@@ -32,13 +33,6 @@ def _insight(df: DataFrame, kind: str, priority: Column, slots: Column, rank: Co
     )
 
 
-def _ranked(df: DataFrame, by: str, cohort: str | None) -> DataFrame:
-    """``df`` with rank and cohort_size. A cohort's size is aggregated and joined, not windowed."""
-    keys = [cohort] if cohort else []
-    window = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    return df.withColumn("rank", F.rank().over(window.orderBy(F.desc(by)))).withColumn("cohort_size", F.count("*").over(window))
-
-
 def _share(weight: float = 1.0) -> Column:
     return weight * (1 - (F.col("rank") - 1) / F.greatest(F.lit(1), F.col("cohort_size")))
 
@@ -54,9 +48,9 @@ def _money(g: Graph, own: str, other: str, kind: str, cohorts: tuple[str, str, s
     apart, a, b = cohorts
     cohort = F.when(F.col("entity_type") == apart, a).otherwise(b)
     known = total.join(g.entities.select("entity_id", "entity_type", "name"), "entity_id").join(top, "entity_id", "left").withColumn("cohort", cohort)
-    ranked = _ranked(known, "total", "cohort")
+    places = ranked(known, "total", "cohort")
     slots = _slots(name="name", total_gbp="total", n_donations="n", cohort="cohort", percentile=F.round(100 * _share(), 1).cast("decimal(5,1)"), **{list_name: "top"})
-    return _insight(ranked, kind, _share(0.9), slots, F.col("rank"), F.col("cohort_size"))
+    return _insight(places, kind, _share(0.9), slots, F.col("rank"), F.col("cohort_size"))
 
 
 def rank_money_given(g: Graph) -> DataFrame:
@@ -74,7 +68,7 @@ def rank_portfolio(g: Graph) -> DataFrame:
     breakdown = F.transform(F.array_sort(F.collect_list(F.struct("statement_type", "n"))), lambda x: F.concat_ws(":", x["statement_type"], x["n"].cast("string")))
     held = kinds.groupBy(F.col("subject_id").alias("entity_id"), "name").agg(F.sum("n").alias("n_ties"), F.array_join(breakdown, ",").alias("kinds"))
     slots = _slots(name="name", n_ties="n_ties", kinds_breakdown="kinds", percentile=F.round(100 * _share(), 1).cast("decimal(5,1)"))
-    return _insight(_ranked(held, "n_ties", None), "RANK_PORTFOLIO", _share(0.85), slots, F.col("rank"), F.col("cohort_size"))
+    return _insight(ranked(held, "n_ties"), "RANK_PORTFOLIO", _share(0.85), slots, F.col("rank"), F.col("cohort_size"))
 
 
 def _only(g: Graph, own: DataFrame, tag: str) -> DataFrame:
@@ -98,9 +92,9 @@ def only_crossing(g: Graph) -> DataFrame:
 
 
 def bridge(g: Graph) -> DataFrame:
-    ranked = _ranked(_across(g), "n_registers", None)
+    places = ranked(_across(g), "n_registers")
     slots = _slots(name="name", n_registers="n_registers", registers=F.array_join("registers", ","))
-    return _insight(ranked, "BRIDGE", _share(0.6), slots, F.col("rank"), F.col("cohort_size"))
+    return _insight(places, "BRIDGE", _share(0.6), slots, F.col("rank"), F.col("cohort_size"))
 
 
 RANKED = (rank_money_given, rank_money_received, rank_portfolio, only_donor_contractor, only_crossing, bridge)
@@ -140,9 +134,9 @@ def basic(g: Graph, covered: DataFrame) -> DataFrame:
 
 def insights(g: Graph, found: DataFrame) -> DataFrame:
     """Every insight; each entity has one at least."""
-    ranked = reduce(DataFrame.unionByName, (f(g) for f in RANKED))
-    near = nearest_notable(g, found, ranked)
-    some = ranked.unionByName(near)
+    first = reduce(DataFrame.unionByName, (f(g) for f in RANKED))
+    near = nearest_notable(g, found, first)
+    some = first.unionByName(near)
     return some.unionByName(basic(g, some))
 
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import text
+from ..schemas import HUB_TYPES
+from .ranks import placed, running
 
 MATCH, LEAD = 0.90, 0.60
 RARITY_FLOOR = 1e-5
@@ -35,6 +38,14 @@ KNOWN_SHARES = {
     "white": 0.0020, "watson": 0.0018, "jackson": 0.0018, "wright": 0.0018, "green": 0.0017, "harris": 0.0017, "cooper": 0.0016, "king": 0.0016,
     "lee": 0.0016, "martin": 0.0015, "clarke": 0.0015, "james": 0.0014, "morgan": 0.0014, "hughes": 0.0014, "khan": 0.0014, "patel": 0.0013,
 }
+# Likelihoods among equal persons and among others, of each comparison, and the share of equal pairs.
+SURNAME_AGREES = 0.9
+FORENAMES_EQUAL = (0.85, 0.04)
+FORENAME_SHARED = (0.60, 0.10)
+INITIAL_SHARED = (0.40, 0.20)
+NEIGHBOUR_SHARED = (0.5, 0.1)
+NO_NEIGHBOUR = (0.15, 0.85)
+PRIOR = (0.02, 0.98)
 #: Shares that aren't known fall off by Zipf's law from this rank and share.
 ANCHOR_RANK, ANCHOR_SHARE = 30, 0.0030
 
@@ -71,98 +82,154 @@ def rarity(people: DataFrame) -> DataFrame:
     return own.join(known, "surname", "left").select("surname", u.alias("u"))
 
 
-def _ratio(p: float, q: float) -> Column:
-    return F.log(F.lit(p / q))
+def _ratio(likelihoods: tuple[float, float]) -> Column:
+    return F.log(F.lit(likelihoods[0] / likelihoods[1]))
 
 
 def pairs(people: DataFrame) -> DataFrame:
-    """(a, b, score, band, across) of all pairs in a surname's block.
+    """(a, b, surname, score, across, n_shared, band) of all pairs in a surname's block.
 
-    Shared neighbours are weighed by an equal join on (surname, neighbour), so a pair's
-    neighbour lists are only compared where they meet.
+    The matcher is defined on them, so a surname that a share of all persons have makes
+    the square of that share; the join is dealt out by adaptive execution.
     """
-    named = people.where("surname != ''").join(rarity(people), "surname")
-    side = lambda s: named.select("surname", "u", *(F.col(c).alias(f"{c}_{s}") for c in ("entity_id", "forenames", "sources")))
-    both = side("a").join(side("b").drop("u"), "surname").where("entity_id_a < entity_id_b")
+    own = people.where("surname != ''")
+    a, b = (own.select("surname", F.col("entity_id").alias(x)) for x in "ab")
+    return scored(a.join(b, "surname").where("a < b").select("a", "b"), people)
+
+
+def scored(wanted: DataFrame, people: DataFrame) -> DataFrame:
+    """The pairs ``wanted`` (a, b and other columns) with surname, score, across, n_shared and band.
+
+    Shared neighbours are weighed by joins on (neighbour, person), so only lists of wanted
+    pairs meet. Pairs of different surnames have the surname of a and no evidence of it.
+    """
+    u = rarity(people.where("surname != ''"))
+    named = people.join(u, "surname", "left").select("entity_id", "surname", "u", "forenames", "sources")
+    side = lambda x: named.select(*(F.col(c).alias(x if c == "entity_id" else f"{c}_{x}") for c in named.columns))
+    both = wanted.join(side("a"), "a").join(side("b"), "b")
     weights = neighbour_degrees(people).select("neighbour", (1 / (1 + F.log1p("degree"))).alias("w"))
-    near = named.select("surname", "entity_id", F.explode("neighbours").alias("neighbour")).join(weights, "neighbour")
-    meet = near.select("surname", "neighbour", "w", F.col("entity_id").alias("entity_id_a")).join(
-        near.select("surname", "neighbour", F.col("entity_id").alias("entity_id_b")), ["surname", "neighbour"]
-    )
-    shared = meet.where("entity_id_a < entity_id_b").groupBy("entity_id_a", "entity_id_b").agg(F.avg("w").alias("near"), F.count("*").alias("n_shared"))
-    joined = both.join(shared, ["entity_id_a", "entity_id_b"], "left")
-    a, b = F.col("forenames_a"), F.col("forenames_b")
-    initials = lambda x: F.transform(x, lambda w: F.substring(w, 1, 1))
-    named_both = (F.size(a) > 0) & (F.size(b) > 0)
-    conflict = named_both & ~F.arrays_overlap(initials(a), initials(b))
-    forename = (
-        F.when(~named_both, 0.0).when(a == b, _ratio(0.85, 0.04)).when(F.arrays_overlap(a, b), _ratio(0.60, 0.10)).otherwise(_ratio(0.40, 0.20))
-    )
-    near_term = F.when(F.col("near").isNull(), _ratio(0.15, 0.85)).otherwise(F.log((0.5 + 0.5 * F.col("near")) / 0.1))
-    odds = F.log(0.9 / F.col("u")) + forename + near_term + _ratio(0.02, 0.98)
+    near = people.select("entity_id", F.explode("neighbours").alias("neighbour"))
+    at_a = wanted.select("a", "b").join(near.withColumnRenamed("entity_id", "a"), "a")
+    meet = at_a.join(near.withColumnRenamed("entity_id", "b"), ["b", "neighbour"]).join(weights, "neighbour")
+    shared = meet.groupBy("a", "b").agg(F.avg("w").alias("near"), F.count("*").alias("n_shared"))
+    joined = both.join(shared, ["a", "b"], "left")
+    x, y = F.col("forenames_a"), F.col("forenames_b")
+    initials = lambda names: F.transform(names, lambda w: F.substring(w, 1, 1))
+    named_both = (F.size(x) > 0) & (F.size(y) > 0)
+    conflict = named_both & ~F.arrays_overlap(initials(x), initials(y))
+    forename = F.when(~named_both, 0.0).when(x == y, _ratio(FORENAMES_EQUAL)).when(F.arrays_overlap(x, y), _ratio(FORENAME_SHARED)).otherwise(_ratio(INITIAL_SHARED))
+    base, against = NEIGHBOUR_SHARED
+    near_term = F.when(F.col("near").isNull(), _ratio(NO_NEIGHBOUR)).otherwise(F.log((base + (1 - base) * F.col("near")) / against))
+    surname = F.when(F.col("surname_a") == F.col("surname_b"), F.log(SURNAME_AGREES / F.col("u_a"))).otherwise(0.0)
+    odds = surname + forename + near_term + _ratio(PRIOR)
     score = F.round(F.when(conflict, CONFLICT_SCORE).otherwise(1 / (1 + F.exp(-odds))), 6)
     across = (F.col("sources_a") != F.col("sources_b")) | ~F.arrays_overlap("sources_a", "sources_b")
     return joined.select(
-        F.col("entity_id_a").alias("a"), F.col("entity_id_b").alias("b"), "surname", score.alias("score"), across.alias("across"),
-        F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
-    ).withColumn("band", band(F.col("score")))
+        *wanted.columns, F.col("surname_a").alias("surname"), score.alias("score"), across.alias("across"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")
+    ).withColumn("band", band(F.col("score")))
 
 
 def band(score: Column) -> Column:
     return F.when(score >= MATCH, "match").when(score >= LEAD, "lead").otherwise("distinct")
 
 
-def gold(people: DataFrame, entities_of: DataFrame, easy: int = 400) -> DataFrame:
-    """(a, b, label, kind): pairs of one key, and easy negatives by hash order.
+def person_mentions(mentions: DataFrame, assertions: DataFrame, resolutions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, group, name, surname, forenames, neighbours, sources, birth_year) of mentions of persons; entity_id is the mention's.
 
-    entities_of: (entity_id, group) tells which are one. Easy negatives pair each person
-    with the next one in hash order, so they are as many as asked for without a cross join.
+    mentions: (mention_id, raw_name, source_code, dob). Neighbours are the entities at the
+    other ends of a mention's own assertions, hubs and itself left out; group is the entity
+    that it resolves to.
     """
-    keys = people.withColumn("name_key", text.person_token_key(F.col("name"))).where("name_key != ''").join(entities_of, "entity_id")
-    a = keys.select("name_key", F.col("entity_id").alias("a"), F.col("group").alias("ga"), F.col("neighbours").alias("na"))
-    b = keys.select("name_key", F.col("entity_id").alias("b"), F.col("group").alias("gb"), F.col("neighbours").alias("nb"))
-    same = a.join(b, "name_key").where("a < b").withColumn("label", ((F.col("ga") == F.col("gb")) | F.arrays_overlap("na", "nb")).cast("int"))
-    same = same.select("a", "b", "label", F.when(F.col("label") == 1, "positive").otherwise("hard_negative").alias("kind"))
-    sample = keys.orderBy(F.xxhash64("entity_id"), "entity_id").limit(2 * easy).withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("entity_id"), "entity_id")))
-    first = sample.where("place % 2 = 1").select(F.col("entity_id").alias("a"), F.col("name_key").alias("ka"), (F.col("place") + 1).alias("place"))
-    second = sample.where("place % 2 = 0").select(F.col("entity_id").alias("b"), F.col("name_key").alias("kb"), "place")
-    apart = first.join(second, "place").where("ka != kb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("label"), F.lit("easy_negative").alias("kind"))
-    return same.unionByName(apart)
+    kinds = entities.select("entity_id", "entity_type")
+    known = resolutions.select("mention_id", "entity_id").join(kinds, "entity_id")
+    end = lambda side: known.select(F.col("mention_id").alias(f"{side}_mention_id"), F.col("entity_id").alias(f"{side}_id"), F.col("entity_type").alias(f"{side}_type"))
+    ties = assertions.select("from_mention_id", "to_mention_id").distinct().join(end("from"), "from_mention_id").join(end("to"), "to_mention_id").where("from_id != to_id")
+    way = lambda a, b: F.struct(F.col(f"{a}_mention_id").alias("m"), F.col(f"{b}_id").alias("n"), F.col(f"{b}_type").alias("t"))
+    ends = ties.select(F.explode(F.array(way("from", "to"), way("to", "from"))).alias("x")).select("x.*").where(~F.col("t").isin(*HUB_TYPES))
+    near = ends.groupBy(F.col("m").alias("mention_id")).agg(F.sort_array(F.collect_set("n")).alias("neighbours"))
+    last, first = text.match_name(F.col("raw_name"))
+    year = F.regexp_extract(F.coalesce("dob", F.lit("")), "^[0-9]{4}", 0)
+    own = mentions.join(known.where("entity_type = 'person'").select("mention_id", F.col("entity_id").alias("group")), "mention_id").join(near, "mention_id", "left")
+    return own.select(
+        F.col("mention_id").alias("entity_id"), "group", F.col("raw_name").alias("name"), last.alias("surname"), first.alias("forenames"),
+        F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), F.array("source_code").alias("sources"), F.nullif(year, F.lit("")).alias("birth_year"),
+    )
+
+
+def gold(people: DataFrame, easy: int = 400) -> DataFrame:
+    """(a, b, label, kind): pairs of one name key, and easy negatives by hash order.
+
+    people: as ``person_mentions`` gives them. A pair of one key is positive if it is one
+    entity already, shares a neighbour, or has one birth year, else a hard negative. Easy
+    negatives pair each person of a bounded sample with the next one in hash order, so they
+    are as many as asked for without a cross join.
+    """
+    keys = people.withColumn("name_key", text.person_token_key(F.col("name"))).where("name_key != ''")
+    own = ["entity_id", "group", "neighbours", "birth_year"]
+    side = lambda x: keys.select("name_key", *(F.col(c).alias(f"{c}_{x}") for c in own))
+    same = side("a").join(side("b"), "name_key").where("entity_id_a < entity_id_b")
+    kind = (
+        F.when(F.col("group_a") == F.col("group_b"), "positive_one_entity").when(F.arrays_overlap("neighbours_a", "neighbours_b"), "positive_neighbour")
+        .when(F.col("birth_year_a") == F.col("birth_year_b"), "positive_birth_year").otherwise("hard_negative")
+    )
+    same = same.select(F.col("entity_id_a").alias("a"), F.col("entity_id_b").alias("b"), kind.alias("kind"))
+    hashed = Window.orderBy(F.md5("entity_id"), "entity_id")  # over the bounded sample alone
+    sample = keys.orderBy(F.md5("entity_id"), "entity_id").limit(2 * easy).withColumn("place", F.row_number().over(hashed))
+    first = sample.where("place % 2 = 1").select(F.col("entity_id").alias("a"), F.col("surname").alias("sa"), (F.col("place") + 1).alias("place"))
+    second = sample.where("place % 2 = 0").select(F.col("entity_id").alias("b"), F.col("surname").alias("sb"), "place")
+    apart = first.join(second, "place").where("sa != sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("easy_negative").alias("kind"))
+    every = same.unionByName(apart)
+    return every.select("a", "b", F.startswith("kind", F.lit("positive")).cast("int").alias("label"), "kind")
 
 
 def threshold(scored: DataFrame, precision: float) -> DataFrame:
-    """One row, the least score at which the pairs from there up have ``precision``. scored: (score, label), the small gold set."""
-    up = Window.orderBy(F.desc("score"), F.desc("label")).rowsBetween(Window.unboundedPreceding, 0)
-    running = scored.withColumn("tp", F.sum("label").over(up)).withColumn("n", F.count("*").over(up))
-    return running.where(F.col("tp") / F.col("n") >= precision).agg(F.min("score").alias("threshold"))
+    """One row, the least score at which the pairs from there up have ``precision``. scored: (score, label).
+
+    Pairs of one score count positives first, so within a score precision rises to the
+    last positive and falls from there. Scores are counted before they are run over.
+    """
+    counts = scored.groupBy("score").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
+    up = running(counts.withColumnsRenamed({"tp": "own_tp", "n": "own_n"}), [F.desc("score")], {"tp": F.col("own_tp"), "n": F.col("own_n")})
+    some = F.col("own_tp") > 0
+    best = F.when(some, (F.col("tp") + F.col("own_tp")) / (F.col("n") + F.col("own_tp"))).otherwise(F.col("tp") / (F.col("n") + 1))
+    return up.where(best >= precision).agg(F.min("score").alias("threshold"))
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, share) in bins of equal counts by score. scored: (score, label, id)."""
-    place = F.row_number().over(Window.orderBy("score", "id")) - 1
-    total = F.count("*").over(Window.partitionBy())
     # Bin b holds the places from b * n // bins up to where the next one begins.
-    numbered = scored.withColumn("place", place).withColumn("total", total).withColumn("bin", F.floor(((F.col("place") + 1) * bins - 1) / F.col("total")))
+    numbered = placed(scored, F.asc("score"), F.asc("id")).withColumn("bin", F.floor((F.col("place") * bins - 1) / F.col("n_places")))
     return numbered.groupBy("bin").agg(
         F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("*"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("share")
     )
 
 
-def isotonic(scored: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Scores with fitted values that never fall: pools of adjacent violators. For the small gold set."""
-    pools: list[list] = []  # [sum, count, scores]
-    for score, label in sorted(scored):
-        pools.append([label, 1, [score]])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] > pools[-1][0] * pools[-2][1]:
-            total, n, scores = pools.pop()
-            pools[-1][0] += total
-            pools[-1][1] += n
-            pools[-1][2] += scores
-    return [(score, total / n) for total, n, scores in pools for score in scores]
+def isotonic(scored: DataFrame, label: str = "label") -> DataFrame:
+    """(score, n, fitted): fitted values that never fall with the score, closest to the labels by least squares.
+
+    Equal scores are one point, weighted by their number. A point's fit is the largest, over
+    all beginnings up to it, of the least mean label, over all ends from it on; which is
+    the upper envelope of the slopes of the running sums. The fit is Spark's own, by
+    pools of adjacent violators on partitions and then over their pools.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    points = scored.groupBy("score").agg(F.count("*").cast("double").alias("n"), F.avg(F.col(label).cast("double")).alias("_mean"))
+    points = VectorAssembler(inputCols=["score"], outputCol="_at").transform(checkpointed(points))
+    model = IsotonicRegression(featuresCol="_at", labelCol="_mean", weightCol="n", predictionCol="fitted").fit(points)
+    return model.transform(points).select("score", F.col("n").cast("long").alias("n"), F.round("fitted", 6).alias("fitted"))
 
 
 def report(scored: DataFrame) -> DataFrame:
-    """(kind, n, least, median, most) of the scores of each kind of pair."""
+    """(kind, n, least, median, most, mean) of the scores of each kind of pair."""
     return scored.groupBy("kind").agg(
-        F.count("*").alias("n"), F.round(F.min("score"), 4).alias("least"), F.round(F.percentile("score", 0.5), 4).alias("median"), F.round(F.max("score"), 4).alias("most")
-    )
+        F.count("*").alias("n"), F.round(F.min("score"), 4).alias("least"), F.round(F.percentile("score", 0.5), 4).alias("median"), F.round(F.max("score"), 4).alias("most"),
+        F.round(F.avg("score"), 4).alias("mean"),
+    )
+
+
+def proposals(people: DataFrame, gold_scored: DataFrame, precision: float = 0.97) -> DataFrame:
+    """Pairs across sources at or above the score that has ``precision`` on the gold set (MATCH if none has). For review, never merged."""
+    least = threshold(gold_scored, precision).select(F.coalesce("threshold", F.lit(MATCH)).alias("threshold"))  # one row
+    return pairs(people).where("across").crossJoin(F.broadcast(least)).where("score >= threshold")
