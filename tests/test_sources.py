@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tieweave.sources import registers, sinks
+from tieweave.sources import registers, rest, sinks
 from tieweave.streaming import ingest
 
 
@@ -50,18 +50,23 @@ def test_members_and_interests(spark):
 def test_lords(spark):
     rows = [
         ("1", "L", 1, "a", None, "Chair, Visio Limited (games)", False), ("1", "L", 1, "b", "a", "Adviser, Other", None), ("1", "L", 2, "c", None, "half of Land Ltd (UK)", False),
+        ("1", "L", None, "g", "b", "Director, Deep Ltd", False), ("1", "L", None, "h", "e", "Director, Below Gone Ltd", False), ("2", "M", None, "i", "a", "Director, Not Theirs Ltd", False),
         ("1", "L", 2, "d", None, "some shares", False), ("1", "L", 1, "e", None, "Chair, Gone Ltd", True), ("1", "L", 3, "f", None, "Chair, Land", False),
     ]
     landed = registers.lords(spark.createDataFrame(rows, registers.LORDS))
-    assert sorted(r.statement_type for r in landed.assertions.collect()) == ["ADVISER_TO", "DIRECTOR_OF", "OWNS"]
+    assert sorted(r.statement_type for r in landed.assertions.collect()) == ["ADVISER_TO", "DIRECTOR_OF", "DIRECTOR_OF", "OWNS"]
+    assert {r.raw_name for r in landed.mentions.collect()} == {"L", "Visio Limited", "Other", "Land Ltd (UK)", "Deep Ltd"}
 
 
 def test_contracts_need_the_strict_name(spark):
     day = datetime.date(2020, 1, 1)
     rows = [("n1", "t", "Council", "ACME Ltd.", "100", day, None, None), ("n1", "t", "Council", "Acme Limited", "£200", None, day, None), ("n2", "t", "Council", "Acme Group Ltd", "5", day, None, None)]
     targets = spark.createDataFrame([("Acme Limited", "01")], "name string, company_number string")
-    landed = registers.contracts(spark.createDataFrame(rows, registers.AWARDS), targets)
+    awards = spark.createDataFrame(rows, registers.AWARDS)
+    landed = registers.contracts(awards, targets)
     assert [(float(r.amount_gbp), r.statement_type) for r in landed.assertions.collect()] == [(200.0, "CONTRACTED_WITH")]
+    both = registers.contracts(awards, targets.unionByName(spark.createDataFrame([("ACME plc", "02")], "name string, company_number string")))
+    assert {r.company_number for r in both.mentions.collect()} == {"01", "02", None} and both.assertions.count() == 2
 
 
 def test_group_pages(spark):
@@ -100,7 +105,67 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(seeds).collect()) == ["w", "x", "y"]
     assert {r.v for r in sinks.update(df, spark.createDataFrame([("a", None)], "source_code string, v string"), "source_code", ["v"]).collect()} == {None, "y"}
     assert sinks.delete(df, df.where("v = 'x'"), "v").count() == 1
-    assert sinks.read_if_there(spark, "no_such_table") is None
+    assert sinks.read_if_there(spark, "no_such_table") is None and sinks.read_path(spark, str(tmp_path / "nowhere")) is None
+    sinks.reset(spark, path, seeds, ("a",))
+    assert {r.source_code for r in spark.read.parquet(path).collect()} == {"b"} and sinks.read_path(spark, seeds) is None
+
+
+def test_leaked_archives(spark, tmp_path):
+    import zipfile
+
+    header = "node_id,name,sourceID,jurisdiction,jurisdiction_description,more\n"
+    lines = "".join(f'n{i},"Island, No {i} Ltd",Papers,SAM,{"Samoa" if i % 2 else ""},x\n' for i in range(25)) + "n99,,Papers,SAM,,x\n"
+    with zipfile.ZipFile(tmp_path / "leak.zip", "w") as archive:
+        archive.writestr("nodes-entities.csv", header + lines)
+    (tmp_path / "nodes.csv").write_text(header + lines)
+    found = registers.leaked_zip(spark, str(tmp_path / "leak.zip"), rows=10)
+    assert found.count() == 25 and {r.jurisdiction for r in found.collect()} == {"Samoa", "SAM"}
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, registers.leaked_csv(spark, str(tmp_path / "nodes.csv")).collect()))
+
+
+def test_donations_csv_by_names(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('\ufeffECRef,Value,DonorName\n"C1","£2,000.00","Ann, of X"\nC2,"£10,000.00",Bob\nC3,,Cy\n')
+    rows = registers.donations_csv(spark, str(tmp_path / "d.csv"), most=2).collect()
+    assert [(r.ECRef, r.DonorName, r.RegulatedEntityId) for r in rows] == [("C2", "Bob", None), ("C1", "Ann, of X", None)]
+
+
+def test_rest_pages(spark):
+    import http.server
+    import threading
+
+    calls = []
+
+    class Register(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            calls.append((self.path, self.headers.get("Authorization")))
+            status, body = 200, b'{"items": [1, 2]}'
+            if "missing" in self.path:
+                status = 404
+            elif "busy" in self.path and sum(p == self.path for p, _ in calls) < 3:
+                status = 429
+            elif "broken" in self.path:
+                status = 500
+            elif "skip=" in self.path:
+                skip = int(self.path.split("skip=")[1].split("&")[0])
+                body = str(list(range(skip, min(skip + 20, 45)))).encode()
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body if status == 200 else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Register)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    keys = spark.createDataFrame([("a b",), ("missing",), ("busy",), ("broken",)], "key string")
+    found = {r.key: r for r in rest.fetched(keys, base + "/company/{key}", user="me", pause=0, wait=0).collect()}
+    assert {k: r.status for k, r in found.items()} == {"a b": 200, "missing": 404, "busy": 200, "broken": 500}
+    assert found["a b"].body == '{"items": [1, 2]}' and found["missing"].body is None and found["broken"].error
+    assert ("/company/a%20b", "Basic bWU6") in calls
+    pages = rest.paged(spark, base + "/search?skip={skip}&take={take}", 45, take=20, pause=0, wait=0).orderBy("skip").collect()
+    assert [(r.skip, r.status) for r in pages] == [(0, 200), (20, 200), (40, 200)] and pages[2].body == "[40, 41, 42, 43, 44]"
+    server.shutdown()
 
 
 def test_stream_loads_each_assertion_once(spark, tmp_path):

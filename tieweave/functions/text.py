@@ -11,6 +11,7 @@ TITLES = "mr mrs ms miss mx dr sir dame lord lady rt hon honourable the rev reve
 MATCH_TITLES = "mr mrs ms miss dr sir dame lord lady rt hon the honourable rev prof professor baroness earl councillor cllr qc kc mp".split()
 # Legal forms.
 LEGAL_FORMS = "the ltd limited plc llp llc lp inc incorporated cyf cyfyngedig".split()
+# Classes of legal forms.
 SUFFIX_CLASSES = (
     ("ltd", r"\b(ltd|limited|cyf|cyfyngedig)\b"),
     ("plc", r"\bplc\b"),
@@ -18,7 +19,9 @@ SUFFIX_CLASSES = (
     ("lp", r"\blp\b"),
     ("foreign", r"\b(llc|inc|incorporated|corp|corporation)\b"),
 )
+# Words that tell no company apart.
 WEAK_WORDS = r"\b(the|company|co)\b"
+# Legal forms of suppliers.
 SUPPLIER_SUFFIXES = r"(?i)\b(limited|ltd|plc|public limited company|llp|l\.?l\.?p\.?|company|co|incorporated|inc|the)\b"
 # Trailing words that say little.
 GENERIC_TAIL = (
@@ -93,18 +96,15 @@ def match_name(name: Column) -> tuple[Column, Column]:
 
 
 def supplier_name(name: Column) -> Column:
-    """Supplier name for strict comparison: ``and`` for ``&``, no punctuation, no legal form."""
-    text = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" and "))
+    """Supplier name for strict comparison: HTML entities as characters, ``and`` for ``&``, no punctuation, no legal form."""
+    text = F.replace(F.lower(unescaped(F.coalesce(name, F.lit("")))), F.lit("&"), F.lit(" and "))
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]+", " "), SUPPLIER_SUFFIXES, " ")
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
 def search_key(normalised: Column) -> Column:
     """The leading words up to the first generic one; the first word always."""
-    words = F.split(normalised, " ")
-    stops = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i > 1) & F.element_at(words, i).isin(*GENERIC_TAIL))
-    end = F.coalesce(F.get(stops, F.lit(0)) - 1, F.size(words))
-    return F.array_join(F.slice(words, F.lit(1), end), " ")
+    return F.regexp_extract(normalised, f"^([^ ]*(?: (?!(?:{'|'.join(GENERIC_TAIL)})(?: |$))[^ ]+)*)", 1)
 
 
 def money(text: Column) -> Column:

@@ -36,10 +36,12 @@ def mention_id(source: str, *key: Column | str) -> Column:
 
 
 def _mentions(df: DataFrame, source: str, key: Column, **columns: Column) -> DataFrame:
-    """Mentions of ``df`` with nulls for what isn't given, one for each key."""
+    """Mentions of ``df`` with nulls for what isn't given, one for each key: the first in order of its columns."""
     filled = [columns.get(c, F.lit(None)).cast("string").alias(c) for c in _TEXTS]
     identified = F.coalesce(columns.get("has_identification", F.lit(False)), F.lit(False)).alias("has_identification")
-    return df.select(key.alias("mention_id"), F.lit(source).alias("source_code"), *filled, identified).where("raw_name is not null").dropDuplicates(["mention_id"])
+    return df.select(key.alias("mention_id"), F.lit(source).alias("source_code"), *filled, identified).where("raw_name is not null").groupBy("mention_id").agg(
+        F.min(F.struct("source_code", *_TEXTS, "has_identification")).alias("m")
+    ).select("mention_id", "m.*")
 
 
 def _ties(df: DataFrame, source: str, kind: Column | str, a: Column, b: Column, begin: Column | None = None, end: Column | None = None, amount: Column | None = None) -> DataFrame:
@@ -111,8 +113,28 @@ def crawl(profiles: DataFrame, appointments: DataFrame, anchor: str, most: int =
     return seen
 
 
-def donations_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True)
+DONATIONS = (
+    "ECRef string, RegulatedEntityName string, RegulatedEntityType string, Value string, AcceptedDate string, DonorName string, DonorStatus string, "
+    "CompanyRegistrationNumber string, DonorId string, RegulatedEntityId string, ReportedDate string"
+)
+
+
+def donations_csv(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The columns of DONATIONS of an export, whatever others it has and in whatever order; null where it lacks one.
+
+    most: see ``largest_donations``.
+    """
+    read = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"')
+    # A byte order mark stands before the first name.
+    read = read.toDF(*(c.lstrip("\ufeff").strip('"') for c in read.columns))
+    wanted = [x.split()[0] for x in DONATIONS.split(", ")]
+    rows = read.select(*(F.col(c) if c in read.columns else F.lit(None).cast("string").alias(c) for c in wanted))
+    return rows if most is None else largest_donations(rows, most)
+
+
+def largest_donations(df: DataFrame, most: int) -> DataFrame:
+    """The ``most`` donations of the largest value, as the source itself serves them."""
+    return df.orderBy(F.desc_nulls_last(text.money(F.col("Value"))), "ECRef").limit(most)
 
 
 def donations(df: DataFrame) -> Landed:
@@ -160,40 +182,68 @@ INTERESTS = "member_id string, member string, summary string, registered date, f
 
 
 def interests(df: DataFrame) -> Landed:
-    """Members' declared interests; the list of named fields becomes a map. ``df`` has INTERESTS."""
+    """Members' declared interests: holdings, payers and gifts, told apart by their named fields. ``df`` has INTERESTS.
+
+    Of a name that is there more than once the last value counts.
+    """
     source = "parliament_interests"
-    named = F.map_from_entries(F.filter("fields", lambda x: x["value"].isNotNull()))
-    rows = df.withColumn("f", named)
-    f = lambda k: F.col("f")[k]
-    gift = F.when(f("DonationSource").isNotNull(), F.trim(F.substring_index("summary", " - £", 1)))
-    role = F.when(F.lower(f("IsPaidAsDirectorOfPayer")).isin("true", "yes"), "DIRECTOR_OF").otherwise("ADVISER_TO")
-    other = F.coalesce(f("OrganisationName"), f("PayerName"), gift)
-    kind = F.when(f("OrganisationName").isNotNull(), "OWNS").when(f("PayerName").isNotNull(), role).otherwise("DONATED_TO")
-    rows = rows.withColumn("other", F.trim(other)).withColumn("kind", kind).where("coalesce(other, '') != ''")
+    last = lambda k: F.element_at(F.filter("fields", lambda x: x["name"] == k), -1)["value"]
+    f = lambda k: F.when(F.exists("fields", lambda x: x["name"] == k), last(k))
+    holding, payer = (F.when(f(k) != "", F.trim(f(k))) for k in ("OrganisationName", "PayerName"))
+    giver = F.coalesce(F.nullif(F.trim(F.regexp_extract("summary", "^(.*?)(\\s+[-–]\\s+£?|$)", 1)), F.lit("")), F.lit("Unknown donor"))
+    gift = F.when(f("DonationSource").isNotNull(), giver)
+    truthy = lambda k: F.lower(f(k)).isin("true", "yes", "1")
+    role = F.when(truthy("IsPaidAsDirectorOfPayer"), "DIRECTOR_OF").otherwise("ADVISER_TO")
+    kind = F.when(holding.isNotNull(), "OWNS").when(payer.isNotNull(), role).otherwise("DONATED_TO")
+    hint = F.when(holding.isNotNull(), "company").when(payer.isNotNull(), F.when(truthy("PayerIsPrivateIndividual"), "person").otherwise(text.entity_type(payer, "organisation")))
+    hint = hint.otherwise(text.entity_type(gift, "person"))
+    about = F.concat_ws(" ", F.when(holding.isNotNull(), f("OrganisationDescription")), F.when(holding.isNull() & payer.isNotNull(), f("PayerNatureOfBusiness")))
+    rows = df.select("member_id", "member", "registered", F.coalesce(holding, payer, gift).alias("other"), kind.alias("kind"), hint.alias("hint"), about.alias("about"), f("Value").alias("value"))
+    rows = rows.where("other != ''")
     member, org = mention_id(source, F.lit("member"), "member_id"), mention_id(source, F.lit("org"), F.lower("other"))
     mentions = [
         _mentions(rows, source, member, entity_type_hint=F.lit("person"), raw_name=F.col("member"), parliament_member_id=F.col("member_id")),
-        _mentions(rows, source, org, entity_type_hint=text.entity_type(F.col("other"), "organisation"), raw_name=F.col("other"), description=F.concat_ws(" ", f("OrganisationDescription"), f("PayerNatureOfBusiness"))),
+        _mentions(rows, source, org, entity_type_hint=F.col("hint"), raw_name=F.col("other"), description=F.col("about")),
     ]
     gives = F.col("kind") == "DONATED_TO"
-    ties = _ties(rows, source, F.col("kind"), F.when(gives, org).otherwise(member), F.when(gives, member).otherwise(org), F.col("registered"), None, text.declared_money(f("Value")))
+    value = F.when(F.col("kind") != "OWNS", text.declared_money(F.col("value")))
+    ties = _ties(rows, source, F.col("kind"), F.when(gives, org).otherwise(member), F.when(gives, member).otherwise(org), F.col("registered"), None, value)
     return Landed(_all(mentions), ties)
 
 
 LORDS = "member_id string, member string, category int, interest_id string, parent_id string, interest string, deleted boolean"
 
 
+def standing_interests(df: DataFrame) -> DataFrame:
+    """The rows of LORDS that stand, children with the category of their first ancestor.
+
+    A row stands if neither it nor a row above it is deleted. Each round goes one
+    generation down; there are few.
+    """
+    from ..checkpoints import checkpointed
+
+    rows = df.where("not coalesce(deleted, false)")
+    front = checkpointed(rows.where("parent_id is null"))
+    found, children = [], rows.where("parent_id is not null").drop("category")
+    while not front.isEmpty():
+        found.append(front)
+        above = front.select(F.col("member_id").alias("_member"), F.col("interest_id").alias("_above"), "category")
+        front = checkpointed(children.join(above, (F.col("parent_id") == F.col("_above")) & (F.col("member_id") == F.col("_member"))).select(*df.columns))
+    return _all(found) if found else df.limit(0)
+
+
 def lords(df: DataFrame) -> Landed:
-    """Lords' employment and shareholdings (categories 1 and 2), parents and children as rows. ``df`` has LORDS."""
+    """Lords' employment and shareholdings (categories 1 and 2), children below their parents. ``df`` has LORDS."""
     source = "lords_interests"
-    rows = df.where("category in (1, 2) and not coalesce(deleted, false)")
+    rows = standing_interests(df).where("category in (1, 2)")
     role, org = text.employment(F.col("interest"))
     rows = rows.withColumn("org", F.when(F.col("category") == 1, org).otherwise(text.shareholding(F.col("interest")))).withColumn("role", role).where("org is not null")
     member, other = mention_id(source, F.lit("member"), "member_id"), mention_id(source, F.lit("org"), F.lower("org"))
     kind = F.when(F.col("category") == 2, "OWNS").otherwise(text.role_type(F.col("role")))
+    hint = F.when(F.col("category") == 2, "company").otherwise(text.entity_type(F.col("org"), "organisation"))
     mentions = [
         _mentions(rows, source, member, entity_type_hint=F.lit("person"), raw_name=F.col("member"), parliament_member_id=F.col("member_id")),
-        _mentions(rows, source, other, entity_type_hint=text.entity_type(F.col("org"), "organisation"), raw_name=F.col("org")),
+        _mentions(rows, source, other, entity_type_hint=hint, raw_name=F.col("org")),
     ]
     return Landed(_all(mentions), _ties(rows, source, kind, member, other))
 
@@ -208,10 +258,13 @@ AWARDS = "notice_id string, title string, buyer string, supplier string, value s
 
 
 def contracts(df: DataFrame, targets: DataFrame) -> Landed:
-    """Awards to known companies, by strict supplier name; one tie a notice and company. targets: (name, company_number)."""
+    """Awards to known companies, by strict supplier name; one tie a notice and company. targets: (name, company_number).
+
+    Companies whose names are equal but for the legal form each get the tie, as the name can't tell them apart.
+    """
     source = "contracts_finder"
-    known = targets.select(text.supplier_name(F.col("name")).alias("k"), "company_number", F.col("name").alias("company")).dropDuplicates(["k"])
-    matched = df.withColumn("k", text.supplier_name(F.col("supplier"))).where("k != ''").join(known, "k")
+    known = targets.groupBy(text.supplier_name(F.col("name")).alias("k"), "company_number").agg(F.min("name").alias("company"))
+    matched = df.withColumn("k", text.supplier_name(F.col("supplier"))).where("k != '' and trim(coalesce(buyer, '')) != ''").join(known, "k")
     rows = matched.groupBy("notice_id", "company_number", "company").agg(
         F.min("buyer").alias("buyer"), F.max(text.contract_money(F.col("value"))).alias("amount"), F.min(F.coalesce("awarded", "start")).alias("begin"), F.max("end").alias("end"), F.count("*").alias("lots")
     )
@@ -220,7 +273,7 @@ def contracts(df: DataFrame, targets: DataFrame) -> Landed:
         _mentions(rows, source, company, entity_type_hint=F.lit("company"), raw_name=F.col("company"), company_number=F.col("company_number")),
         _mentions(rows, source, buyer, entity_type_hint=F.lit("government_body"), raw_name=F.col("buyer")),
     ]
-    return Landed(_all(mentions), _ties(rows.where("buyer is not null"), source, "CONTRACTED_WITH", company, buyer, F.col("begin"), F.col("end"), F.col("amount")))
+    return Landed(_all(mentions), _ties(rows, source, "CONTRACTED_WITH", company, buyer, F.col("begin"), F.col("end"), F.col("amount")))
 
 
 def html_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -254,6 +307,50 @@ def groups_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return Landed(_all(mentions), _all(ties))
 
 
+LEAKED = "node_id string, name string, jurisdiction string, jurisdiction_description string, sourceID string"
+
+
+def leaked_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, name, jurisdiction, leak) of unpacked node files, by column names in any order; nameless rows go."""
+    read = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return _leaked(read)
+
+
+def _leaked(read: DataFrame) -> DataFrame:
+    own = lambda c: F.nullif(F.trim(c), F.lit("")) if c in read.columns else F.lit(None).cast("string")
+    where = F.coalesce(own("jurisdiction_description"), own("jurisdiction"))
+    return read.select(own("node_id").alias("node_id"), own("name").alias("name"), where.alias("jurisdiction"), own("sourceID").alias("leak")).where("name is not null")
+
+
+def leaked_zip(spark: SparkSession, path: str, member: str = "nodes-entities.csv", rows: int = 10_000) -> DataFrame:
+    """The same from archives, each streamed out of its member by one task, ``rows`` rows at a time.
+
+    Only an archive's compressed bytes are held whole; unpack large ones and use ``leaked_csv``.
+    """
+    names = [x.split()[0] for x in LEAKED.split(", ")]
+
+    def run(batches):
+        import csv
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as raw:
+                    held = []
+                    for row in csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="")):
+                        held.append([row.get(c) for c in names])
+                        if len(held) == rows:
+                            yield pd.DataFrame(held, columns=names)
+                            held = []
+                    if held:
+                        yield pd.DataFrame(held, columns=names)
+
+    return _leaked(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, LEAKED))
+
+
 def offshore_matches(leaked: DataFrame, entities: DataFrame) -> DataFrame:
     """Leaked entities whose name base and legal form equal a company's; bases of one word are too weak.
 
@@ -278,10 +375,15 @@ def news_names(found: DataFrame, ranked: DataFrame, leads: DataFrame, entities:
 
 
 def coverage(articles: DataFrame, most: int = 3) -> DataFrame:
-    """Up to ``most`` articles for each entity. articles: (entity_id, url, title, domain, seendate)."""
+    """Up to ``most`` articles for each entity, the newest first. articles: (entity_id, url, title, domain, seendate).
+
+    Of an article that was found twice, the one seen last counts; those without address or title don't.
+    """
+    there = articles.where("trim(coalesce(url, '')) != '' and trim(coalesce(title, '')) != ''").withColumns({"url": F.trim("url"), "title": F.trim("title")})
+    once = there.groupBy("entity_id", "url").agg(F.max(F.struct("seendate", "title", "domain")).alias("a")).select("entity_id", "url", "a.*")
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("seendate"), "url"))
-    rows = articles.dropDuplicates(["entity_id", "url"]).withColumn("place", place).where(F.col("place") <= most)
-    return rows.select(F.md5(F.concat_ws("|", F.lit("COVERAGE"), "entity_id", "url")).alias("coverage_id"), "entity_id", "title", "domain", "url", text.seen_date(F.col("seendate")).alias("seen"))
+    rows = once.withColumn("place", place).where(F.col("place") <= most)
+    return rows.select(F.md5(F.concat_ws("|", F.lit("COVERAGE"), "entity_id", "url")).alias("coverage_id"), "entity_id", "title", "domain", "url", "seendate", text.seen_date(F.col("seendate")).alias("seen"))
 
 
 def declared_companies(mentions: DataFrame, assertions: DataFrame) -> DataFrame:
