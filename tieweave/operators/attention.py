@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FULL_MONEY = 5_000_000
@@ -60,9 +62,17 @@ def scrutiny(entities: DataFrame, statements: DataFrame) -> DataFrame:
     return joined.select("entity_id", "money", F.round(F.least(F.lit(1.0), raw), 3).alias("scrutiny"))
 
 
-def lexicon(spark: SparkSession, themes: dict[str, list[str]] | None = None) -> DataFrame:
-    rows = [(theme, word) for theme, words in (themes or THEMES).items() for word in words]
-    return spark.createDataFrame(rows, "theme string, word string")
+#: (theme, word) pairs.
+LEXICON = [(theme, word) for theme, words in THEMES.items() for word in words]
+
+
+def descriptions(mentions: DataFrame) -> DataFrame:
+    """(entity_id, description): the different descriptions of an entity's mentions, in lower case.
+
+    mentions: (entity_id, description). A mention says a sentence or two; different ones of an entity are few.
+    """
+    own = mentions.select("entity_id", F.nullif(F.trim("description"), F.lit("")).alias("d")).where("d is not null").distinct()
+    return own.groupBy("entity_id").agg(F.lower(F.array_join(F.sort_array(F.collect_list("d")), " ")).alias("description"))
 
 
 def seats(entities: DataFrame, statements: DataFrame) -> DataFrame:
@@ -85,12 +95,22 @@ def interests(entities: DataFrame, statements: DataFrame, descriptions: DataFram
     return held.join(mps, "mp_id").join(orgs, "org_id").select("mp_id", "surname", "org_id", "org", text.alias("text"))
 
 
-def themes_of(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """(key, theme) pairs: a theme's word stands anywhere in the text. ``words`` is a fixed lexicon."""
-    return texts.join(F.broadcast(words), F.contains(F.col(text), F.col("word"))).select(key, "theme").distinct()
+def themes_of(texts: DataFrame, key: str, text: str, words: list[tuple[str, str]]) -> DataFrame:
+    """(key, theme) pairs: a word of the theme stands anywhere in the text.
+
+    ``words`` is a lexicon of (theme, word), tested in one projection over the texts.
+    """
+    by: dict[str, list[str]] = {}
+    for theme, word in words:
+        by.setdefault(theme, []).append(word)
+    if not by:
+        return texts.select(key, F.lit(None).cast("string").alias("theme")).limit(0)
+    any_of = lambda own: reduce(lambda a, b: a | b, (F.contains(F.col(text), F.lit(w)) for w in own))
+    shown = F.array_compact(F.array(*(F.when(any_of(own), theme) for theme, own in by.items())))
+    return texts.select(key, F.explode(shown).alias("theme")).distinct()
 
 
-def conflicts(entities: DataFrame, statements: DataFrame, descriptions: DataFrame, words: DataFrame) -> DataFrame:
+def conflicts(entities: DataFrame, statements: DataFrame, descriptions: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
     """(entity_id, conflict_flag, conflict_strength, conflict_overlap, conflict_reason) for each parliamentarian."""
     seat, interest = seats(entities, statements), interests(entities, statements, descriptions)
     both = themes_of(seat, "mp_id", "name", words).join(themes_of(interest, "mp_id", "text", words), ["mp_id", "theme"])

@@ -11,6 +11,11 @@ from ..schemas import HUB_TYPES
 from .components import connected_components
 
 
+def active(resolutions: DataFrame) -> DataFrame:
+    """The resolutions in force: those without a mark, and those marked ``is_active``."""
+    return resolutions.where(F.coalesce("is_active", F.lit(True))) if "is_active" in resolutions.columns else resolutions
+
+
 def neighbours(entities: DataFrame, statements: DataFrame) -> DataFrame:
     """(entity_id, neighbour), either direction, each once; hubs are no neighbours."""
     ends = F.explode(F.array(F.struct(F.col("subject_id").alias("e"), F.col("object_id").alias("n")), F.struct(F.col("object_id").alias("e"), F.col("subject_id").alias("n"))))
@@ -92,7 +97,7 @@ def fold_attributes(entities: DataFrame, losers: DataFrame, attributes: str = "a
     return kept.withColumn(attributes, F.map_concat(own, missing)).drop("_folded")
 
 
-def merge(entities: DataFrame, statements: DataFrame, weights: DataFrame) -> DataFrame:
+def merge(entities: DataFrame, statements: DataFrame, weights: DataFrame, births: DataFrame | None = None) -> DataFrame:
     """(entity_id, survivor) of all merges among persons and organisations."""
-    found = components(checkpointed(person_pairs(entities, statements).unionByName(organisation_pairs(entities))))
+    found = components(checkpointed(person_pairs(entities, statements, births).unionByName(organisation_pairs(entities))))
     return replacements(found, survivors(found, weights))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .dedupe import active
 
 DECAY_A_YEAR = 0.15
 DAYS_A_YEAR = 365
@@ -28,7 +29,8 @@ class Raw:
 def mapped(raw: Raw) -> DataFrame:
     """Assertions between resolved entities, with their confidence; no self-loops."""
     priors = F.broadcast(schemas.sources(raw.assertions.sparkSession))  # a fixed lookup table
-    end = lambda which: raw.resolutions.select(
+    known = active(raw.resolutions)
+    end = lambda which: known.select(
         F.col("mention_id").alias(f"{which}_mention_id"), F.col("entity_id").alias(f"{which}_id"), F.col("match_confidence").alias(f"{which}_confidence")
     )
     joined = raw.assertions.join(end("from"), "from_mention_id").join(end("to"), "to_mention_id").join(priors, "source_code")
@@ -75,10 +77,13 @@ def statements(raw: Raw, as_of: str, with_money: bool = True) -> DataFrame:
     )
 
 
-def provenance(raw: Raw, statements: DataFrame) -> DataFrame:
-    """(statement_id, assertion_id) pairs, each once."""
-    own = mapped(raw).select(statement_id().alias("statement_id"), "assertion_id")
-    return own.join(statements.select("statement_id"), "statement_id", "left_semi").distinct()
+def provenance(raw: Raw) -> DataFrame:
+    """(statement_id, assertion_id) pairs, each once, of the assertions that statements are made of.
+
+    Assertions are mapped once; only the known types make statements.
+    """
+    known = F.col("statement_type").isin(*schemas.STATEMENT_TYPES)
+    return mapped(raw).where(known).select(statement_id().alias("statement_id"), "assertion_id").distinct()
 
 
 def corroborated(raw: Raw) -> DataFrame:

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from .findings import Graph, both_ends
+from .ranks import placed
 
-# Names of registers, and the register of a type whose sources are unknown.
+# Names of registers.
 REGISTERS = {
     "companies_house": "Companies House",
     "electoral_commission": "Electoral Commission",
-    "parliament_interests": "Register of Interests",
-    "parliament": "UK Parliament",
+    "parliament": "Parliament (Members API)",
+    "parliament_interests": "Register of Members' Interests",
+    "lords_interests": "Register of Lords' Interests",
     "contracts_finder": "Contracts Finder",
-    "lords_interests": "Lords' Interests",
 }
+# The register that a type of statement most likely comes from, where its sources aren't known.
+TYPE_REGISTERS = {
+    "DONATED_TO": "Electoral Commission",
+    "CONTRACTED_WITH": "Contracts Finder",
+    "DIRECTOR_OF": "Companies House",
+    "PSC_OF": "Companies House",
+    "OWNS": "Companies House",
+    "CO_DIRECTOR": "Companies House",
+    "ADVISER_TO": "Register of Members' Interests",
+    "MEMBER_OF": "Parliament",
+    "CHAIR_OF": "Parliament",
+    "MINISTERIAL_ROLE": "Parliament",
+}
+UNKNOWN_REGISTER = "official register"
+#: A finding shape that lists leave out.
+UNLISTED = "QUIET_PORTFOLIO"
 STRENGTH_ORDER = {"strong": 0, "medium": 1, "low": 2}
 
 
@@ -38,7 +57,9 @@ def pounds(amount: Column) -> Column:
 
 def links(g: Graph) -> DataFrame:
     """Statements as a reader sees them: relation, registers, amount as text, tier and band."""
-    label = F.array_join(F.transform("sources", lambda s: F.coalesce(_map(REGISTERS)[s], s)), " + ")
+    told = F.array_join(F.transform("sources", lambda s: F.coalesce(_map(REGISTERS)[s], s)), " + ")
+    likely = F.coalesce(_map(TYPE_REGISTERS)[F.col("statement_type")], F.lit(UNKNOWN_REGISTER))
+    label = F.when(F.size("sources") > 0, told).otherwise(likely)
     return g.statements.select(
         "statement_id", "subject_id", "object_id", F.lower(F.replace("statement_type", F.lit("_"), F.lit(" "))).alias("relation"), label.alias("method"),
         pounds(F.col("amount_gbp")).alias("amount"), "confidence", "strength", tier(F.col("confidence")).alias("tier"), strength_band(F.col("strength")).alias("band"),
@@ -73,8 +94,8 @@ def conflict_board(g: Graph, scores: DataFrame) -> DataFrame:
     """Parliamentarians with a conflict in order. scores: (entity_id, scrutiny)."""
     flagged = g.conflicts.where("conflict_flag").join(scores.select("entity_id", "scrutiny"), "entity_id").join(nodes(g).select("entity_id", "name", "importance"), "entity_id")
     rank = _map(STRENGTH_ORDER)[F.col("conflict_strength")]
-    order = Window.orderBy(rank, F.desc("scrutiny"), F.desc("importance"), "name", "entity_id")
-    return flagged.select("entity_id", "name", "conflict_strength", "conflict_overlap", "scrutiny", "importance", F.row_number().over(order).alias("place"))
+    board = flagged.select("entity_id", "name", "conflict_strength", "conflict_overlap", "scrutiny", "importance", rank.alias("_rank"))
+    return placed(board, F.asc("_rank"), F.desc("scrutiny"), F.desc("importance"), F.asc("name"), F.asc("entity_id")).drop("_rank", "n_places")
 
 
 def money_board(g: Graph, limit: int = 8, behind: int = 4) -> DataFrame:
@@ -196,9 +217,15 @@ def constellation(g: Graph, found: DataFrame, most_nodes: int = 300, gifts: int
 
 
 def constellation_links(g: Graph, members: DataFrame, most: int = 900, least: float = 0.5) -> DataFrame:
-    """The strongest tie of each pair among ``members``, up to ``most``."""
-    inside = induced(g, members).where(F.col("confidence") >= least)
-    best = inside.groupBy(F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b")).agg(F.max("strength").alias("strength"))
+    """The strongest tie of each pair among ``members``, up to ``most``.
+
+    Ties of little confidence count if both ends are members of findings (source 1).
+    """
+    told = members.where("source = 1")
+    inside = induced(g, members)
+    inside = inside.where(F.col("confidence") >= least).unionByName(induced(g, told).where(F.col("confidence") < least))
+    ends = [F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b")]
+    best = inside.where("subject_id != object_id").groupBy(*ends).agg(F.max("strength").alias("strength"))
     return best.orderBy(F.desc("strength"), "a", "b").limit(most)
 
 
@@ -247,18 +274,125 @@ def lead_pick(found: DataFrame, covered: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("score"), "finding_id").limit(1)
 
 
-def hand(found: DataFrame, seed: int = 1, slots: int = 4, fade: float = 25.0) -> DataFrame:
-    """A seeded, weighted draw of findings without replacement: exponential keys over the rank by surprise."""
-    place = F.row_number().over(Window.orderBy(F.desc("surprise"), "finding_id"))
-    uniform = (F.pmod(F.xxhash64("finding_id", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    top = found.orderBy(F.desc("surprise"), "finding_id").limit(40 * slots)
-    keyed = top.withColumn("key", -F.log(uniform) * F.exp(place / fade))
-    return keyed.orderBy("key", "finding_id").limit(slots).drop("key")
+def listed(found: DataFrame) -> DataFrame:
+    """The findings that lists show, with their place: the most surprising first."""
+    return placed(found.where(F.col("shape_code") != UNLISTED), F.desc("surprise"), F.asc("finding_id")).drop("n_places")
+
+
+def by_entity(df: DataFrame, entity: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place among those of its entity."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(entity).orderBy(*order)))
+
+
+def insights_by_entity(df: DataFrame) -> DataFrame:
+    """Insights with their place among an entity's, the weightiest first."""
+    return by_entity(df, "entity_id", F.desc("priority"), F.asc("insight_id"))
+
+
+def extras(coverage: DataFrame | None, offshore: DataFrame | None, overseas: DataFrame | None) -> DataFrame:
+    """(extra, entity_id, id, place) of news, offshore and overseas leads; a table that isn't there (None) has none.
+
+    News is in order of time, the newest first, leads in order of id.
+    """
+    parts = []
+    if coverage is not None:
+        parts.append(by_entity(coverage, "entity_id", F.desc("seendate"), F.asc("coverage_id")).select(F.lit("coverage").alias("extra"), "entity_id", F.col("coverage_id").alias("id"), "place"))
+    if offshore is not None:
+        parts.append(by_entity(offshore, "entity_id", F.asc("lead_id")).select(F.lit("offshore").alias("extra"), "entity_id", F.col("lead_id").alias("id"), "place"))
+    if overseas is not None:
+        parts.append(by_entity(overseas, "donor_id", F.asc("lead_id")).select(F.lit("overseas").alias("extra"), F.col("donor_id").alias("entity_id"), F.col("lead_id").alias("id"), "place"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def by_id(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The row with an id, as a filter that reaches the scan."""
+    return df.where(F.col(column) == value)
+
+
+def news_of(found: DataFrame, coverage: DataFrame, most: int | None = None) -> DataFrame:
+    """(finding_id, coverage_id, place): news of each finding's members, each article once, in order of members and time.
+
+    coverage: (coverage_id, entity_id, seendate).
+    """
+    members = found.select("finding_id", F.posexplode("member_ids").alias("member", "entity_id"))
+    seen = members.join(coverage.select("coverage_id", "entity_id", "seendate"), "entity_id")
+    once = seen.groupBy("finding_id", "coverage_id").agg(F.min(F.struct("member", "entity_id")).alias("m"), F.max("seendate").alias("seendate"))
+    rows = once.withColumn("place", F.row_number().over(Window.partitionBy("finding_id").orderBy("m.member", F.desc("seendate"), "coverage_id")))
+    return (rows if most is None else rows.where(F.col("place") <= most)).select("finding_id", "coverage_id", "place")
+
+
+#: The slots that name the member that a finding is about, by shape.
+PIVOT_SLOTS = {
+    "LOOP_CLOSED": ("company", "entity"), "CROSSING": ("company", "entity"), "BIG_MONEY": ("donor",), "OVERSEAS_MONEY": ("donor",), "SHARED_BENCH": ("org",), "FAMILY_DESK": ("company",),
+}
+
+
+def pivot_entity(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """(finding_id, pivot_id): the first member with the name that the shape's slots give, else the first member."""
+    members = found.select("finding_id", "shape_code", "slots", F.posexplode("member_ids").alias("at", "entity_id"))
+    named = members.join(entities.select("entity_id", "name"), "entity_id", "left")
+    order = F.lit(9)
+    for shape, slots in PIVOT_SLOTS.items():
+        for k, slot in reversed([*enumerate(slots)]):
+            order = F.when((F.col("shape_code") == shape) & (F.col("slots")[slot] == F.col("name")), k).otherwise(order)
+    return named.groupBy("finding_id").agg(F.min_by("entity_id", F.struct(order.alias("o"), "at")).alias("pivot_id"))
+
+
+def suggestions(found: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
+    """(entity_id, name, place): the first different entities that the most surprising findings are about."""
+    about = pivot_entity(found, entities).join(found.select("finding_id", "surprise"), "finding_id").join(entities.select(F.col("entity_id").alias("pivot_id"), "name"), "pivot_id")
+    best = about.groupBy("pivot_id", "name").agg(F.min(F.struct((-F.col("surprise")).alias("less"), "finding_id")).alias("first"))
+    top = best.orderBy("first").limit(most)
+    return top.select(F.col("pivot_id").alias("entity_id"), "name", F.row_number().over(Window.orderBy("first")).alias("place"))
+
+
+def find_parliamentarians(g: Graph, query: str, limit: int = 7) -> DataFrame:
+    """Members, ministers and peers whose name contains the query."""
+    kinds = ("mp", "minister", "peer")
+    own = g.entities.where(F.col("entity_type").isin(*kinds) | F.col("category").isin(*kinds))
+    return own.where(F.contains(F.lower("name"), F.lit(query.strip().lower()))).orderBy("name", "entity_id").limit(limit).select("entity_id", "name")
 
 
-def pivot_entity(found: DataFrame) -> DataFrame:
-    """(finding_id, pivot_id): the member that a finding is about."""
-    return found.select("finding_id", F.element_at("member_ids", 1).alias("pivot_id"))
+def set_hash(ids: Column) -> Column:
+    """A short text for a set of ids: their rolling 32-bit hash in base 36, and their number."""
+    ordered = F.array_sort(ids)
+    chars = F.split(F.concat(F.array_join(ordered, "|"), F.lit("|")), "")
+    rolled = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32)))
+    return F.concat(F.lower(F.conv(F.when(F.size(ids) > 0, rolled).otherwise(0).cast("string"), 10, 36)), F.lit(":"), F.size(ids).cast("string"))
+
+
+#: A weighted draw beyond the first card looks at so many findings in the order drawn before it lets a shape or member repeat.
+TRIES = 30
+
+
+def hand(found: DataFrame, seed: int | str = 1, slots: int = 4, fade: float = 25.0, top: int = 10, seen: DataFrame | None = None) -> DataFrame:
+    """A seeded draw of ``slots`` findings with their ``card``, 1 on; ``seen`` (finding_id) are left out.
+
+    Card 1 is drawn evenly from the ``top`` most surprising. The others are drawn from all
+    findings with the weight exp(-rank / fade), without putting back, and share neither
+    shape nor member with a card before; if none of TRIES draws does, the first one stays.
+    Draws are by hashed exponential keys over the whole pool; each card looks at the first
+    TRIES keys and what is in hand, so that little reaches one task.
+    """
+    pool = found if seen is None else found.join(seen.select("finding_id"), "finding_id", "left_anti")
+    pool = listed(pool).withColumn("rank", F.col("place") - 1)
+
+    def key(card: int) -> Column:
+        uniform = (F.pmod(F.xxhash64("finding_id", F.lit(str(seed)), F.lit(card)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+        return -F.log(uniform) * (F.exp(F.col("rank") / fade) if card > 1 else F.lit(1.0))
+
+    pool = checkpointed(pool.select("finding_id", "shape_code", "member_ids", "surprise", "rank"))
+    held: DataFrame | None = None
+    for card in range(1, slots + 1):
+        left = pool.where(F.col("rank") < top) if held is None else pool.join(held.select("finding_id"), "finding_id", "left_anti")
+        drawn = left.withColumn("_key", key(card)).orderBy("_key", "finding_id").limit(TRIES)
+        if held is not None:
+            used = held.agg(F.collect_set("shape_code").alias("_shapes"), F.array_distinct(F.flatten(F.collect_list("member_ids"))).alias("_members"))  # one row, a hand
+            clash = F.array_contains("_shapes", F.col("shape_code")) | F.arrays_overlap("_members", "member_ids")
+            drawn = drawn.crossJoin(F.broadcast(used)).withColumn("_clash", clash).orderBy("_clash", "_key", "finding_id").drop("_shapes", "_members", "_clash")
+        picked = checkpointed(drawn.limit(1).drop("_key").withColumn("card", F.lit(card)))
+        held = picked if held is None else checkpointed(held.unionByName(picked))
+    return held.drop("rank")
 
 
 def strongest_money_tie(g: Graph, entity_id: str) -> DataFrame:
@@ -284,26 +418,6 @@ def visible_neighbours(g: Graph, entity_id: str, least: float = 40, types: tuple
     return near.select("entity_id", "name", "entity_type", "strength")
 
 
-def headline(found: DataFrame) -> DataFrame:
-    """(finding_id, headline): one sentence for each finding."""
-    s = lambda k: F.coalesce(F.col("slots")[k], F.lit("?"))
-    by = {
-        "LOOP_CLOSED": F.concat(s("company"), F.lit(" gives to "), s("party"), F.lit(" and holds public contracts")),
-        "SHARED_BENCH": F.concat(s("n_people"), F.lit(" parliamentarians around "), s("org")),
-        "FAMILY_DESK": F.concat(s("person_a"), F.lit(" and "), s("person_b"), F.lit(" at "), s("company")),
-        "BIG_MONEY": F.concat(s("donor"), F.lit(" gave "), s("recipient"), F.lit(" "), s("amount_gbp")),
-        "OVERSEAS_MONEY": F.concat(s("donor"), F.lit(" of "), s("jurisdiction"), F.lit(" gave "), s("recipient"), F.lit(" "), s("amount_gbp")),
-        "SECTOR_OVERLAP": F.concat(s("mp"), F.lit(": seat and interest meet")),
-        "QUIET_PORTFOLIO": F.concat(s("person"), F.lit(" is behind "), s("n_companies"), F.lit(" companies")),
-        "CROSSING": F.concat(s("entity"), F.lit(" stands in "), s("n_registers"), F.lit(" registers")),
-        "NEW_ON_REGISTER": F.concat(F.lit("New: "), s("subject"), F.lit(" "), s("statement_type"), F.lit(" "), s("object")),
-    }
-    text = F.lit(None).cast("string")
-    for shape, sentence in by.items():
-        text = F.when(F.col("shape_code") == shape, sentence).otherwise(text)
-    return found.select("finding_id", text.alias("headline"))
-
-
 def receipts(g: Graph, title: str, ties: DataFrame) -> DataFrame:
     """One row of Markdown that lists ties with their registers; ``ties`` is a short list."""
     named = ties.join(g.named("subject"), "subject_id").join(g.named("object"), "object_id")

@@ -73,6 +73,18 @@ def entities(keyed_mentions: DataFrame) -> DataFrame:
     return grouped.select("entity_id", "rule", kind.alias("entity_type"), "name", category.alias("category"), "n_mentions")
 
 
+#: What a mention says of itself, beside its name and source.
+ATTRIBUTES = ("company_number", "officer_link", "officer_role", "parliament_member_id", "donor_id", "regulated_entity_id", "country", "nationality")
+
+
+def singletons(keyed_mentions: DataFrame) -> DataFrame:
+    """(mention_id, entity_id, entity_type, name, attributes) of mentions that no rule joins with others; they keep what they say."""
+    own = keyed_mentions.where("rule = 'single'")
+    said = F.map_from_arrays(F.array(*map(F.lit, ATTRIBUTES)), F.array(*(F.col(c).cast("string") for c in ATTRIBUTES)))
+    there = F.map_filter(said, lambda k, v: v.isNotNull())
+    return own.select("mention_id", "entity_id", F.coalesce("entity_type_hint", F.lit("person")).alias("entity_type"), F.col("raw_name").alias("name"), there.alias("attributes"))
+
+
 def resolutions(keyed_mentions: DataFrame) -> DataFrame:
     """(mention_id, entity_id, match_confidence); every rule is certain."""
     return keyed_mentions.where("rule is not null").select("mention_id", "entity_id", F.lit(1.0).alias("match_confidence"))
