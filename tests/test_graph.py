@@ -1,10 +1,14 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tieweave.operators import components, dedupe, edges, findings, insights, matcher, reads
+from tieweave.checkpoints import checkpointed
+from tieweave.operators import components, dedupe, edges, findings, insights, matcher, ranks, reads, sentences
 from tieweave.operators.findings import Graph
 from tieweave.plans import build, queries
-from tieweave.sources import fixture
+from tieweave.sources import fixture, landing, sinks
 
 
 @pytest.fixture(scope="module")
@@ -50,11 +54,136 @@ def test_survivor_attributes_win(spark):
     assert dedupe.fold_attributes(own, lost).first()["attributes"] == {"x": "1", "y": "3"}
 
 
-def test_isotonic_never_falls():
-    scored = [(0.05, 0), (0.1, 1), (0.2, 0), (0.3, 0), (0.4, 1), (0.9, 1)]
-    fitted = [y for _, y in matcher.isotonic(scored)]
-    assert fitted == sorted(fitted)
-    assert sum(fitted) == pytest.approx(3)
+def pooled(points):
+    """Pools of adjacent violators over (score, mean, weight), one by one."""
+    pools = []
+    for score, mean, n in sorted(points):
+        pools.append([mean * n, n, [score]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
+            total, weight, scores = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + weight, pools[-1][2] + scores]
+    return {score: round(total / n, 6) for total, n, scores in pools for score in scores}
+
+
+def test_isotonic_is_pooling_of_violators(spark):
+    rng = random.Random(3)
+    rows = [(round(rng.random(), 2), int(rng.random() < 0.5)) for _ in range(400)]
+    by = {}
+    for score, label in rows:
+        by.setdefault(score, []).append(label)
+    found = {r.score: r.fitted for r in matcher.isotonic(spark.createDataFrame(rows, "score double, label int")).collect()}
+    assert found == pooled((s, sum(x) / len(x), len(x)) for s, x in by.items())
+    assert list(dict(sorted(found.items())).values()) == sorted(found.values())
+
+
+def test_places_and_ranks_over_many_partitions(spark):
+    rows = [(i, i * 37 % 100 // 7, "ab"[i % 3 == 0]) for i in range(300)] + [(301, None, "a")]
+    df = spark.createDataFrame(rows, "id long, v long, cohort string").repartition(5)
+    value = lambda r: -1 if r[1] is None else r[1]
+    for r in ranks.ranked(df, "v", "cohort").collect():
+        own = [x for x in rows if x[2] == r.cohort]
+        assert r.cohort_size == len(own) and r["rank"] == 1 + sum(value(x) > value((0, r.v)) for x in own)
+    order = sorted(rows, key=lambda x: (value(x), x[0]))
+    assert {(r.id, r.place, r.n_places) for r in ranks.placed(df, F.asc_nulls_first("v"), F.asc("id")).collect()} == {(x[0], i, 301) for i, x in enumerate(order, 1)}
+    before = {r.id: r.total for r in ranks.running(df, [F.asc_nulls_first("v"), F.asc("id")], {"total": F.coalesce("v", F.lit(0))}).collect()}
+    assert before == {x[0]: sum(max(0, value(y)) for y in order[:i]) for i, x in enumerate(order)}
+    assert ranks.ranked(df.limit(0), "v").count() == 0
+
+
+def made_findings(spark, n):
+    rows = [(f"f{i:03}", ["A", "B", "C", "D", "E"][i % 5], [f"m{i % 40}", f"x{i}"], round(1 - i / 1000, 4)) for i in range(n)] + [("quiet", "QUIET_PORTFOLIO", ["q"], 9.0)]
+    return spark.createDataFrame(rows, "finding_id string, shape_code string, member_ids array<string>, surprise double"), rows[:-1]
+
+
+def test_hands_are_drawn_as_told(spark):
+    found, rows = made_findings(spark, 200)
+    first, shapes = [], set()
+    for seed in range(6):
+        cards = reads.hand(found, seed).orderBy("card").collect()
+        assert [c.card for c in cards] == [1, 2, 3, 4] and "quiet" not in {c.finding_id for c in cards}
+        assert len({c.shape_code for c in cards}) == 4 and len({m for c in cards for m in c.member_ids}) == 8
+        first.append(cards[0].finding_id)
+        shapes |= {c.finding_id for c in cards[1:]}
+    assert set(first) <= {r[0] for r in rows[:10]} and len(set(first)) > 2 and len(shapes) > 9
+    assert [c.finding_id for c in reads.hand(found, 1).orderBy("card").collect()] == [c.finding_id for c in reads.hand(found, 1).orderBy("card").collect()]
+    seen = spark.createDataFrame([(r[0],) for r in rows[:150]], "finding_id string")
+    assert {c.finding_id for c in reads.hand(found, 1, seen=seen).collect()} <= {r[0] for r in rows[150:]}
+    alike, _ = made_findings(spark, 200)
+    alike = alike.where("shape_code = 'A'")
+    assert reads.hand(alike, 2).count() == 4  # rather a repeat than a short hand
+    assert reads.hand(found.where("shape_code = 'A'").limit(2), 1).count() == 2
+
+
+def test_hand_equals_brute_force(spark):
+    found, rows = made_findings(spark, 60)
+
+    hashed = {(r.finding_id, c): r[f"h{c}"] for r in found.select("finding_id", *(F.pmod(F.xxhash64("finding_id", F.lit("7"), F.lit(c)), F.lit(1 << 30)).alias(f"h{c}") for c in range(1, 5))).collect() for c in range(1, 5)}
+    pool = sorted(rows, key=lambda r: (-r[3], r[0]))
+    held = []
+    for card in range(1, 5):
+        draws = []
+        for rank, r in enumerate(pool):
+            if r in held or (card == 1 and rank >= 10):
+                continue
+            u = (hashed[r[0], card] + 1) / ((1 << 30) + 1)
+            draws.append((-math.log(u) * (math.exp(rank / 25) if card > 1 else 1), r[0], r))
+        draws = sorted(draws, key=lambda x: x[:2])[: reads.TRIES]
+        free = [d for d in draws if not any(d[2][1] == h[1] or set(d[2][2]) & set(h[2]) for h in held)]
+        held.append((free or draws)[0][2])
+    assert [c.finding_id for c in reads.hand(found, 7).orderBy("card").collect()] == [h[0] for h in held]
+
+
+def test_pivots_go_by_name(spark):
+    entities = spark.createDataFrame([("1", "Ann"), ("2", "Acme"), ("3", "Blue")], "entity_id string, name string")
+    rows = [("a", "FAMILY_DESK", ["1", "2"], {"company": "Acme"}), ("b", "BIG_MONEY", ["1", "3"], {"donor": "Nobody"}), ("c", "CROSSING", ["3", "2"], {"entity": "Acme"}), ("d", "OTHER", ["3", "1"], {"donor": "Ann"})]
+    found = spark.createDataFrame(rows, "finding_id string, shape_code string, member_ids array<string>, slots map<string,string>")
+    assert dict(reads.pivot_entity(found, entities).collect()) == {"a": "2", "b": "1", "c": "2", "d": "3"}
+
+
+def test_sentences_leave_out_what_is_missing(spark):
+    rows = [
+        ("LOOP_CLOSED", {"company": "Acme", "party": "Labour", "donation_gbp": "1234.5", "contract_count": "1"}, "Acme gave £1,235 to Labour. It also holds 1 public contract."),
+        ("LOOP_CLOSED", {"company": "Acme", "party": "Rail Party"}, "Acme is a donor to the Rail Party."), ("BIG_MONEY", {"donor": "Ann", "recipient": "SNP"}, "Ann made a donation to the SNP."),
+        ("OVERSEAS_MONEY", {"amount_gbp": "5", "recipient": "Green"}, "£5 to the Green Party from a donor with an overseas registered residence."),
+        ("SECTOR_OVERLAP", {"mp": "Ann"}, "Ann sits where their declared interests overlap."), ("UNKNOWN", {}, "A sourced structural pattern in the public registers."),
+    ]
+    found = spark.createDataFrame([(str(i), s, x) for i, (s, x, _) in enumerate(rows)], "finding_id string, shape_code string, slots map<string,string>")
+    texts = {r.finding_id: r for r in sentences.finding_texts(found).collect()}
+    assert [texts[str(i)].headline for i in range(len(rows))] == [r[2] for r in rows]
+    long = found.limit(1).withColumn("slots", F.create_map(F.lit("company"), F.repeat(F.lit("x"), 400), F.lit("n_registers"), F.lit("1")))
+    share = sentences.finding_texts(long).first().share
+    assert len(share) <= sentences.SHARED_CHARS + 1 and "…" in share and share.endswith("Sourced from 1 public register. ")
+    kinds = [("BASIC", {"n_ties": "1"}, "1 sourced connection."), ("NEAREST_NOTABLE", {"hops": "2", "notable_name": "Ann"}, "2 steps from Ann in the register graph."), ("BRIDGE", {}, "Appears across multiple public registers.")]
+    told = spark.createDataFrame([(str(i), k, None, x) for i, (k, x, _) in enumerate(kinds)], "insight_id string, kind string, rank long, slots map<string,string>")
+    assert [r.sentence for r in sentences.insight_texts(told).orderBy("insight_id").collect()] == [k[2] for k in kinds]
+
+
+def test_whole_build_from_landed_registers(spark, data, tmp_path):
+    landed = landing.everything(spark, data)
+    built = build.from_landed(checkpointed(landed.mentions), checkpointed(landed.assertions), fixture.AS_OF)
+    path = f"file://{tmp_path}/builds"
+    ids = [build.write(built, path), build.write(built, path)]
+    assert sinks.current_build(spark, path) == ids[1]
+    tables = {name: sinks.read_build(spark, path, name) for name in built.tables()}
+    assert all(not df.isEmpty() for name, df in tables.items() if name not in ("overseas_leads", "suggested_pairs"))
+    known = tables["entities"].select("entity_id")
+    ends = findings.both_ends(tables["statements"]).distinct()
+    assert ends.join(known, "entity_id", "left_anti").isEmpty()
+    assert known.join(tables["insights"], "entity_id", "left_anti").isEmpty()
+    assert tables["replaced"].join(known, "entity_id", "left_semi").isEmpty()
+    assert tables["entities"].where("attributes['nationality'] = 'British' and jurisdiction is not null").count() > 0
+
+    def broken(rows):
+        raise ValueError("stop")
+
+    bad = built.tables()
+    bad["insights"] = bad["insights"].mapInPandas(broken, bad["insights"].schema)
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(bad, path, "bad")
+    assert sinks.current_build(spark, path) == ids[1] and not (tmp_path / "builds" / "bad").exists()
+    assert sinks.read_build(spark, path, "entities").count() == tables["entities"].count()
+    build.write(built, path)
+    assert len([p for p in (tmp_path / "builds").iterdir() if p.is_dir()]) == 2
 
 
 def small(spark, ties):

@@ -3,18 +3,18 @@
 import pytest
 from compare import spark_rows, sql_rows
 
-from tieweave.plans import oracles, queries
+from tieweave.plans import catalog
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_its_sql(spark, data, name):
-    assert spark_rows(queries.QUERIES[name](spark, data)) == sql_rows(oracles.SQL[name], data)
+    assert spark_rows(catalog.QUERIES[name](spark, data)) == sql_rows(catalog.SQL[name], data)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, data, name):
-    assert queries.QUERIES[name](spark, data).count() > 0
+    assert catalog.QUERIES[name](spark, data).count() > 0
 
 
 def test_sql_belongs_to_queries():
-    assert set(oracles.SQL) <= set(queries.QUERIES)
+    assert set(catalog.SQL) <= set(catalog.QUERIES)

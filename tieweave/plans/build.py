@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..operators import attention, dedupe, edges, findings, insights
+from ..operators import attention, dedupe, edges, enrich, findings, insights, resolve
 from ..operators.edges import Raw
 from ..operators.findings import Graph
+from ..sources import sinks
 
 
 @dataclass(frozen=True)
@@ -26,27 +28,40 @@ class Build:
     insights: DataFrame
     stats: DataFrame
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {
+            "entities": self.graph.entities, "statements": self.graph.statements, "conflicts": self.graph.conflicts, "replaced": self.replaced, "scrutiny": self.scrutiny,
+            "findings": self.findings, "suggested_pairs": self.suggested, "overseas_leads": self.leads, "insights": self.insights, "register_stats": self.stats,
+        }
 
-def graph(raw: Raw, as_of: str, descriptions: DataFrame, words: DataFrame) -> Graph:
+
+def graph(raw: Raw, as_of: str, descriptions: DataFrame, words: list[tuple[str, str]]) -> Graph:
     """Entities and scored statements, written once, with the conflicts over them."""
     entities, statements = checkpointed(raw.entities), checkpointed(edges.statements(raw, as_of))
     return Graph(entities, statements, attention.conflicts(entities, statements, descriptions, words), as_of)
 
 
-def merged(raw: Raw, as_of: str) -> tuple[Raw, DataFrame]:
-    """The raw layer with duplicate entities replaced by their survivors, and the replacements."""
+def merged(raw: Raw, as_of: str, births: DataFrame | None = None) -> tuple[Raw, DataFrame]:
+    """The raw layer with duplicate entities replaced by their survivors, and the replacements.
+
+    Survivors take over what only their duplicates say, if entities have ``attributes``.
+    births: (entity_id, dob).
+    """
     first = checkpointed(edges.statements(raw, as_of))
-    weights = raw.resolutions.groupBy("entity_id").agg(F.count("*").alias("n"))
-    replaced = checkpointed(dedupe.merge(raw.entities, first, weights))
-    entities = raw.entities.join(replaced, "entity_id", "left_anti")
+    weights = dedupe.active(raw.resolutions).groupBy("entity_id").agg(F.count("*").alias("n"))
+    replaced = checkpointed(dedupe.merge(raw.entities, first, weights, births))
+    if "attributes" in raw.entities.columns:
+        entities = dedupe.fold_attributes(raw.entities, replaced)
+    else:
+        entities = raw.entities.join(replaced, "entity_id", "left_anti")
     return replace(raw, entities=entities, resolutions=dedupe.repoint(raw.resolutions, "entity_id", replaced)), replaced
 
 
-def build(raw: Raw, as_of: str, descriptions: DataFrame, words: DataFrame | None = None) -> Build:
-    """Dedupe, edges, scores, findings, insights and statistics as of a date."""
-    spark: SparkSession = raw.entities.sparkSession
-    own, replaced = merged(raw, as_of)
-    g = graph(own, as_of, descriptions, attention.lexicon(spark) if words is None else words)
+def build(raw: Raw, as_of: str, descriptions: DataFrame, words: list[tuple[str, str]] | None = None, births: DataFrame | None = None) -> Build:
+    """Dedupe, edges, scores, findings, insights and statistics as of a date. descriptions: of entities before the merge."""
+    own, replaced = merged(raw, as_of, births)
+    told = attention.descriptions(dedupe.repoint(descriptions, "entity_id", replaced))
+    g = graph(own, as_of, told, attention.LEXICON if words is None else words)
     g = replace(g, conflicts=checkpointed(g.conflicts))
     found = checkpointed(findings.findings(g))
     keys = dedupe.person_keys(g.entities)
@@ -56,12 +71,29 @@ def build(raw: Raw, as_of: str, descriptions: DataFrame, words: DataFrame | None
     )
 
 
-def write(built: Build, path: str) -> None:
-    """All derived tables as Parquet below ``path``, each replacing what was there."""
-    tables = {
-        "entities": built.graph.entities, "statements": built.graph.statements, "conflicts": built.graph.conflicts, "replaced": built.replaced,
-        "scrutiny": built.scrutiny, "findings": built.findings, "suggested_pairs": built.suggested, "overseas_leads": built.leads,
-        "insights": built.insights, "register_stats": built.stats,
-    }
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def resolved(mentions: DataFrame, assertions: DataFrame) -> tuple[Raw, DataFrame, DataFrame]:
+    """(raw, descriptions, births) of landed mentions: resolved, with residence, nationality and jurisdiction.
+
+    mentions: the columns of ``schemas.MENTIONS``.
+    """
+    keyed = checkpointed(resolve.keyed(mentions))
+    entities = resolve.entities(keyed).withColumn("attributes", F.create_map().cast("map<string,string>"))
+    entities = enrich.with_attributes(entities, enrich.nationalities(keyed), "nationality", "nationality")
+    places = enrich.residences(keyed).unionByName(enrich.company_jurisdictions(keyed)).groupBy("entity_id").agg(F.min("country").alias("jurisdiction"))
+    entities = enrich.with_attributes(entities.join(places, "entity_id", "left"), places, "jurisdiction", "jurisdiction")
+    entities = entities.select("entity_id", "entity_type", "name", "category", "jurisdiction", "attributes")
+    births = keyed.where("dob is not null").groupBy("entity_id").agg(F.min("dob").alias("dob"))
+    return Raw(assertions, resolve.resolutions(keyed), entities), keyed.select("entity_id", "description"), births
+
+
+def from_landed(mentions: DataFrame, assertions: DataFrame, as_of: str) -> Build:
+    """The whole build from landed registers."""
+    raw, descriptions, births = resolved(mentions, assertions)
+    return build(replace(raw, entities=checkpointed(raw.entities)), as_of, descriptions, births=births)
+
+
+def write(built: Build, path: str, build_id: str | None = None) -> str:
+    """All derived tables below ``path``, seen by readers together or not at all; gives the build's id."""
+    build_id = build_id or uuid.uuid4().hex
+    sinks.publish(built.tables(), path, build_id)
+    return build_id

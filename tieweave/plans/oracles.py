@@ -461,7 +461,7 @@ SQL: dict[str, str] = {
     "fs_bands": _graph("SELECT band, across, count(*) AS n FROM banded GROUP BY ALL", _PEOPLE),
     "calib_threshold": f"WITH {_SCORED} SELECT min(score) AS threshold FROM (SELECT score, sum(label) OVER w / count(*) OVER w AS p FROM gold WINDOW w AS (ORDER BY score DESC, label DESC ROWS UNBOUNDED PRECEDING)) WHERE p >= 0.9",
     "calib_reliability": f"WITH {_SCORED} SELECT b AS bin, count(*) AS n, round(sum(score::DECIMAL(18,6))::DOUBLE / count(*), 4) AS mean_score, round(avg(label), 4) AS share FROM (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS p, count(*) OVER () AS n FROM gold) JOIN range(10) r(b) ON p >= b * n // 10 AND p < (b + 1) * n // 10 GROUP BY b",
-    "calib_report": f"WITH {_SCORED} SELECT kind, count(*) AS n, round(min(score), 4) AS least, round(quantile_cont(score, 0.5), 4) AS median, round(max(score), 4) AS most FROM gold GROUP BY kind",
+    "calib_report": f"WITH {_SCORED} SELECT kind, count(*) AS n, round(min(score), 4) AS least, round(quantile_cont(score, 0.5), 4) AS median, round(max(score), 4) AS most, round(avg(score), 4) AS mean FROM gold GROUP BY kind",
     "graph_load_nodes": _graph("SELECT * FROM node"),
     "graph_types": _graph("SELECT entity_type, count(*) AS n FROM ents GROUP BY 1"),
     "leads_conflicts": _graph("""SELECT entity_id, n.name, level AS conflict_strength, overlap AS conflict_overlap, scrutiny, importance,
@@ -502,8 +502,6 @@ SQL: dict[str, str] = {
         """top AS (SELECT stm.*, d.name AS donor, p.name AS party FROM stm JOIN ents p ON p.entity_id = object_id AND p.entity_type = 'party' JOIN ents d ON d.entity_id = subject_id
             WHERE statement_type = 'DONATED_TO' ORDER BY amount_gbp DESC, statement_id LIMIT 8),
         around AS (SELECT subject_id AS d, object_id AS o FROM stm WHERE statement_type IN ('DIRECTOR_OF', 'PSC_OF', 'OWNS') UNION SELECT object_id, subject_id FROM stm WHERE statement_type IN ('DIRECTOR_OF', 'PSC_OF', 'OWNS'))"""),
-    "headlines": _graph("""SELECT finding_id, CASE shape_code WHEN 'SHARED_BENCH' THEN regexp_extract(slots, 'n_people=([^;]*)', 1) || ' parliamentarians around ' || regexp_extract(slots, 'org=([^;]*)', 1)
-            ELSE regexp_extract(slots, 'person=([^;]*)', 1) || ' is behind ' || regexp_extract(slots, 'n_companies=([^;]*)', 1) || ' companies' END AS headline FROM found""", _found("SHARED_BENCH", "QUIET_PORTFOLIO")),
     "lead_pick": _graph("""SELECT finding_id, score FROM (SELECT finding_id, round(surprise * CASE shape_code WHEN 'OVERSEAS_MONEY' THEN 1.3 ELSE 1.0 END
             * CASE WHEN len(list_filter(member_ids, lambda x: x LIKE 'C%')) > 0 THEN 1.3 ELSE 1.0 END, 4) AS score FROM found) ORDER BY score DESC, finding_id LIMIT 1""", _found("OVERSEAS_MONEY", "SHARED_BENCH")),
     "evidence": _graph("SELECT DISTINCT statement_id, strength FROM ends WHERE entity_id = 'C1' ORDER BY strength DESC, statement_id LIMIT 12"),

@@ -11,11 +11,11 @@ from ..checkpoints import checkpointed
 from ..functions import text
 from ..operators import attention, dedupe, edges, enrich, findings, insights, matcher, reads, resolve
 from ..operators.findings import Graph
-from ..sources import fixture
-from . import build
+from ..sources import fixture, sinks
+from . import build, extended, landed
 
-#: Materialised graphs by session and input folder: reads share what a build has written.
-_graphs: dict[tuple[str, str], Graph] = {}
+#: Materialised graphs by session, input folder and times of change: reads share what a build has written.
+_graphs: dict[tuple, Graph] = {}
 
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +26,14 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.concat(F.lit("C"), F.col("l_suppkey").cast("string")).alias("entity_id"), "description")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     """One theme for each noun; the nouns of part names are a fixed few."""
-    noun = F.split("p_name", " ")[1]
-    return fixture.table(spark, sf_dir, "part").select(noun.alias("theme"), noun.alias("word")).distinct()
+    nouns = fixture.table(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("noun")).distinct().collect()
+    return sorted((r.noun, r.noun) for r in nouns)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *(sinks.changed(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "lineitem", "orders", "part", "supplier")))
     if key not in _graphs:
         _graphs[key] = build.graph(fixture.raw(spark, sf_dir), fixture.AS_OF, descriptions(spark, sf_dir), words(spark, sf_dir))
     return _graphs[key]
@@ -183,7 +183,7 @@ def _interests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and links of pages: cells of HTML as text."""
+    """Headings and number of list items of pages."""
     pages = fixture.table(spark, sf_dir, "pages")
     title = text.unescaped(text.plain_text(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
     return pages.select("page_id", title.alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?is)<li>(.*?)</li>"), 1)).cast("long").alias("n_items"))
@@ -210,7 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "money_parse": _money,
     "date_parse": _dates,
     "interest_lines": _interests,
-    "html_table_extract": _html,
+    "html_headings": _html,
     # Resolution
     "resolve_company_number": _resolved("company_number"),
     "resolve_party_name": _resolved("party_name"),
@@ -235,7 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edges_mapped": lambda s, d: edges.mapped(fixture.raw(s, d)).groupBy("statement_type", "source_code").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence")),
     "edges_statements": lambda s, d: _statement_rows(edges.statements(fixture.raw(s, d), fixture.AS_OF)),
     "edges_strength_plain": lambda s, d: edges.statements(fixture.raw(s, d), fixture.AS_OF, with_money=False).select("statement_id", "strength"),
-    "edges_provenance": lambda s, d: edges.provenance(r := fixture.raw(s, d), edges.statements(r, fixture.AS_OF)).groupBy("statement_id").agg(F.count("*").alias("n_assertions")),
+    "edges_provenance": lambda s, d: edges.provenance(fixture.raw(s, d)).groupBy("statement_id").agg(F.count("*").alias("n_assertions")),
     "edges_corroborated": lambda s, d: edges.corroborated(fixture.raw(s, d)),
     "scrutiny_money": lambda s, d: attention.money_credited(graph(s, d).statements),
     "scrutiny_score": lambda s, d: attention.scrutiny((g := graph(s, d)).entities, g.statements),
@@ -291,12 +291,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hidden_links": lambda s, d: reads.hidden_links(graph(s, d), 80),
     "visible_neighbours": lambda s, d: reads.visible_neighbours(graph(s, d), START, 40, ("company", "organisation")),
     "evidence": lambda s, d: reads.evidence(graph(s, d), reads.spark_finding(findings.findings(graph(s, d), "CROSSING"), "C1")).select("statement_id", "strength"),
-    "deal_hand": lambda s, d: reads.hand(findings.findings(graph(s, d), "BIG_MONEY")).select("finding_id", "surprise"),
-    "headlines": lambda s, d: reads.headline(findings.findings(graph(s, d), "SHARED_BENCH", "QUIET_PORTFOLIO")),
+    "deal_hand": lambda s, d: reads.hand(findings.findings(graph(s, d))).select("card", "finding_id", "shape_code", "surprise"),
     "top_gifts_by_recipient": _top_k,
 }
 
 
+QUERIES |= landed.queries(graph) | extended.queries(graph, mentions)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large donations, scored."""
     return QUERIES["finding_big_money"](spark, sf_dir)
