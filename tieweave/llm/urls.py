@@ -3,9 +3,12 @@
 Rules given by hand (host and path prefix, block or allow) decide what they fit, and
 their decisions are the labels from which the method judges all other URLs:
 
-1. Per host the paths form a tree of segments, as deep as the longest path. Level by level, a segment becomes the wildcard ``*`` if its node has
-   VARIABLE_KINDS different segments or more and it holds at most one in VARIABLE_SHARE
-   of the node's URLs, or if it has a digit and is not the node's only one.
+1. Per host the paths form a tree of segments, whole paths of any length. Level by level,
+   a segment becomes the wildcard ``*`` if its node has VARIABLE_KINDS different segments or
+   more and it holds at most one in VARIABLE_SHARE of the node's URLs, or if it has a digit
+   and is not the node's only one. Where all that goes on below a node is one path, that
+   path is one segment, as no rule could change it; so there are as many levels as paths
+   have in common, whatever their length.
 2. From the lowest level up, branches that are statistically similar are merged into one,
    ``{}``: the total variation distance between what lies below a branch and what lies
    below all its node's branches together is at most MERGE_DISTANCE + 1 / sqrt(its URLs).
@@ -17,11 +20,13 @@ their decisions are the labels from which the method judges all other URLs:
 URLs are reduced to (host, segments) counts before each level, so the shuffles of a hot
 host carry one row for each different segment and task; the joins back have the reduced
 side unique by key, so adaptive execution splits a hot host. The counts are
-checkpointed after each level. Only the number of levels is collected.
+checkpointed after each level. Nothing but "does any path go on" is collected.
 
 Defined results: a URL that is null or has no ``://`` has empty host and path, fits no
-rule, and is judged with its like by the same method; repeated rows and null ids are
-URLs like any other; an empty table gives no rows; other columns are not read.
+rule, and is judged with its like by the same method; a very long URL is read whole;
+repeated rows and null ids are URLs like any other; an empty table gives no rows; other
+columns are not read, and an id column that has the name of a result comes back with
+``_id`` after it.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, id_name
 from .exact import LOWER, UPPER
 
 VARIABLE_KINDS = 8
@@ -77,54 +82,57 @@ def first_fit(rules: list[Rule], host: Column, path: Column, value) -> Column:
     return found
 
 
-def _node(level: int) -> list[str]:
-    return ["host", *(f"t{i}" for i in range(1, level))]
+def _after(column: str, k: int) -> Column:
+    """The elements of an array from place ``k`` on, counted from 1."""
+    return F.slice(column, k, F.greatest(F.size(column) - (k - 1), F.lit(0)))
 
 
-def templates(urls: DataFrame, depth: int) -> DataFrame:
-    """Templates t1 ... t<depth> (null where the path has ended) for each (host, s1 ... s<depth>).
+def templates(urls: DataFrame) -> DataFrame:
+    """``urls`` with the templates ``t`` of their segments, an array, instead of ``rest``.
 
-    ``urls`` has host, s1 ... s<depth> (segments, null where the path has ended) and n, the
-    number of URLs; the result has them too.
+    ``urls`` has host, rest (the segments) and n, the number of URLs, and other columns. A
+    node of the tree is a host with the templates down to it, so joins have two keys or three.
     """
-    for k in range(1, depth + 1):
-        node, s = _node(k), f"s{k}"
-        kinds = urls.where(F.col(s).isNotNull()).groupBy(*node, s).agg(F.sum("n").alias("own"))
-        whole = kinds.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("own").alias("whole"))
+    depth, urls = 0, checkpointed(urls.withColumn("t", F.array().cast("array<string>")))
+    while not urls.where(F.size("rest") > 0).isEmpty():
+        depth += 1
+        own = urls.withColumn("s", F.get("rest", F.lit(0))).withColumn("rest", _after("rest", 2))
+        kinds = own.where("s is not null").groupBy("host", "t", "s").agg(F.sum("n").alias("own"))
+        whole = kinds.groupBy("host", "t").agg(F.count("*").alias("kinds"), F.sum("own").alias("whole"))
         many = (F.col("kinds") >= VARIABLE_KINDS) & (VARIABLE_SHARE * F.col("own") <= F.col("whole"))
-        numbered = F.col(s).rlike("[0-9]") & (F.col("kinds") >= 2)
-        named = _same(kinds, whole, node).withColumn(f"t{k}", F.when(many | numbered, "*").otherwise(F.col(s))).select(*node, s, f"t{k}")
-        urls = checkpointed(_same(urls, named, [*node, s], "left"))
+        numbered = F.col("s").rlike("[0-9]") & (F.col("kinds") >= 2)
+        named = kinds.join(whole, ["host", "t"]).select("host", "t", "s", F.when(many | numbered, "*").otherwise(F.col("s")).alias("next"))
+        grown = F.when(F.col("next").isNull(), F.col("t")).otherwise(F.concat("t", F.array("next")))
+        own = checkpointed(own.join(named, ["host", "t", "s"], "left").withColumn("t", grown).drop("s", "next"))
+        path = F.array_join("rest", "/")
+        ways = own.where(F.size("t") == depth).groupBy("host", "t").agg(F.min(path).alias("least"), F.max(path).alias("most"))
+        single = ways.where("least = most").select("host", "t", F.lit(True).alias("single"))
+        joined = own.join(single, ["host", "t"], "left")
+        tail = F.col("single") & (F.size("rest") > 1)
+        urls = checkpointed(joined.withColumn("rest", F.when(tail, F.array(path)).otherwise(F.col("rest"))).drop("single"))
     for k in range(depth - 1, 0, -1):
-        urls = checkpointed(_merge(urls, k, depth))
-    return urls
+        urls = checkpointed(_merge(urls, k))
+    return urls.drop("rest")
 
 
-def _merge(urls: DataFrame, k: int, depth: int) -> DataFrame:
+def _merge(urls: DataFrame, k: int) -> DataFrame:
     """Similar branches at level k get the template ``{}``."""
-    node, t = _node(k), f"t{k}"
-    below = F.concat_ws("/", *(f"t{i}" for i in range(k + 1, depth + 1)))
-    ways = checkpointed(urls.where(F.col(t).isNotNull()).groupBy(*node, t, below.alias("below")).agg(F.sum("n").alias("n")))
-    branch = ways.groupBy(*node, t).agg(F.sum("n").alias("n_branch"), F.sum(F.when(F.col("below") != "", F.col("n")).otherwise(0)).alias("n_on"))
-    pooled = ways.groupBy(*node, "below").agg(F.sum("n").alias("n_pooled"))
-    whole = ways.groupBy(*node).agg(F.sum("n").alias("n_node"), F.count_distinct(t).alias("branches"))
-    joined = _same(_same(_same(ways, branch, [*node, t]), pooled, [*node, "below"]), whole, node)
+    own = urls.withColumn("node", F.slice("t", 1, k - 1)).withColumn("branch", F.get("t", F.lit(k - 1)))
+    below = F.array_join(_after("t", k + 1), "/").alias("below")
+    ways = checkpointed(own.where("branch is not null").groupBy("host", "node", "branch", below).agg(F.sum("n").alias("n")))
+    branch = ways.groupBy("host", "node", "branch").agg(F.sum("n").alias("n_branch"), F.sum(F.when(F.col("below") != "", F.col("n")).otherwise(0)).alias("n_on"))
+    pooled = ways.groupBy("host", "node", "below").agg(F.sum("n").alias("n_pooled"))
+    whole = branch.groupBy("host", "node").agg(F.sum("n_branch").alias("n_node"), F.count("*").alias("branches"))
+    joined = ways.join(branch, ["host", "node", "branch"]).join(pooled, ["host", "node", "below"]).join(whole, ["host", "node"])
     more = F.greatest(F.col("n") / F.col("n_branch") - F.col("n_pooled") / F.col("n_node"), F.lit(0.0))
-    compared = joined.groupBy(*node, t).agg(
+    compared = joined.groupBy("host", "node", "branch").agg(
         F.sum(more).alias("distance"), F.first("n_branch").alias("n_branch"), F.first("n_on").alias("n_on"), F.first("branches").alias("branches")
     )
     alike = F.round("distance", 9) <= F.round(MERGE_DISTANCE + 1 / F.sqrt("n_branch"), 9)
-    merged = compared.where(alike & (F.col("branches") > 1) & (2 * F.col("n_on") >= F.col("n_branch"))).select(*node, t, F.lit("{}").alias("merged"))
-    out = _same(urls, merged, [*node, t], "left")
-    return out.withColumn(t, F.coalesce("merged", t)).drop("merged")
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys of which nulls equal nulls; the keys of ``left`` stay."""
-    renamed = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
-    on = [F.coalesce(F.col(c), F.lit("")) == F.coalesce(F.col(f"_r_{c}"), F.lit("")) for c in keys]
-    on += [F.col(c).isNull() == F.col(f"_r_{c}").isNull() for c in keys if c != "host"]
-    return left.join(renamed, on, how).drop(*(f"_r_{c}" for c in keys))
+    merged = compared.where(alike & (F.col("branches") > 1) & (2 * F.col("n_on") >= F.col("n_branch"))).select("host", "node", "branch", F.lit(True).alias("merged"))
+    out = own.join(merged, ["host", "node", "branch"], "left")
+    t = F.when(F.col("merged"), F.concat("node", F.array(F.lit("{}")), _after("t", k + 1))).otherwise(F.col("t"))
+    return out.withColumn("t", t).drop("node", "branch", "merged")
 
 
 def judged(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -134,22 +142,16 @@ def judged(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_
     rows = rows.withColumn("rule", first_fit(rules, F.col("host"), F.col("path"), lambda r: r.text))
     rows = rows.withColumn("ruled", first_fit(rules, F.col("host"), F.col("path"), lambda r: r.verdict))
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = rows.withColumn("_segments", segments)
-    depth = max(1, rows.agg(F.max(F.size("_segments"))).first()[0] or 0)
-    names = [f"s{k}" for k in range(1, depth + 1)]
-    for k, name in enumerate(names):
-        rows = rows.withColumn(name, F.get("_segments", F.lit(k)))
-    rows = rows.drop("_segments")
-    key = ["host", *names]
-    counts = rows.groupBy(*key).agg(
+    rows = rows.withColumn("way", F.array_join(segments, "/"))
+    counts = rows.groupBy("host", "way").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good")
     )
-    named = templates(checkpointed(counts), depth)
-    template = [f"t{k}" for k in range(1, depth + 1)]
-    named = named.withColumn("template", F.concat_ws("/", F.lit(""), *template))
+    named = templates(counts.withColumn("rest", F.filter(F.split("way", "/"), lambda x: x != "")))
+    named = named.withColumn("template", F.concat_ws("/", F.lit(""), "t"))
     totals = named.groupBy("host", "template").agg(F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good"), F.sum(F.col("n") - F.col("bad") - F.col("good")).alias("n_unlabelled"))
-    known = _same(named.select(*key, "template"), totals, ["host", "template"])
-    found = _same(rows, known, key, "left")
+    known = named.select("host", "way", "template").join(totals, ["host", "template"])
+    found = rows.join(known, ["host", "way"])
     rejected = UNLABELLED * F.col("n_bad") > UNLABELLED * (F.col("n_good") + PRIOR) + F.col("n_unlabelled")
     verdict = F.coalesce("ruled", F.when(rejected, "block").otherwise("allow"))
-    return found.select(F.col("_tw_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "n_bad", "n_good", "n_unlabelled")
+    own = id_name(id_col, ["host", "path", "rule", "verdict", "template", "n_bad", "n_good", "n_unlabelled"])
+    return found.select(F.col("_tw_id").alias(own), "host", "path", "rule", verdict.alias("verdict"), "template", "n_bad", "n_good", "n_unlabelled")
