@@ -1,5 +1,7 @@
 """Language, chat, URLs and quality."""
 
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -114,6 +116,40 @@ def test_snapshots_collapse(spark):
     assert chat.segments(df.limit(0)).count() == 0
 
 
+def plain_conversations(rows):
+    """(conv_id, n_turns, copies, segments) of the maximal conversations, by their whole turns."""
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((-1 if turn is None else turn, role or "", hashlib.sha256((text or "").encode()).digest(), text or ""))
+    whole = {}
+    for conv, own in by.items():
+        whole.setdefault(tuple((r, t) for _, r, _, t in sorted(own)), []).append(conv)
+    starts = {turns[:k] for turns in whole for k in range(1, len(turns))}
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    return {least(ids): (len(turns), len(ids), [f"<|{r}|>\n{t}<|end|>\n" for r, t in turns]) for turns, ids in whole.items() if turns not in starts}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_long_conversations_and_repeated_turns_equal_the_plain_version(spark, partitions):
+    rng = random.Random(8)
+    rows = [(1, n, "user" if n % 2 == 0 else "assistant", f"text {n}") for n in range(900)]
+    rows += [(2, n, r, t) for _, n, r, t in rows[:700]] + [(3, n, r, t) for _, n, r, t in rows[:700]]
+    rows += [(4, 0, "user", "same")] * 300 + [(5, 0, "user", "same")] * 200 + [(None, None, None, None)] * 40 + [(None, 3, "user", "x" * 200_000)]
+    rows += [(100 + i, n, "user", rng.choice("ab")) for i in range(60) for n in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS key", "2 AS conv", "3 AS part", "4 AS position").repartition(5)
+    wanted = plain_conversations(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = chat.segments(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    own = {}
+    for r in sorted(found, key=lambda r: r.position):
+        own.setdefault((r.conv_id, r.n_turns, r.copies), []).append(r.segment)
+    assert own == {(i, n, c): s for i, (n, c, s) in wanted.items()}
+
+
 RULES = [urls.Rule("net/", "block"), urls.Rule("example.net/en/", "allow"), urls.Rule("example.com/de/", "block"), urls.Rule("org/fr/", "allow")]
 
 

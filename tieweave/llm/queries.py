@@ -83,7 +83,7 @@ def queries() -> dict:
 SQL = {
     "op5_chat_formatting": """
         WITH turns AS (
-            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS position,
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS position,
                 coalesce(role, '') AS role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS segment
             FROM conversations),
         prefixes AS (
