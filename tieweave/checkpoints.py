@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder below the shared one for tables between jobs; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tieweave-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; executors may be lost."""
     shared_dir(df.sparkSession)

@@ -13,6 +13,7 @@ def session(name: str = "tieweave", master: str | None = None, **conf: str) -> S
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

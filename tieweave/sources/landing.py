@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import shared_dir
+from ..checkpoints import scratch_dir
 from . import registers
 from .fixture import names, table
 
@@ -19,7 +19,7 @@ PREFIX = "landed"
 
 
 def landed_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{PREFIX}-{label}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{PREFIX}-{label}-{uuid.uuid4().hex}"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
