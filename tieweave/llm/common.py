@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import checkpointed, shared_dir  # noqa: F401 (operators take checkpointed from here)
+from ..checkpoints import checkpointed, scratch_dir  # noqa: F401 (operators take checkpointed from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application below the shared one, which goes when the application ends."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
