@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieweave.checkpoints import checkpointed
-from tieweave.operators import components, dedupe, edges, findings, insights, matcher, ranks, reads, sentences
+from tieweave.operators import attention, components, dedupe, edges, findings, insights, matcher, ranks, reads, sentences
 from tieweave.operators.findings import Graph
 from tieweave.plans import build, queries
 from tieweave.sources import fixture, landing, sinks
@@ -186,6 +186,20 @@ def test_whole_build_from_landed_registers(spark, data, tmp_path):
     assert len([p for p in (tmp_path / "builds").iterdir() if p.is_dir()]) == 2
 
 
+def test_conflicts_leave_out_inner_bodies_and_party_work(spark):
+    people = [(i, "person", f"Ann {n}", "mp", None) for i, n in (("1", "Able"), ("2", "Baker"), ("3", "Cole"), ("4", "Dean"))]
+    bodies = [("b1", "organisation", "Energy Security Committee", None, None), ("b2", "organisation", "Finance Committee", None, None)]
+    orgs = [("o1", "company", "Solar Roofs Ltd", None, None), ("o2", "company", "Able Votes", None, None), ("o3", "company", "Plain Ltd", None, None)]
+    entities = spark.createDataFrame(people + bodies + orgs, "entity_id string, entity_type string, name string, category string, jurisdiction string")
+    ties = [("1", "MEMBER_OF", "b1"), ("1", "OWNS", "o1"), ("2", "MEMBER_OF", "b2"), ("2", "OWNS", "o1"), ("3", "MEMBER_OF", "b1"), ("3", "DIRECTOR_OF", "o2"), ("4", "CHAIR_OF", "b1"), ("4", "DIRECTOR_OF", "o3")]
+    statements = spark.createDataFrame([(f"s{k}", a, t, b, 1.0) for k, (a, t, b) in enumerate(ties)], "statement_id string, subject_id string, statement_type string, object_id string, confidence double")
+    mentions = spark.createDataFrame([("o2", " Campaign support "), ("o2", "campaign support"), ("o3", None), ("o3", "")], "entity_id string, description string")
+    told = attention.descriptions(mentions)
+    assert {tuple(r) for r in told.collect()} == {("o2", "campaign support campaign support")}
+    found = {r.entity_id: (r.conflict_flag, r.conflict_strength, r.conflict_overlap) for r in attention.conflicts(entities, statements, told, attention.LEXICON).collect()}
+    assert found == {"1": (True, "strong", "energy"), "2": (False, None, None), "3": (True, "low", None), "4": (True, "medium", None)}
+
+
 def small(spark, ties):
     ids = sorted({x for a, b, *_ in ties for x in (a, b)})
     entities = spark.createDataFrame([(i, "person", i, None, None) for i in ids], "entity_id string, entity_type string, name string, category string, jurisdiction string")

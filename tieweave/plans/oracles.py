@@ -6,13 +6,77 @@ steps. Amounts are decimals, scores are rounded as in the operators.
 
 from __future__ import annotations
 
-from ..functions import text as words
-from ..operators import findings, reads
-from ..schemas import SOURCE_PRIORS, STATEMENT_TYPES
+# Fixed values, written out here as well, so that a wrong one in the operators shows.
+_SOURCE_PRIORS = {
+    "companies_house": 0.97,
+    "electoral_commission": 0.97,
+    "parliament_interests": 0.95,
+    "parliament": 0.97,
+    "contracts_finder": 0.96,
+    "lords_interests": 0.96,
+    "appg": 0.95,
+}
+_TYPE_WEIGHTS = {
+    "DIRECTOR_OF": 0.7,
+    "PSC_OF": 0.85,
+    "OWNS": 0.8,
+    "SHARES_ADDRESS_WITH": 0.4,
+    "CO_DIRECTOR": 0.7,
+    "DONATED_TO": 0.7,
+    "MEMBER_OF": 0.6,
+    "CHAIR_OF": 0.75,
+    "SECRETARIAT_OF": 0.6,
+    "FUNDS": 0.6,
+    "HOSPITALITY_FROM": 0.3,
+    "ADVISER_TO": 0.55,
+    "MINISTERIAL_ROLE": 0.9,
+    "CONTRACTED_WITH": 0.7,
+    "FAMILY_OF": 0.95,
+    "CO_MENTION": 0.1,
+}
+_SHAPE_WEIGHTS = {
+    "LOOP_CLOSED": 1.0,
+    "SHARED_BENCH": 0.8,
+    "FAMILY_DESK": 0.9,
+    "BIG_MONEY": 0.6,
+    "OVERSEAS_MONEY": 0.95,
+    "SECTOR_OVERLAP": 0.85,
+    "QUIET_PORTFOLIO": 0.75,
+    "CROSSING": 0.7,
+    "NEW_ON_REGISTER": 0.5,
+}
+_REGISTERS = {
+    "companies_house": "Companies House",
+    "electoral_commission": "Electoral Commission",
+    "parliament": "Parliament (Members API)",
+    "parliament_interests": "Register of Members' Interests",
+    "lords_interests": "Register of Lords' Interests",
+    "contracts_finder": "Contracts Finder",
+}
+_NAME_TITLES = "mr mrs ms miss mx dr sir dame lord lady rt hon honourable the rev reverend prof professor baroness baron earl viscount councillor cllr qc kc mp".split()
+_MATCH_TITLES = "mr mrs ms miss dr sir dame lord lady rt hon the honourable rev prof professor baroness earl councillor cllr qc kc mp".split()
+_LEGAL_FORMS = "the ltd limited plc llp llc lp inc incorporated cyf cyfyngedig".split()
+_GENERIC_TAIL = (
+    "group holdings holding uk gb international global services service solutions capital partners partnership ventures trading investments management "
+    "enterprises industries europe european finance financial "
+).split()
+_NO_GIVEN_NAMES = "mr mrs ms dr sir dame lord lady the rt hon honourable baroness baron earl of right".split()
+_GB_ALIASES = ("united kingdom", "england", "scotland", "wales", "northern ireland", "great britain", "uk")
+_SUFFIX_CLASSES = (
+    ("ltd", r"\b(ltd|limited|cyf|cyfyngedig)\b"),
+    ("plc", r"\bplc\b"),
+    ("llp", r"\bllp\b"),
+    ("lp", r"\blp\b"),
+    ("foreign", r"\b(llc|inc|incorporated|corp|corporation)\b"),
+)
+_WEAK_WORDS = r"\b(the|company|co)\b"
+_SUPPLIER_SUFFIXES = r"(?i)\b(limited|ltd|plc|public limited company|llp|l\.?l\.?p\.?|company|co|incorporated|inc|the)\b"
+_NOISE_NAMES = "(?i)^(london|oxford|cambridge|edinburgh|cardiff|manchester|birmingham|glasgow|belfast|usa|uk|online|virtual|geneva|brussels)$"
+_NOISE_FORMS = "(?i)(university of|^the [a-z]+$)"
 
 _AS_OF = "DATE '2001-08-01'"
-_PRIORS = ", ".join(f"('{k}', {v})" for k, v in SOURCE_PRIORS.items())
-_TYPES = ", ".join(f"('{k}', {v[0]})" for k, v in STATEMENT_TYPES.items())
+_PRIORS = ", ".join(f"('{k}', {v})" for k, v in _SOURCE_PRIORS.items())
+_TYPES = ", ".join(f"('{k}', {v})" for k, v in _TYPE_WEIGHTS.items())
 
 _GRAPH = f"""
     ents AS (
@@ -117,7 +181,7 @@ _GRAPH = f"""
 
 def _person_key(name: str) -> str:
     plain = f"regexp_replace(lower({name}), '[^a-z0-9 ]', ' ', 'g')"
-    return _sorted(f"regexp_replace({plain}, '(^| )({'|'.join(words.TITLES)})( |$)', ' ', 'g')")
+    return _sorted(f"regexp_replace({plain}, '(^| )({'|'.join(_NAME_TITLES)})( |$)', ' ', 'g')")
 
 
 def _sorted(text: str) -> str:
@@ -149,7 +213,7 @@ _CANDIDATES = {
             NULL::DOUBLE AS total, min(confidence) AS least
         FROM stm JOIN ents o ON o.entity_id = object_id JOIN mps m ON m.entity_id = subject_id
         WHERE statement_type IN ('ADVISER_TO', 'DIRECTOR_OF', 'CHAIR_OF', 'SECRETARIAT_OF') AND o.entity_type IN ('company', 'organisation') AND length(o.name) >= 4
-            AND NOT regexp_matches(o.name, '{findings.NOISE_NAMES}') AND NOT regexp_matches(o.name, '^[0-9]') AND NOT regexp_matches(o.name, '{findings.NOISE_FORMS}')
+            AND NOT regexp_matches(o.name, '{_NOISE_NAMES}') AND NOT regexp_matches(o.name, '^[0-9]') AND NOT regexp_matches(o.name, '{_NOISE_FORMS}')
         GROUP BY o.entity_id, o.name HAVING count(DISTINCT m.entity_id) >= 3""",
     "FAMILY_DESK": """
         SELECT [company, a, b] AS members, list_distinct(list_concat(list(x), list(y))) AS stmts,
@@ -200,7 +264,7 @@ def _found(*shapes: str) -> str:
         body = _CANDIDATES[shape] if shape == "NEW_ON_REGISTER" else _CANDIDATES[shape].replace("AS least\n", "AS least, NULL::VARCHAR AS extra\n", 1)
         if "AS extra" not in body:
             body = body.replace("AS least", "AS least, NULL::VARCHAR AS extra", 1)
-        parts.append(f"SELECT '{shape}' AS shape_code, {findings.WEIGHTS[shape]}::DOUBLE AS w, * FROM ({body})")
+        parts.append(f"SELECT '{shape}' AS shape_code, {_SHAPE_WEIGHTS[shape]}::DOUBLE AS w, * FROM ({body})")
     return f"""
         cand AS (SELECT *, md5(concat_ws('|', shape_code, array_to_string(list_sort(members), ','), extra)) AS finding_id FROM ({" UNION ALL ".join(parts)}) WHERE least >= 0.5),
         rare AS (SELECT finding_id, exp(avg(ln(idf))) AS r FROM (SELECT finding_id, unnest(members) AS entity_id FROM cand) JOIN idfs USING (entity_id)
@@ -297,27 +361,27 @@ def _plain(name: str) -> str:
 
 def _base(name: str) -> str:
     text = _plain(name)
-    for _, pattern in words.SUFFIX_CLASSES:
+    for _, pattern in _SUFFIX_CLASSES:
         text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    return _sorted(f"regexp_replace({text}, '{words.WEAK_WORDS}', ' ', 'g')")
+    return _sorted(f"regexp_replace({text}, '{_WEAK_WORDS}', ' ', 'g')")
 
 
 def _class(name: str) -> str:
     text, out = _plain(name), "'none'"
-    for kind, pattern in words.SUFFIX_CLASSES:
+    for kind, pattern in _SUFFIX_CLASSES:
         out = f"CASE WHEN regexp_matches({text}, '{pattern}') THEN '{kind}' ELSE {out} END"
     return out
 
 
 def _modal(hint: str, column: str, source: str = "") -> str:
-    folded = f"CASE WHEN lower(trim({column})) IN ({', '.join(repr(x) for x in words.GB_ALIASES)}) THEN 'GB' ELSE {column} END" if column == "country" else column
+    folded = f"CASE WHEN lower(trim({column})) IN ({', '.join(repr(x) for x in _GB_ALIASES)}) THEN 'GB' ELSE {column} END" if column == "country" else column
     return f"""SELECT entity_id, v AS {column} FROM (
             SELECT entity_id, v, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, v) AS place
             FROM (SELECT entity_id, {folded} AS v FROM keyed WHERE hint = '{hint}' {source}) WHERE trim(coalesce(v, '')) <> '' GROUP BY entity_id, v) WHERE place = 1"""
 
 
 _LAST = "CASE WHEN contains(raw, ',') THEN trim(split_part(raw, ',', 1)) ELSE coalesce(toks[-1], '') END"
-_TITLES = ", ".join(f"'{t}'" for t in words.MATCH_TITLES)
+_TITLES = ", ".join(f"'{t}'" for t in _MATCH_TITLES)
 _MATCH = f"""{_NAMES},
     low AS (SELECT id, replace(replace(lower(raw_name), '.', ''), '''', '') AS raw FROM people),
     toks AS (SELECT *, list_filter(string_split(raw, ' '), lambda w: w <> '' AND w NOT IN ({_TITLES})) AS toks, list_filter(string_split(substr(raw, instr(raw, ',') + 1), ' '), lambda w: w <> '') AS rest FROM low),
@@ -355,7 +419,7 @@ _PATH = f"""{_ADJ},
         FROM (SELECT adj.b, min(w.path) AS path, any_value(w.hop) AS hop FROM walk w JOIN adj ON adj.a = w.id WHERE NOT list_contains(w.path, adj.b) GROUP BY adj.b)
         WHERE hop < 4),
     best AS (SELECT path FROM walk WHERE id = 'P11' ORDER BY hop, path LIMIT 1)"""
-_LABELS = "labels(s, label) AS (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in reads.REGISTERS.items()) + ")"
+_LABELS = "labels(s, label) AS (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in _REGISTERS.items()) + ")"
 _RANKED = """
     covered AS (
         SELECT subject_id AS entity_id FROM stm JOIN mps ON mps.entity_id = subject_id WHERE statement_type IN ('DIRECTOR_OF', 'OWNS', 'ADVISER_TO')
@@ -364,8 +428,8 @@ _RANKED = """
 _FINDING = "SELECT finding_id, shape_code, members, n_statements, slots, rarity, corroboration, money, surprise, min_confidence, is_lead FROM found"
 
 SQL: dict[str, str] = {
-    "name_key_person": f"WITH {_NAMES} SELECT id, {_person_key('raw_name')} AS name_key, array_to_string(list_sort(list_filter(string_split({_plain('raw_name')}, ' '), lambda x: x <> '' AND x NOT IN ({', '.join(repr(t) for t in words.TITLES)}))), ' ') AS token_key FROM people",
-    "name_key_org": f"WITH {_NAMES} SELECT id, {_sorted('regexp_replace(' + _plain('raw_name') + ', ' + repr('(^| )(' + '|'.join(words.LEGAL_FORMS) + ')( |$)') + ', ' + repr(' ') + ', ' + repr('g') + ')')} AS name_key FROM companies",
+    "name_key_person": f"WITH {_NAMES} SELECT id, {_person_key('raw_name')} AS name_key, array_to_string(list_sort(list_filter(string_split({_plain('raw_name')}, ' '), lambda x: x <> '' AND x NOT IN ({', '.join(repr(t) for t in _NAME_TITLES)}))), ' ') AS token_key FROM people",
+    "name_key_org": f"WITH {_NAMES} SELECT id, {_sorted('regexp_replace(' + _plain('raw_name') + ', ' + repr('(^| )(' + '|'.join(_LEGAL_FORMS) + ')( |$)') + ', ' + repr(' ') + ', ' + repr('g') + ')')} AS name_key FROM companies",
     "match_name": f"WITH {_MATCH} SELECT id, surname, array_to_string(fores, ' ') AS forenames FROM matched",
     "suffix_class": f"WITH {_NAMES} SELECT id, {_class('raw_name')} AS suffix_class, {_base('raw_name')} AS base FROM companies",
     "edges_mapped": _graph("SELECT statement_type, source_code, count(*) AS n, round(sum(confidence), 2) AS confidence FROM mapped GROUP BY ALL"),
@@ -450,7 +514,7 @@ SQL: dict[str, str] = {
     "dedupe_neighbours": _graph("SELECT * FROM nbrs"),
     "dedupe_person_pairs": _graph("SELECT * FROM ppairs"),
     "dedupe_org_pairs": _graph("SELECT a, entity_id AS b FROM (SELECT entity_id, key, min(entity_id) OVER (PARTITION BY key) AS a FROM okeys WHERE key <> '') WHERE entity_id <> a",
-        f"okeys AS (SELECT entity_id, {_sorted('regexp_replace(' + _plain('name') + ', ' + repr('(^| )(' + '|'.join(words.LEGAL_FORMS) + ')( |$)') + ', ' + repr(' ') + ', ' + repr('g') + ')')} AS key FROM ents WHERE entity_type IN ('organisation', 'company'))"),
+        f"okeys AS (SELECT entity_id, {_sorted('regexp_replace(' + _plain('name') + ', ' + repr('(^| )(' + '|'.join(_LEGAL_FORMS) + ')( |$)') + ', ' + repr(' ') + ', ' + repr('g') + ')')} AS key FROM ents WHERE entity_type IN ('organisation', 'company'))"),
     "dedupe_components": _graph("SELECT * FROM comps", _COMPONENTS),
     "dedupe_survivors": _graph("SELECT component, entity_id AS survivor FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, entity_id) AS place FROM comps JOIN (SELECT entity_id, count(*) AS n FROM ends GROUP BY 1) USING (entity_id)) WHERE place = 1", _COMPONENTS),
     "enrich_modal_value": f"{_keyed()} {_modal('person', 'country', 'AND source_code = ' + repr('companies_house'))}",
@@ -514,15 +578,21 @@ SQL: dict[str, str] = {
         firsts AS (SELECT entity_id, source, max(w) AS w FROM every e WHERE source = (SELECT min(source) FROM every f WHERE f.entity_id = e.entity_id) GROUP BY 1, 2)"""),
     "surname_given": f"""WITH {_NAMES} SELECT id, lower(CASE WHEN contains(raw_name, ',') THEN trim(split_part(raw_name, ',', 1)) ELSE regexp_replace(raw_name, '^.* ', '') END) AS surname,
             nullif(array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(lower(CASE WHEN contains(raw_name, ',') THEN regexp_replace(split_part(raw_name, ',', 2), '^ ', '')
-                ELSE regexp_replace(raw_name, ' [^ ]*$', '') END), '[^a-z ]', '', 'g'), ' ')), lambda w: w <> '' AND w NOT IN ({", ".join(repr(w) for w in findings.NO_GIVEN_NAMES)}))), ' '), '') AS given FROM people""",
+                ELSE regexp_replace(raw_name, ' [^ ]*$', '') END), '[^a-z ]', '', 'g'), ' ')), lambda w: w <> '' AND w NOT IN ({", ".join(repr(w) for w in _NO_GIVEN_NAMES)}))), ' '), '') AS given FROM people""",
     "supplier_search_key": f"""WITH {_NAMES}, sup AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(raw_name), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'),
-            '{words.SUPPLIER_SUFFIXES}', ' ', 'g'), '\\s+', ' ', 'g')) AS supplier FROM companies),
+            '{_SUPPLIER_SUFFIXES}', ' ', 'g'), '\\s+', ' ', 'g')) AS supplier FROM companies),
         toks AS (SELECT id, supplier, unnest(string_split(supplier, ' ')) AS w, generate_subscripts(string_split(supplier, ' '), 1) AS i FROM sup),
-        stops AS (SELECT id, min(i) AS m FROM toks WHERE i > 1 AND w IN ({", ".join(repr(w) for w in words.GENERIC_TAIL)}) GROUP BY id)
+        stops AS (SELECT id, min(i) AS m FROM toks WHERE i > 1 AND w IN ({", ".join(repr(w) for w in _GENERIC_TAIL)}) GROUP BY id)
         SELECT id, supplier, string_agg(w, ' ' ORDER BY i) FILTER (i < coalesce(m, 1000)) AS search_key FROM toks LEFT JOIN stops USING (id) GROUP BY 1, 2""",
     "money_parse": """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n,
             CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE '£' || format('{:,}', floor(o_totalprice)::BIGINT) || '.50' END AS raw FROM orders),
         v AS (SELECT *, try_cast(trim(regexp_replace(raw, '[£,]', '', 'g')) AS DECIMAL(18,2)) AS d FROM t)
         SELECT o_orderkey, CASE WHEN raw = '' THEN 0 ELSE d END AS money, d AS declared, CASE WHEN d > 0 THEN d END AS contract, (n % 90) * ([1e3, 1e6, 1e9, 1.0])[o_orderkey % 4 + 1]::DOUBLE AS short FROM v""",
+    "interest_lines": f"""WITH {_NAMES}, l AS (SELECT id, id % 4 AS k, raw_name, id % 7 < 5 AS legal, CASE WHEN id % 4 = 0 THEN 'Co-chair and Director' WHEN id % 4 = 2 THEN 'Adviser' END AS role FROM companies)
+        SELECT id, role, CASE WHEN role IS NOT NULL THEN raw_name END AS org, CASE WHEN k = 0 THEN 'DIRECTOR_OF' ELSE 'ADVISER_TO' END AS statement_type,
+            CASE WHEN NOT legal OR k = 3 THEN NULL WHEN k = 1 THEN raw_name || ' (UK)' ELSE role || ', ' || raw_name END AS shares_in, CASE WHEN id % 7 < 6 THEN 'company' ELSE 'organisation' END AS entity_type
+        FROM l""",
+    "html_headings": """WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title, html FROM pages)
+        SELECT page_id, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, len(regexp_extract_all(html, '(?is)<li>(.*?)</li>')) AS n_items FROM t""",
     "date_parse": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS register_date, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS strict_date FROM orders""",
 }
