@@ -70,13 +70,17 @@ def test_contracts_need_the_strict_name(spark):
 
 
 def test_group_pages(spark):
-    html = (
-        "<table><tr><td>Title</td><td>Rail &amp; Bus</td></tr></table><table><tr><th>Role</th><th>Name</th><th>Party</th></tr><tr><td>Chair</td><td><b>Ann</b> Able</td><td>Blue</td></tr></table>"
-        "<table><tr><th>Source</th><th>Value</th><th>Received</th></tr><tr><td>Acme Ltd</td><td>£1,500</td><td>01/02/2020</td></tr><tr><td>Small</td><td>£5</td><td></td></tr></table>"
-    )
-    landed = registers.groups_html(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string"))
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    html = f"<table>{row('Title', 'Rail &amp; Bus')}{row('Category', 'x')}</table><table>{row('Officers')}{row('Role', 'Name', 'Party')}{row('Chair', '<b>Ann</b> Able', 'Blue')}{row('Clerk', '', 'x')}</table>"
+    html += f"<table>{row('Not yet', '£9,000', '01/02/2020', '')}{row('Financial Benefits')}{row('Source', 'Value £s', 'Received', 'Registered')}{row('Acme Ltd', '£1,500', '01/02/2020 to 3/3', '')}"
+    html += f"{row('Small', '£5', '', '')}{row('Benefits in kind')}{row('Too late', '9000', '', '')}</table>"
+    landed = registers.groups_html(spark.createDataFrame([(1, html), (2, None), (3, "<table></table>")], "page_id int, html string"))
     assert {r.raw_name for r in landed.mentions.collect()} == {"Rail & Bus", "Ann Able", "Acme Ltd"}
-    assert sorted(r.statement_type for r in landed.assertions.collect()) == ["CHAIR_OF", "FUNDS"]
+    assert sorted((r.statement_type, str(r.valid_from)) for r in landed.assertions.collect()) == [("CHAIR_OF", "None"), ("FUNDS", "2020-02-01")]
+
+
+def test_group_editions():
+    assert registers.group_editions("2026-05-18")[:2] == ["260518", "260406"] and registers.group_editions("2026-05-18").count("260518") == 1
 
 
 def test_bridge_takes_one_active_hit(spark):

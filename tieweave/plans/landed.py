@@ -145,6 +145,8 @@ def queries(graph: Callable[[SparkSession, str], Graph]) -> dict[str, Callable]:
         "land_contracts": lambda s, d: rows(registers.contracts(landing.awards(s, d), landing.contract_names(s, d))),
         "land_groups": lambda s, d: rows(registers.groups_html(landing.group_pages(s, d))),
         "land_group_cells": lambda s, d: registers.html_rows(landing.group_pages(s, d)).where("table = 0").select("page_id", "row", F.array_join("cells", "|").alias("cells")),
+        "land_group_index": lambda s, d: registers.group_index(registers.latest_edition(landing.group_contents(s, d), registers.group_editions("2001-08-01")).withColumnsRenamed({"edition": "page_id", "body": "html"})),
+        "land_articles": lambda s, d: registers.articles_found(landing.answers(s, d)),
         "land_leaked": lambda s, d: landing.leaked(s, d),
         "largest_donations": lambda s, d: registers.largest_donations(landing.donations(s, d), 25).select("ECRef", "Value"),
         "crawl_companies": crawled,

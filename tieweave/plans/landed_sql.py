@@ -162,7 +162,11 @@ SQL: dict[str, str] = {
             _tie("appg", "'FUNDS'", "'funder', lower(funder)", "'group', lower(title)", "gift JOIN grp USING (n)", "day", "NULL", "value"),
         ],
     ),
-    "land_group_cells": "SELECT n_nationkey AS page_id, 0 AS row, 'Title|Group of ' || n_name || ' &amp; Friends' AS cells FROM nation",
+    "land_group_cells": "SELECT n_nationkey AS page_id, 0 AS row, 'Title|Group of ' || n_name || ' &amp; Friends' AS cells FROM nation UNION ALL SELECT n_nationkey, 1, 'Purpose|x' FROM nation",
+    "land_group_index": "SELECT '010620' AS page_id, 'group-' || n_nationkey AS slug, n_name || ' & Co' AS group_name FROM nation".replace("group_name", '"group"'),
+    "land_articles": f"""WITH {_ORDERS} SELECT key, url, title, domain, seendate FROM (
+        SELECT 'P' || c AS key, 'https://news.test/' || k AS url, 'T' || k AS title, 'news.test' AS domain, day::VARCHAR AS seendate, row_number() OVER (PARTITION BY c ORDER BY 'https://news.test/' || k) AS place
+        FROM o WHERE c % 5 <> 0 AND c % 7 <> 0) WHERE place <= 3""",
     "land_leaked": f"""WITH {_NAMES} SELECT 'n' || id AS node_id, upper(raw_name) AS name, CASE WHEN id % 4 = 0 THEN 'SAM' ELSE 'Samoa' END AS jurisdiction,
         CASE WHEN id % 7 = 0 THEN 'Malta Corporate Registry' ELSE 'Papers' END AS leak FROM companies WHERE id % 13 <> 0""",
     "largest_donations": f"""WITH {_ORDERS} SELECT 'R' || k AS "ECRef", CASE WHEN k % 9 <> 0 THEN '£' || format('{{:,}}', price) || '.50' END AS "Value" FROM o

@@ -114,14 +114,30 @@ def group_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").join(part, F.col("c_custkey") == F.col("p_partkey"))
     rows = people.groupBy(F.col("c_nationkey").alias("n")).agg(F.expr("array_join(collect_list(concat('<tr><td>', if(c_custkey % 50 = 0, 'Chair &amp; Registered Contact', 'Officer'), '</td><td><b>', p_name, '</b></td><td>Party</td></tr>')), '')").alias("officers"))
     gifts = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(
-        F.expr("array_join(collect_list(concat('<tr><td>', s_name, ' Ltd</td><td>£', format_number(cast(floor(s_acctbal) as bigint), 0), '</td><td>0', 1 + s_suppkey % 9, '/02/2020</td></tr>')), '')").alias("gifts")
+        F.expr("array_join(collect_list(concat('<tr><td>', s_name, ' Ltd</td><td>£', format_number(cast(floor(s_acctbal) as bigint), 0), '</td><td>0', 1 + s_suppkey % 9, '/02/2020 to date</td><td>x</td></tr>')), '')").alias("gifts")
     )
-    page = """concat('<html><table><tr><td>Title</td><td>Group of ', n_name, ' &amp; Friends</td></tr></table><table class="x"><tr><th>Role</th><th>Name</th><th>Party</th></tr>', coalesce(officers, ''),
-        '</table><p>text</p><table><tr><th>Source</th><th>Value</th><th>Received</th></tr>', coalesce(gifts, ''), '</table></html>') html"""
+    page = """concat('<html><table><tr><td>Title</td><td>Group of ', n_name, ' &amp; Friends</td></tr><tr><td>Purpose</td><td>x</td></tr></table>',
+        '<table class="x"><tr><td>Officers</td></tr><tr><td>Role</td><td>Name</td><td>Party</td></tr>', coalesce(officers, ''),
+        '</table><p>text</p><table><tr><td>a</td><td>9999</td><td>01/02/2020</td><td>d</td></tr><tr><td>Financial Benefits</td></tr><tr><td>Source</td><td>Value £s</td><td>Received</td><td>Registered</td></tr>',
+        coalesce(gifts, ''), '<tr><td>Benefits in kind</td></tr><tr><td>late</td><td>9999</td><td>01/02/2020</td><td>d</td></tr></table></html>') html"""
     nation = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "n")
     return nation.join(rows, "n", "left").join(gifts, "n", "left").selectExpr("n page_id", page)
 
 
+def group_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, body): contents pages of editions, of which the newest did not come."""
+    nation = table(spark, sf_dir, "nation").agg(F.expr("array_join(transform(sort_array(collect_list(named_struct('n', n_nationkey, 'name', n_name))), x -> concat('<li><a href=\"group-', x.n, '.htm\">', x.name, ' &amp; Co </a></li>')), '')").alias("links"))
+    body = "concat('<h1>Register Of All-Party Parliamentary Groups</h1><a href=\"introduction.htm\">Introduction</a>', links) body"
+    return nation.selectExpr("explode(array('010801', '010620', '260518')) key", body).withColumn("body", F.when(F.col("key") != "010801", F.col("body")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, body): answers of a news search for persons; some failed, some can't be read."""
+    found = "to_json(named_struct('articles', sort_array(collect_list(named_struct('url', concat('https://news.test/', k), 'title', concat('T', k), 'domain', 'news.test', 'seendate', cast(day as string))))))"
+    own = _orders(spark, sf_dir).groupBy("c").agg(F.expr(found).alias("body"))
+    return own.selectExpr("concat('P', c) key", "case when c % 5 = 0 then null when c % 7 = 0 then '<html>busy' else body end body")
+
+
 def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of leaked registers, written as CSV and read by the reader."""
     own = names(spark, sf_dir).companies.selectExpr(

@@ -8,6 +8,7 @@ assertions between their ids. Ids are hashes of natural keys, so loading again i
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 from functools import reduce
 
@@ -284,16 +285,54 @@ def html_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return rows.select(id_col, "table", "row", cells.alias("cells"))
 
 
+# Editions of the register of groups that are known to exist, and what its contents page says.
+KNOWN_EDITIONS = ("260518", "260413", "260223", "260112")
+CONTENTS_TITLE = "All-Party Parliamentary Groups"
+# Headings of a group's page.
+OFFICERS, BENEFITS, BENEFITS_HEADER = ["Officers"], ["Financial Benefits"], ["Source", "Value £s", "Received", "Registered"]
+
+
+def group_editions(as_of: str) -> list[str]:
+    """Editions to ask for, in order: every sixth week back from a date, then those that are known."""
+    day = datetime.date.fromisoformat(as_of)
+    recent = [(day - datetime.timedelta(weeks=weeks)).strftime("%y%m%d") for weeks in (0, 6, 12, 18, 24)]
+    return [*recent, *(x for x in KNOWN_EDITIONS if x not in recent)]
+
+
+def latest_edition(pages: DataFrame, editions: list[str]) -> DataFrame:
+    """One row, the first of ``editions`` whose contents page came; none if none did. pages: (key, body), as ``rest.fetched`` gives them."""
+    order = F.array_position(F.array(*map(F.lit, editions)), F.col("key"))
+    there = pages.where(F.contains("body", F.lit(CONTENTS_TITLE))).select(F.col("key").alias("edition"), "body", order.alias("place")).where("place > 0")
+    return there.orderBy("place").limit(1).drop("place")
+
+
+def group_index(contents: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, slug, group) of the links on contents pages, without the introduction."""
+    link = 'href="([a-z0-9-]+)\\.htm">([^<]+)</a>'
+    found = contents.select(id_col, F.explode(F.arrays_zip(F.regexp_extract_all(html_col, F.lit(link), 1).alias("slug"), F.regexp_extract_all(html_col, F.lit(link), 2).alias("name"))).alias("x"))
+    return found.select(id_col, "x.slug", F.trim(text.unescaped(F.col("x.name"))).alias("group")).where("slug != 'introduction'")
+
+
 def groups_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Landed:
-    """Cross-party group pages: title, officers and financial benefits, told apart by each table's header."""
+    """Cross-party group pages: title, officers and financial benefits.
+
+    The first table has names and values. A table that begins with OFFICERS has a header and
+    then officers. After a row BENEFITS, rows of four cells are benefits, up to the first
+    row of another shape; rows that do not parse are skipped, not guessed.
+    """
     source = "appg"
-    rows = html_rows(pages, id_col, html_col)
-    header = rows.where("row = 0").select(id_col, "table", F.lower(F.array_join("cells", "|")).alias("header"))
-    body = rows.where("row > 0").join(header, [id_col, "table"])
+    rows = html_rows(pages, id_col, html_col).withColumn("n", F.size("cells"))
+    is_row = lambda wanted: F.col("cells") == F.array(*map(F.lit, wanted))
     cell = lambda i: text.unescaped(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    titles = rows.where(F.lower(F.get("cells", F.lit(0))) == "title").select(id_col, cell(1).alias("group")).where("group != ''").dropDuplicates([id_col])
-    officers = body.where("header like 'role|name%'").select(id_col, cell(0).alias("role"), cell(1).alias("person")).join(titles, id_col).where("person != ''")
-    benefits = body.where("header like 'source|value%'").select(id_col, cell(0).alias("funder"), text.declared_money(cell(1)).alias("value"), text.strict_date(cell(2)).alias("received"))
+    named = rows.where(F.col("table") == 0).where("n = 2 and cells[0] = 'Title'")
+    titles = named.groupBy(id_col).agg(F.max_by("cells", "row").alias("cells")).select(id_col, cell(1).alias("group")).where("group != ''")
+    lists = rows.where(F.col("row") == 0).where(is_row(OFFICERS)).select(id_col, "table")
+    officers = rows.where("row >= 2 and n = 3").join(lists, [id_col, "table"], "left_semi").select(id_col, cell(0).alias("role"), cell(1).alias("person")).join(titles, id_col).where("person != ''")
+    before = Window.partitionBy(id_col, "table").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.max(F.when(F.col("n") != 4, F.struct("row", is_row(BENEFITS).alias("begins")))).over(before)
+    benefits = rows.withColumn("turn", turn).where((F.col("n") == 4) & F.col("turn.begins") & ~is_row(BENEFITS_HEADER))
+    received = F.try_to_date(F.regexp_extract(cell(2), "^\\s*([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy")
+    benefits = benefits.select(id_col, cell(0).alias("funder"), text.declared_money(cell(1)).alias("value"), received.alias("received"))
     benefits = benefits.join(titles, id_col).where((F.col("value") >= FUNDER_LEAST_GBP) & (F.col("funder") != ""))
     group = mention_id(source, F.lit("group"), F.lower("group"))
     person, funder = mention_id(source, F.lit("person"), F.lower("person")), mention_id(source, F.lit("funder"), F.lower("funder"))
@@ -374,6 +413,15 @@ def news_names(found: DataFrame, ranked: DataFrame, leads: DataFrame, entities:
     return told.orderBy("priority", "name", "entity_id").limit(most)
 
 
+def articles_found(answers: DataFrame, most: int = 3) -> DataFrame:
+    """(key, url, title, domain, seendate): the first articles of each answer of a news search.
+
+    answers: (key, body), as ``rest.fetched`` gives them; those that failed or can't be read have none.
+    """
+    found = F.from_json("body", "articles array<struct<url:string,title:string,domain:string,seendate:string>>")
+    return answers.select("key", F.explode(F.slice(F.coalesce(found["articles"], F.array()), 1, most)).alias("a")).select("key", "a.*")
+
+
 def coverage(articles: DataFrame, most: int = 3) -> DataFrame:
     """Up to ``most`` articles for each entity, the newest first. articles: (entity_id, url, title, domain, seendate).
 
