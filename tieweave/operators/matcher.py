@@ -94,24 +94,30 @@ def pairs(people: DataFrame) -> DataFrame:
     """
     own = people.where("surname != ''")
     a, b = (own.select("surname", F.col("entity_id").alias(x)) for x in "ab")
-    return scored(a.join(b, "surname").where("a < b").select("a", "b"), people)
+    near = own.select("surname", "entity_id", F.explode("neighbours").alias("neighbour"))
+    meet = near.withColumnRenamed("entity_id", "a").join(near.withColumnRenamed("entity_id", "b"), ["surname", "neighbour"]).where("a < b")
+    return _scored(a.join(b, "surname").where("a < b").select("a", "b"), meet.select("a", "b", "neighbour"), people)
 
 
 def scored(wanted: DataFrame, people: DataFrame) -> DataFrame:
     """The pairs ``wanted`` (a, b and other columns) with surname, score, across, n_shared and band.
 
-    Shared neighbours are weighed by joins on (neighbour, person), so only lists of wanted
-    pairs meet. Pairs of different surnames have the surname of a and no evidence of it.
+    Pairs of different surnames have the surname of a and no evidence of it.
     """
+    near = people.select("entity_id", F.explode("neighbours").alias("neighbour"))
+    at_a = wanted.select("a", "b").join(near.withColumnRenamed("entity_id", "a"), "a")
+    meet = at_a.join(near.withColumnRenamed("entity_id", "b"), ["b", "neighbour"])
+    return _scored(wanted, meet.select("a", "b", "neighbour"), people)
+
+
+def _scored(wanted: DataFrame, meet: DataFrame, people: DataFrame) -> DataFrame:
+    """``wanted`` with scores. meet: (a, b, neighbour), the neighbours that each pair shares."""
     u = rarity(people.where("surname != ''"))
     named = people.join(u, "surname", "left").select("entity_id", "surname", "u", "forenames", "sources")
     side = lambda x: named.select(*(F.col(c).alias(x if c == "entity_id" else f"{c}_{x}") for c in named.columns))
     both = wanted.join(side("a"), "a").join(side("b"), "b")
     weights = neighbour_degrees(people).select("neighbour", (1 / (1 + F.log1p("degree"))).alias("w"))
-    near = people.select("entity_id", F.explode("neighbours").alias("neighbour"))
-    at_a = wanted.select("a", "b").join(near.withColumnRenamed("entity_id", "a"), "a")
-    meet = at_a.join(near.withColumnRenamed("entity_id", "b"), ["b", "neighbour"]).join(weights, "neighbour")
-    shared = meet.groupBy("a", "b").agg(F.avg("w").alias("near"), F.count("*").alias("n_shared"))
+    shared = meet.join(weights, "neighbour").groupBy("a", "b").agg(F.avg("w").alias("near"), F.count("*").alias("n_shared"))
     joined = both.join(shared, ["a", "b"], "left")
     x, y = F.col("forenames_a"), F.col("forenames_b")
     initials = lambda names: F.transform(names, lambda w: F.substring(w, 1, 1))
