@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tieweave.llm import exact, line_dedup, simhash
+from tieweave.llm import exact, line_dedup, queries, simhash
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau".split()
 
@@ -112,6 +112,16 @@ def test_exact_dedup_with_taken_names(spark):
         assert len(set(map(str.lower, found.columns))) == 5 and found.count() == 6
 
 
+def test_registered_simhash_query_equals_the_plain_version(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    roots = plain_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for i, p in prints.items():
+        least[roots[p]] = min(i, least.get(roots[p], i))
+    assert {tuple(r[:3]) for r in queries.op7_simhash(spark, data).collect()} == {(i, f"{p:016x}", least[roots[p]]) for i, p in prints.items()}
+
+
 @pytest.mark.parametrize("block", [2, 7, 4096])
 def test_hot_keys_are_dealt_out_without_loss(spark, block):
     rng = np.random.default_rng(5)

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tieweave.llm import chat, langid, quality, urls
+from tieweave.llm import chat, langid, quality, queries, urls
 
 
 def test_gradients_are_the_slopes():
@@ -44,6 +44,16 @@ def test_held_out_accuracy(spark, data):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_registered_language_query(spark, data):
+    found = queries.op4_language_id(spark, data).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    langs = {r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()} - {None}
+    assert {r.doc_id for r in found} == set(texts) and len(found) == len(texts)
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert r.lang_pred in langs if any(map(str.isalpha, texts[r.doc_id] or "")) else (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "the quick brown fox " * 40, "en"), (2, "le renard brun et la " * 40, "fr"), (3, None, "en"), (4, "", "fr"), (5, "123 !?", None), (None, "the fox", "en"), (6, "x" * 500_000, None), (7, "½ ² Ⅷ _", None), (8, "Ж", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score")
