@@ -17,10 +17,10 @@ their decisions are the labels from which the method judges all other URLs:
    bad / (bad + good + unlabelled / UNLABELLED + PRIOR). Unlabelled URLs are weak evidence
    of a good template, so a few bad ones among many don't condemn it.
 
-URLs are reduced to (host, segments) counts before each level, so the shuffles of a hot
-host carry one row for each different segment and task; the joins back have the reduced
-side unique by key, so adaptive execution splits a hot host. The counts are
-checkpointed after each level. Nothing but "does any path go on" is collected.
+URLs are reduced to (host, path) counts first, and to (node, segment) counts for each level,
+so the shuffles of a hot host carry one row for each different segment and task; what is
+known of a hot node is broadcast (HOT_GROUPS nodes at most), so its segments and paths
+don't meet in one task. The counts are checkpointed after each level. Nothing but "does any path go on" is collected.
 
 Defined results: a URL that is null or has no ``://`` has empty host and path, fits no
 rule, and is judged with its like by the same method; a very long URL is read whole;
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, id_name
-from .exact import LOWER, UPPER
+from .exact import HOT_GROUPS, LOWER, UPPER
 
 VARIABLE_KINDS = 8
 VARIABLE_SHARE = 10
@@ -87,6 +87,16 @@ def _after(column: str, k: int) -> Column:
     return F.slice(column, k, F.greatest(F.size(column) - (k - 1), F.lit(0)))
 
 
+def _to_nodes(rows: DataFrame, nodes: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined to their nodes; nodes with more than one in HOT_GROUPS of ``total`` rows, HOT_GROUPS at most, by broadcast.
+
+    size: the column of ``nodes`` with the number of their rows.
+    """
+    hot = F.col(size) > total // HOT_GROUPS
+    large, small = F.broadcast(nodes.where(hot)), nodes.where(~hot)
+    return rows.join(large, on).unionByName(rows.join(large.select(*on), on, "left_anti").join(small, on))
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` with the templates ``t`` of their segments, an array, instead of ``rest``.
 
@@ -94,6 +104,7 @@ def templates(urls: DataFrame) -> DataFrame:
     node of the tree is a host with the templates down to it, so joins have two keys or three.
     """
     depth, urls = 0, checkpointed(urls.withColumn("t", F.array().cast("array<string>")))
+    total = urls.count()
     while not urls.where(F.size("rest") > 0).isEmpty():
         depth += 1
         own = urls.withColumn("s", F.get("rest", F.lit(0))).withColumn("rest", _after("rest", 2))
@@ -101,29 +112,32 @@ def templates(urls: DataFrame) -> DataFrame:
         whole = kinds.groupBy("host", "t").agg(F.count("*").alias("kinds"), F.sum("own").alias("whole"))
         many = (F.col("kinds") >= VARIABLE_KINDS) & (VARIABLE_SHARE * F.col("own") <= F.col("whole"))
         numbered = F.col("s").rlike("[0-9]") & (F.col("kinds") >= 2)
-        named = kinds.join(whole, ["host", "t"]).select("host", "t", "s", F.when(many | numbered, "*").otherwise(F.col("s")).alias("next"))
+        named = _to_nodes(kinds, whole, ["host", "t"], "kinds", total).select("host", "t", "s", F.when(many | numbered, "*").otherwise(F.col("s")).alias("next"))
         grown = F.when(F.col("next").isNull(), F.col("t")).otherwise(F.concat("t", F.array("next")))
         own = checkpointed(own.join(named, ["host", "t", "s"], "left").withColumn("t", grown).drop("s", "next"))
         path = F.array_join("rest", "/")
         ways = own.where(F.size("t") == depth).groupBy("host", "t").agg(F.min(path).alias("least"), F.max(path).alias("most"))
-        single = ways.where("least = most").select("host", "t", F.lit(True).alias("single"))
-        joined = own.join(single, ["host", "t"], "left")
-        tail = F.col("single") & (F.size("rest") > 1)
-        urls = checkpointed(joined.withColumn("rest", F.when(tail, F.array(path)).otherwise(F.col("rest"))).drop("single"))
+        # With the path itself as a key, the many different paths of a hot node are dealt out.
+        single = ways.where("least = most").select("host", "t", F.col("least").alias("path"), F.lit(True).alias("single"))
+        longer = F.size("rest") > 1
+        joined = own.where(longer).withColumn("path", path).join(single, ["host", "t", "path"], "left")
+        joined = joined.withColumn("rest", F.when(F.col("single"), F.array("path")).otherwise(F.col("rest"))).select(*own.columns)
+        urls = checkpointed(own.where(~longer).unionByName(joined))
     for k in range(depth - 1, 0, -1):
-        urls = checkpointed(_merge(urls, k))
+        urls = checkpointed(_merge(urls, k, total))
     return urls.drop("rest")
 
 
-def _merge(urls: DataFrame, k: int) -> DataFrame:
+def _merge(urls: DataFrame, k: int, total: int) -> DataFrame:
     """Similar branches at level k get the template ``{}``."""
     own = urls.withColumn("node", F.slice("t", 1, k - 1)).withColumn("branch", F.get("t", F.lit(k - 1)))
     below = F.array_join(_after("t", k + 1), "/").alias("below")
     ways = checkpointed(own.where("branch is not null").groupBy("host", "node", "branch", below).agg(F.sum("n").alias("n")))
-    branch = ways.groupBy("host", "node", "branch").agg(F.sum("n").alias("n_branch"), F.sum(F.when(F.col("below") != "", F.col("n")).otherwise(0)).alias("n_on"))
+    branch = ways.groupBy("host", "node", "branch").agg(F.count("*").alias("ways"), F.sum("n").alias("n_branch"), F.sum(F.when(F.col("below") != "", F.col("n")).otherwise(0)).alias("n_on"))
     pooled = ways.groupBy("host", "node", "below").agg(F.sum("n").alias("n_pooled"))
-    whole = branch.groupBy("host", "node").agg(F.sum("n_branch").alias("n_node"), F.count("*").alias("branches"))
-    joined = ways.join(branch, ["host", "node", "branch"]).join(pooled, ["host", "node", "below"]).join(whole, ["host", "node"])
+    whole = branch.groupBy("host", "node").agg(F.sum("ways").alias("size"), F.sum("n_branch").alias("n_node"), F.count("*").alias("branches"))
+    joined = ways.join(branch.drop("ways"), ["host", "node", "branch"]).join(pooled, ["host", "node", "below"])
+    joined = _to_nodes(joined, whole, ["host", "node"], "size", total)
     more = F.greatest(F.col("n") / F.col("n_branch") - F.col("n_pooled") / F.col("n_node"), F.lit(0.0))
     compared = joined.groupBy("host", "node", "branch").agg(
         F.sum(more).alias("distance"), F.first("n_branch").alias("n_branch"), F.first("n_on").alias("n_on"), F.first("branches").alias("branches")
