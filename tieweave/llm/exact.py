@@ -94,6 +94,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     slots = filter_slots(rows, max_bytes=max_filter_bytes)
     bitmaps = repeated_slots(digests, "text_sha256", slots, hashes)
     tested, maybe = maybe_repeated(digests, "text_sha256", bitmaps, slots, hashes)
+    tested = checkpointed(tested)  # probed once
     alone = tested.where(~F.col(maybe)).select("_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     shared = tested.where(maybe).select("_tw_id", "text_sha256")
     sizes = checkpointed(shared.groupBy("text_sha256").agg(F.max("_tw_id").alias("keep_id"), F.count("*").alias("group_size")))
