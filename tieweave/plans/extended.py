@@ -61,16 +61,6 @@ def half_active(spark: SparkSession, sf_dir: str) -> Raw:
     return replace(raw, resolutions=marked)
 
 
-def build_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, n): the rows of each table of a whole build from landed registers, published and read again."""
-    landed = landing.everything(spark, sf_dir)
-    built = build.from_landed(checkpointed(landed.mentions), checkpointed(landed.assertions), fixture.AS_OF)
-    path = landing.landed_path(spark, "build")
-    build.write(built, path)
-    counts = [sinks.read_build(spark, path, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in built.tables()]
-    return resolve.union_all(counts)
-
-
 def queries(graph: Callable[[SparkSession, str], Graph], mentions: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable]:
     def found(*shapes: str) -> Callable:
         return lambda s, d: findings.findings(graph(s, d), *shapes)
@@ -145,7 +135,6 @@ def queries(graph: Callable[[SparkSession, str], Graph], mentions: Callable[[Spa
         "calib_isotonic": lambda s, d: matcher.isotonic(_coarse(s, d)),
         "build_publish": published,
         "build_statements": rebuilt,
-        "build_whole": build_whole,
     }
 
 
