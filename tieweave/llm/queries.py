@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, quality, urls
+from . import chat, exact, langid, mixing, periodic, quality, urls, whitening
 from .bpe import encode_decode
 from .common import scratch_path, table
 from .line_dedup import line_report
@@ -76,6 +76,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("longest", periodic.longest())
+    start, length, period = F.col("longest.start"), -F.col("longest.less"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(periodic.runs_text(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -245,6 +263,33 @@ SQL = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM texts JOIN groups USING (text_sha256)
     """,
+    "op13_source_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::HUGEINT AS size, md5(doc_id::VARCHAR) AS tie FROM documents),
+        sources AS (
+            SELECT source, sum(size)::HUGEINT AS words, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS weight FROM docs GROUP BY source),
+        ordered AS (
+            SELECT *, (sum(words) OVER ())::HUGEINT - 3 * coalesce(sum(words) OVER before, 0)::HUGEINT AS words_left,
+                (sum(weight) OVER ())::HUGEINT - coalesce(sum(weight) OVER before, 0)::HUGEINT AS weight_left
+            FROM sources WINDOW before AS (ORDER BY 6 * words // weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        share AS (
+            SELECT arg_max(words_left, weight_left) AS words_left, max(weight_left) AS weight_left
+            FROM ordered WHERE words_left * weight <= 3 * words * weight_left),
+        goals AS (
+            SELECT o.source, o.words, CASE WHEN stops THEN 3 * o.words ELSE s.words_left * o.weight END AS over_, CASE WHEN stops THEN 1 ELSE s.weight_left END AS under_
+            FROM (SELECT *, words_left * weight > 3 * words * weight_left AS stops FROM ordered) o CROSS JOIN share s),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, tie NULLS LAST, doc_id NULLS LAST) - 1 AS place,
+                ('0x' || substr(md5('42|' || coalesce('=' || source, '')), 1, 5))::BIGINT AS draw
+            FROM docs),
+        drawn AS (
+            SELECT doc_id, size, words, over_, under_,
+                CASE WHEN words > 0 THEN (under_ * words * draw + (place + 1) * over_ * 1048576) // (under_ * words * 1048576)
+                    - (under_ * words * draw + place * over_ * 1048576) // (under_ * words * 1048576) ELSE 0 END AS copies
+            FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, CASE WHEN words > 0 THEN over_::DOUBLE / under_::DOUBLE ELSE 0 END AS target, (size * copies)::BIGINT AS taken
+        FROM drawn
+    """,
 }
 
 
