@@ -38,7 +38,9 @@ from .common import map_text
 MIN_LENGTH = 6
 MIN_EXPONENT = 4
 #: Pairs of period and grid point that are worked on at one time (more if one period has more).
-PAIRS = 1 << 20
+PAIRS = 1 << 16
+#: So many of the longest runs found so far are kept from being found again by multiples of their periods.
+LONGEST = 16
 #: An odd multiplier of the prefix hashes, which are taken modulo 2 ** 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,13 +107,20 @@ def find_runs(codes: np.ndarray, min_length: int = MIN_LENGTH, min_exponent: int
     n = len(codes)
     if n < max(min_length, min_exponent):
         return []
-    hashes, found = None, []
+    hashes: PrefixHashes | None = None
+    least: dict[tuple[int, int], list[int]] = {}
     for period, at in grid(n, min_exponent):
         for k in range(1, min_exponent):
             alike = np.flatnonzero(codes[at + (k - 1) * period] == codes[at + k * period])
             period, at = period[alike], at[alike]
             if not len(at):
                 break
+        # A pair with one period inside a known run, whose period divides its own, gives that run again.
+        for start, end in sorted(least, key=lambda x: x[0] - x[1])[:LONGEST]:
+            if not len(at):
+                break
+            new = (at < start) | (at + period > end) | (period % min(least[start, end]) != 0)
+            period, at = period[new], at[new]
         if not len(at):
             continue
         hashes = hashes or PrefixHashes(codes)
@@ -119,19 +128,27 @@ def find_runs(codes: np.ndarray, min_length: int = MIN_LENGTH, min_exponent: int
         end = at + period + hashes.extension(at, period, n - at - period, 1)
         long = np.flatnonzero(end - start >= np.maximum(min_length, min_exponent * period))
         if len(long):
-            rows = np.stack([period, start, end, at])[:, long]
-            _, first = np.unique(rows[:3], axis=1, return_index=True)  # one grid point for each
-            found += rows[:, first].T.tolist()
-    least: dict[tuple[int, int], list[int]] = {}
-    for period, start, end, at in found:  # by period
+            _verify(codes, np.stack([period, start, end, at])[:, long], min_length, min_exponent, least)
+    return sorted((start, end - start, min(periods)) for (start, end), periods in least.items())
+
+
+def _verify(codes: np.ndarray, rows: np.ndarray, min_length: int, min_exponent: int, least: dict[tuple[int, int], list[int]]) -> None:
+    """Adds to ``least`` the periods of the stretches that words confirm. rows: period, start, end, grid point, by period, then point."""
+    cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+    for same in np.split(rows, cuts, axis=1):  # the grid points of one period in one stretch
+        period, start, end = same[:3, 0].tolist()
         if any(period % q == 0 for q in least.get((start, end), ())):
             continue
-        if not np.array_equal(codes[start : end - period], codes[start + period : end]):
-            start, end = _measured(codes, at, period)
-            if end - start < max(min_length, min_exponent * period):
-                continue
-        least.setdefault((start, end), []).append(period)
-    return sorted((start, end - start, min(periods)) for (start, end), periods in least.items())
+        if np.array_equal(codes[start : end - period], codes[start + period : end]):
+            least.setdefault((start, end), []).append(period)
+            continue
+        reached = -1
+        for at in same[3].tolist():
+            if at > reached:
+                start, end = _measured(codes, at, period)
+                reached = end - period - 1
+                if end - start >= max(min_length, min_exponent * period):
+                    least.setdefault((start, end), []).append(period)
 
 
 def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
