@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extended_sql, landed_sql, oracles, queries
+from . import extended_sql, landed_sql, network_sql, oracles, queries
 
 QUERIES = queries.QUERIES
-SQL: dict[str, str] = oracles.SQL | landed_sql.SQL | extended_sql.SQL
+SQL: dict[str, str] = oracles.SQL | landed_sql.SQL | extended_sql.SQL | network_sql.SQL
