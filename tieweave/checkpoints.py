@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; executors may be lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the application's folder, read again.
+
+    For tables that many queries are built on: a checkpoint hands the optimizer all that it has concluded
+    about ``df``, and after some steps working that out takes longer than the data does.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
+
 FULL_MONEY = 5_000_000
 OFFICE_BONUS = 0.2
 CONTROL = ("DIRECTOR_OF", "PSC_OF", "OWNS", "CO_DIRECTOR")
@@ -112,7 +114,8 @@ def themes_of(texts: DataFrame, key: str, text: str, words: list[tuple[str, str]
 
 def conflicts(entities: DataFrame, statements: DataFrame, descriptions: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
     """(entity_id, conflict_flag, conflict_strength, conflict_overlap, conflict_reason) for each parliamentarian."""
-    seat, interest = seats(entities, statements), interests(entities, statements, descriptions)
+    # Each is read twice.
+    seat, interest = written(seats(entities, statements)), written(interests(entities, statements, descriptions))
     both = themes_of(seat, "mp_id", "name", words).join(themes_of(interest, "mp_id", "text", words), ["mp_id", "theme"])
     overlap = both.groupBy("mp_id").agg(F.array_join(F.sort_array(F.collect_set("theme")), ", ").alias("overlap"))
     commercial = ~F.col("text").rlike(PARTY_WORK) & ~F.contains("text", F.lit("dormant")) & ~F.contains("text", "surname")

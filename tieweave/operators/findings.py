@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..schemas import HUB_TYPES
 
 FACT, GATE = 0.80, 0.50
@@ -247,7 +248,8 @@ def score(g: Graph, candidates: DataFrame) -> DataFrame:
     two ties of different types may begin at one time.
     """
     key = F.concat_ws("|", "shape_code", F.array_join(F.array_sort("member_ids"), ","), F.when(F.col("shape_code") == "NEW_ON_REGISTER", F.col("slots")["statement_type"]))
-    kept = candidates.where(F.col("min_confidence") >= GATE).withColumn("finding_id", F.md5(key))
+    # Written once, as members, statements and the findings themselves are taken from them.
+    kept = written(candidates.where(F.col("min_confidence") >= GATE).withColumn("finding_id", F.md5(key)))
     known = idf(g).where(~F.col("entity_type").isin(*HUB_TYPES)).select(F.col("entity_id").alias("member_id"), "idf")
     members = kept.select("finding_id", F.explode("member_ids").alias("member_id")).join(known, "member_id")
     rarity = members.groupBy("finding_id").agg(F.exp(F.avg(F.log("idf"))).alias("rarity"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..schemas import HUB_TYPES
 from .findings import Graph, _slots, both_ends, degree
 from .ranks import ranked
@@ -106,12 +107,13 @@ def nearest_notable(g: Graph, found: DataFrame, covered: DataFrame) -> DataFrame
     hint = F.coalesce(*(F.col("slots")[k] for k in ("company", "org", "person", "mp", "entity", "donor")))
     notable = facts.select("finding_id", "shape_code", hint.alias("hint"), F.explode("member_ids").alias("notable_id")).distinct()
     left = g.entities.select("entity_id").join(covered.select("entity_id"), "entity_id", "left_anti")
-    step = edges(g)
+    step = written(edges(g))
     # Of each entity only the first finding matters, so every step keeps one row for each end.
     first = notable.groupBy("notable_id").agg(F.min(F.struct("finding_id", "shape_code", "hint")).alias("f"))
+    first = written(first)
     near = left.join(step, left.entity_id == step.a).select("entity_id", F.col("b").alias("via")).join(first, F.col("via") == F.col("notable_id"))
     best = lambda df: df.groupBy("entity_id").agg(F.min(F.struct("f.finding_id", "notable_id", "f.shape_code", "f.hint")).alias("n"))
-    hop1 = best(near).withColumn("hops", F.lit(1))
+    hop1 = written(best(near).withColumn("hops", F.lit(1)))
     rest = left.join(hop1, "entity_id", "left_anti")
     reach = rest.join(step, rest.entity_id == step.a).select("entity_id", F.col("b").alias("via"))
     # Two best for each middle entity, as the first may be the start itself.
@@ -134,9 +136,8 @@ def basic(g: Graph, covered: DataFrame) -> DataFrame:
 
 def insights(g: Graph, found: DataFrame) -> DataFrame:
     """Every insight; each entity has one at least."""
-    first = reduce(DataFrame.unionByName, (f(g) for f in RANKED))
-    near = nearest_notable(g, found, first)
-    some = first.unionByName(near)
+    first = written(reduce(DataFrame.unionByName, (f(g) for f in RANKED)))
+    some = first.unionByName(written(nearest_notable(g, found, first)))
     return some.unionByName(basic(g, some))
 
 

@@ -17,11 +17,12 @@ from ..checkpoints import checkpointed
 def _dealt(df: DataFrame, order: list[Column], cohort: str | None, sums: dict[str, Column]) -> tuple[DataFrame, list[str]]:
     """``df`` dealt out in order, with ``_before_<name>`` and ``_all_<name>`` for each of ``sums``, and the keys of a run.
 
-    Written before its partitions are counted, so that both see the same ones.
+    Written before it is dealt out, as ranges are found by reading it once more, and before its
+    partitions are counted, so that both see the same ones.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = [F.col(cohort)] if cohort else []
-    dealt = checkpointed(df.repartitionByRange(n, *first, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = checkpointed(checkpointed(df).repartitionByRange(n, *first, *order).withColumn("_part", F.spark_partition_id()))
     keys = [*([cohort] if cohort else []), "_part"]
     whole = Window.partitionBy(*keys[:-1])
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import written
 from ..operators import attention, dedupe, edges, enrich, findings, insights, resolve
 from ..operators.edges import Raw
 from ..operators.findings import Graph
@@ -37,7 +37,7 @@ class Build:
 
 def graph(raw: Raw, as_of: str, descriptions: DataFrame, words: list[tuple[str, str]]) -> Graph:
     """Entities and scored statements, written once, with the conflicts over them."""
-    entities, statements = checkpointed(raw.entities), checkpointed(edges.statements(raw, as_of))
+    entities, statements = written(raw.entities), written(edges.statements(raw, as_of))
     return Graph(entities, statements, attention.conflicts(entities, statements, descriptions, words), as_of)
 
 
@@ -47,9 +47,9 @@ def merged(raw: Raw, as_of: str, births: DataFrame | None = None) -> tuple[Raw,
     Survivors take over what only their duplicates say, if entities have ``attributes``.
     births: (entity_id, dob).
     """
-    first = checkpointed(edges.statements(raw, as_of))
+    first = written(edges.statements(raw, as_of))
     weights = dedupe.active(raw.resolutions).groupBy("entity_id").agg(F.count("*").alias("n"))
-    replaced = checkpointed(dedupe.merge(raw.entities, first, weights, births))
+    replaced = written(dedupe.merge(raw.entities, first, weights, births))
     if "attributes" in raw.entities.columns:
         entities = dedupe.fold_attributes(raw.entities, replaced)
     else:
@@ -62,8 +62,8 @@ def build(raw: Raw, as_of: str, descriptions: DataFrame, words: list[tuple[str,
     own, replaced = merged(raw, as_of, births)
     told = attention.descriptions(dedupe.repoint(descriptions, "entity_id", replaced))
     g = graph(own, as_of, told, attention.LEXICON if words is None else words)
-    g = replace(g, conflicts=checkpointed(g.conflicts))
-    found = checkpointed(findings.findings(g))
+    g = replace(g, conflicts=written(g.conflicts))
+    found = written(findings.findings(g))
     keys = dedupe.person_keys(g.entities)
     return Build(
         g, replaced, attention.scrutiny(g.entities, g.statements), found, findings.suggested_pairs(g, found),
@@ -76,7 +76,7 @@ def resolved(mentions: DataFrame, assertions: DataFrame) -> tuple[Raw, DataFrame
 
     mentions: the columns of ``schemas.MENTIONS``.
     """
-    keyed = checkpointed(resolve.keyed(mentions))
+    keyed = written(resolve.keyed(mentions))
     entities = resolve.entities(keyed).withColumn("attributes", F.create_map().cast("map<string,string>"))
     entities = enrich.with_attributes(entities, enrich.nationalities(keyed), "nationality", "nationality")
     places = enrich.residences(keyed).unionByName(enrich.company_jurisdictions(keyed)).groupBy("entity_id").agg(F.min("country").alias("jurisdiction"))
@@ -89,7 +89,7 @@ def resolved(mentions: DataFrame, assertions: DataFrame) -> tuple[Raw, DataFrame
 def from_landed(mentions: DataFrame, assertions: DataFrame, as_of: str) -> Build:
     """The whole build from landed registers."""
     raw, descriptions, births = resolved(mentions, assertions)
-    return build(replace(raw, entities=checkpointed(raw.entities)), as_of, descriptions, births=births)
+    return build(replace(raw, entities=written(raw.entities)), as_of, descriptions, births=births)
 
 
 def write(built: Build, path: str, build_id: str | None = None) -> str:

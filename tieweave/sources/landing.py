@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import scratch_dir
+from ..checkpoints import scratch_dir, written
 from . import registers
 from .fixture import names, table
 
@@ -159,7 +159,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def everything(spark: SparkSession, sf_dir: str) -> registers.Landed:
-    """All landed registers together."""
-    out = registers.companies(companies(spark, sf_dir)).union(registers.donations(donations(spark, sf_dir))).union(registers.members(members(spark, sf_dir)))
-    out = out.union(registers.interests(interests(spark, sf_dir))).union(registers.lords(lords(spark, sf_dir)))
-    return out.union(registers.contracts(awards(spark, sf_dir), contract_names(spark, sf_dir))).union(registers.groups_html(group_pages(spark, sf_dir)))
+    """All landed registers together. What a reader takes is written once, as mentions and ties are read from it apart."""
+    own = lambda make: written(make(spark, sf_dir))
+    out = registers.companies(own(companies)).union(registers.donations(own(donations))).union(registers.members(own(members)))
+    out = out.union(registers.interests(own(interests))).union(registers.lords(own(lords)))
+    return out.union(registers.contracts(own(awards), own(contract_names))).union(registers.groups_html(own(group_pages)))
