@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import attention, dedupe, edges, enrich, findings, insights, matcher, reads, resolve
 from ..operators.findings import Graph
 from ..sources import fixture, sinks
-from . import build, extended, landed, network
+from . import build, extended, landed, network, whole
 
 #: Materialised graphs by session, input folder and times of change: reads share what a build has written.
 _graphs: dict[tuple, Graph] = {}
@@ -89,10 +89,6 @@ def _finding(shape: str) -> Callable:
     return lambda spark, sf_dir: _finding_rows(findings.findings(graph(spark, sf_dir), shape))
 
 
-def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(findings.findings(graph(spark, sf_dir)))
-
-
 def _insight_rows(df: DataFrame) -> DataFrame:
     slots = F.array_join(F.transform(F.array_sort(F.map_entries("slots")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
     return df.select("insight_id", "entity_id", "kind", "priority", "rank", "cohort_size", slots.alias("slots"))
@@ -111,14 +107,6 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.rank_portfolio(graph(spark, sf_dir)).unionByName(insights.only_donor_contractor(graph(spark, sf_dir)))
 
 
-def insights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every insight: the last two kinds only where no other is, nearness to findings of all shapes."""
-    g = graph(spark, sf_dir)
-    ranked = checkpointed(resolve.union_all([f(g) for f in insights.RANKED]))
-    some = ranked.unionByName(checkpointed(insights.nearest_notable(g, all_findings(spark, sf_dir), ranked)))
-    return _insight_rows(some.unionByName(insights.basic(g, some)))
-
-
 def _statement_rows(df: DataFrame) -> DataFrame:
     return df.select("statement_id", "subject_id", "statement_type", "object_id", "valid_from", "valid_to", "confidence", "strength", "amount_gbp", F.array_join("sources", ",").alias("sources"))
 
@@ -258,7 +246,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insight_bridge": _insight(insights.bridge),
     "insight_nearest_notable": lambda s, d: _insight_rows(insights.nearest_notable(graph(s, d), _facts(s, d), _ranked(s, d))),
     "insight_basic": lambda s, d: _insight_rows(insights.basic(graph(s, d), _ranked(s, d))),
-    "insights_all": insights_all,
     "register_stats": lambda s, d: insights.register_stats(graph(s, d)),
     # Matcher
     "fs_surname_rarity": lambda s, d: matcher.rarity(people(s, d)).select("surname", F.round("u", 6).alias("u")),
@@ -296,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-QUERIES |= landed.queries(graph) | extended.queries(graph, mentions) | network.queries(graph)
+QUERIES |= landed.queries(graph) | extended.queries(graph, mentions) | network.queries(graph) | whole.queries(graph, descriptions, words)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
