@@ -404,6 +404,10 @@ _PEOPLE = """
             sa <> sb OR len(list_intersect(sa, sb)) = 0 AS across
         FROM prs LEFT JOIN shw USING (a, b)),
     banded AS (SELECT *, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.6 THEN 'lead' ELSE 'distinct' END AS band FROM pairs)"""
+_EVERYONE = _PEOPLE.replace("FROM mps e LEFT JOIN", "FROM (SELECT * FROM ents WHERE entity_type = 'person') e LEFT JOIN").replace(
+    "(SELECT subject_id AS entity_id, object_id AS o FROM stm WHERE statement_type IN ('DIRECTOR_OF', 'OWNS'))",
+    "(SELECT subject_id AS entity_id, object_id AS o FROM stm UNION ALL SELECT object_id, subject_id FROM stm)",
+)
 _SCORED = """
     gold AS (SELECT event_id AS id, round(value % 1, 4) AS score, (round(value % 1, 4) > 0.35 + (event_id % 5) / 10)::INT AS label, event_type AS kind FROM events WHERE value IS NOT NULL)"""
 _COMPONENTS = """
@@ -523,6 +527,9 @@ SQL: dict[str, str] = {
     "fs_surname_rarity": _graph("SELECT surname, round(u, 6) AS u FROM rarity", _PEOPLE),
     "fs_score_pairs": _graph("SELECT * FROM banded", _PEOPLE),
     "fs_bands": _graph("SELECT band, across, count(*) AS n FROM banded GROUP BY ALL", _PEOPLE),
+    "fs_surname_rarity_everyone": _graph("SELECT surname, round(u, 6) AS u FROM rarity", _EVERYONE),
+    "fs_score_pairs_everyone": _graph("SELECT * FROM banded", _EVERYONE),
+    "fs_bands_everyone": _graph("SELECT band, across, count(*) AS n FROM banded GROUP BY ALL", _EVERYONE),
     "calib_threshold": f"WITH {_SCORED} SELECT min(score) AS threshold FROM (SELECT score, sum(label) OVER w / count(*) OVER w AS p FROM gold WINDOW w AS (ORDER BY score DESC, label DESC ROWS UNBOUNDED PRECEDING)) WHERE p >= 0.9",
     "calib_reliability": f"WITH {_SCORED} SELECT b AS bin, count(*) AS n, round(sum(score::DECIMAL(18,6))::DOUBLE / count(*), 4) AS mean_score, round(avg(label), 4) AS share FROM (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS p, count(*) OVER () AS n FROM gold) JOIN range(10) r(b) ON p >= b * n // 10 AND p < (b + 1) * n // 10 GROUP BY b",
     "calib_report": f"WITH {_SCORED} SELECT kind, count(*) AS n, round(min(score), 4) AS least, round(quantile_cont(score, 0.5), 4) AS median, round(max(score), 4) AS most, round(avg(score), 4) AS mean FROM gold GROUP BY kind",
