@@ -7,7 +7,7 @@ from collections import defaultdict, deque
 import pytest
 
 from tieweave import schemas
-from tieweave.operators import centrality, control, paths
+from tieweave.operators import centrality, control, paths, reads
 from tieweave.operators.findings import Graph
 
 KINDS = ["DIRECTOR_OF", "OWNS", "MEMBER_OF", "DONATED_TO"]
@@ -227,3 +227,12 @@ def test_betweenness_is_exact_and_its_sample_near(spark):
     error = sum(abs(sample.get(k, 0) - v) for k, v in exact.items()) / sum(exact.values())
     assert error < 0.2 and max(sample, key=sample.get) in sorted(exact, key=exact.get)[-3:]
     assert centrality.betweenness(edges.limit(0), chosen).collect() == []
+
+
+def test_shortest_path_has_no_bound(spark):
+    rows = [(f"s{i}", f"n{i:02}", "OWNS", f"n{i + 1:02}", 1.0, 0.5, ["x"]) for i in range(40)]
+    statements = spark.createDataFrame(rows, "statement_id string, subject_id string, statement_type string, object_id string, confidence double, strength double, sources array<string>")
+    entities = spark.createDataFrame([(f"n{i:02}", "company", "x", None, "GB") for i in range(42)], schemas.ENTITIES)
+    g = Graph(entities, statements, entities.limit(0), "2020-01-01")
+    assert [r.entity_id for r in reads.shortest_path(g, "n00", "n40").orderBy("hop").collect()] == [f"n{i:02}" for i in range(41)]
+    assert reads.shortest_path(g, "n00", "n41").collect() == []

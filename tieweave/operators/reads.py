@@ -159,23 +159,23 @@ def _adjacent(g: Graph, least: float) -> DataFrame:
     return g.statements.where(F.col("confidence") * 100 >= least).select(ends.alias("x"), "strength").select("x.a", "x.b", "strength").groupBy("a", "b").agg(F.max("strength").alias("strength"))
 
 
-def shortest_path(g: Graph, start: str, goal: str, least: float = 0, hops: int = 12) -> DataFrame:
+def shortest_path(g: Graph, start: str, goal: str, least: float = 0) -> DataFrame:
     """(hop, entity_id) along a shortest path; of equal ones the least in order of ids. Empty if there is none.
 
-    The frontier is a table; each step joins it to the ties and leaves out what was seen.
+    The frontier is a table; each step joins it to the ties, until it meets the goal or is
+    empty, however long the path.
     """
     spark = g.entities.sparkSession
     step = checkpointed(_adjacent(g, least).select("a", "b"))
-    seen = checkpointed(spark.createDataFrame([(start, [start])], "entity_id string, path array<string>"))
-    front, at_goal = seen, seen.where(F.col("entity_id") == goal)
-    for _ in range(hops):
-        if not at_goal.isEmpty() or front.isEmpty():
-            break
+    front = before = checkpointed(spark.createDataFrame([(start, [start])], "entity_id string, path array<string>"))
+    at_goal = front.where(F.col("entity_id") == goal)
+    while at_goal.isEmpty() and not front.isEmpty():
         reached = front.join(step, F.col("entity_id") == F.col("a")).groupBy("b").agg(F.min("path").alias("path"))
-        front = reached.join(seen, reached.b == seen.entity_id, "left_anti").select(F.col("b").alias("entity_id"), F.concat("path", F.array("b")).alias("path"))
-        front = checkpointed(front)
+        # Ties lead both ways, so what was seen before the last two steps is out of reach.
+        seen = front.select("entity_id").unionByName(before.select("entity_id"))
+        new = reached.join(seen, reached.b == seen.entity_id, "left_anti").select(F.col("b").alias("entity_id"), F.concat("path", F.array("b")).alias("path"))
+        front, before = checkpointed(new), front
         at_goal = front.where(F.col("entity_id") == goal)
-        seen = checkpointed(seen.unionByName(front))
     return at_goal.select(F.posexplode("path").alias("hop", "entity_id"))
 
 

@@ -1,4 +1,4 @@
-"""Registered queries over the whole network: paths, control, centrality."""
+"""Registered queries over the whole network: paths, control, centrality, and alerts from its stream."""
 
 from __future__ import annotations
 
@@ -11,10 +11,14 @@ from .. import schemas
 from ..checkpoints import checkpointed
 from ..operators import centrality, control, paths
 from ..operators.findings import Graph
-from ..sources import fixture
+from ..sources import fixture, landing
+from ..streaming import alerts, ingest
 
 RANK_ROUNDS = 10
 N_PIVOTS = 8
+LOOP_DAYS = 20
+#: Files of one year's ties.
+FILES = 4
 
 
 def wanted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,25 @@ def company_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(second, "l_orderkey").select(key("owner").alias("owner_id"), key("owned").alias("owned_id"), "share")
 
 
+def company_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gifts and contracts of companies, as a stream gets them."""
+    own = fixture.ties(spark, sf_dir).where(F.col("statement_type").isin(alerts.GIFT, alerts.CONTRACT) & F.col("from_id").startswith("C"))
+    key = F.md5(F.concat_ws("|", "statement_type", "from_id", "to_id", F.col("valid_from").cast("string"), F.col("amount_gbp").cast("string")))
+    return own.select(key.alias("tie_id"), F.col("from_id").alias("company_id"), F.col("statement_type").alias("kind"), F.col("valid_from").cast("timestamp").alias("at"))
+
+
+def loop_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over the ties, landed year by year, tells of companies whose gift and contract are near."""
+    own = checkpointed(company_ties(spark, sf_dir))
+    path, out = landing.landed_path(spark, "ties"), landing.landed_path(spark, "alerts")
+    for (year,) in own.select(F.year("at")).distinct().orderBy(F.year("at")).collect():  # a few
+        own.where(F.year("at") == year).repartition(FILES, "company_id").write.parquet(f"{path}/{year}")
+    # A company's ties of one year lie in one file. Files of two years may be one batch, so rows are up to a year late.
+    stream = alerts.closing_loops(alerts.landed(spark, path, FILES), late="800 days", expiry_days=LOOP_DAYS)
+    ingest.into(stream, out, landing.landed_path(spark, "alerts-state")).awaitTermination()
+    return spark.read.schema(alerts.ALERTS).option("recursiveFileLookup", True).parquet(out).withColumn("closed_at", F.col("closed_at").cast("date"))
+
+
 def queries(graph: Callable[[SparkSession, str], Graph]) -> dict[str, Callable]:
     def best(s: SparkSession, d: str) -> DataFrame:
         return paths.best_paths(graph(s, d), wanted_pairs(s, d))
@@ -80,4 +103,5 @@ def queries(graph: Callable[[SparkSession, str], Graph]) -> dict[str, Callable]:
         "control_ultimate": lambda s, d: shares(control.ultimate(checkpointed(controlled(s, d)))),
         "centrality_pagerank": ranks,
         "centrality_betweenness": between,
+        "stream_loop_alerts": loop_alerts,
     }

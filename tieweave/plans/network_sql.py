@@ -107,4 +107,15 @@ SQL: dict[str, str] = {
     ),
     "centrality_pagerank": _graph("SELECT entity_id, round(rank, 9) AS rank FROM r10", _rank_rounds(10)),
     "centrality_betweenness": _graph("SELECT node_id AS entity_id, round(sum(handed), 6) AS betweenness FROM handed GROUP BY 1 HAVING sum(handed) > 0", _between(16)),
+    "stream_loop_alerts": _graph(
+        """SELECT company_id, day AS closed_at, tie_id, other.tie_id AS other_id, kind
+        FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY day, tie_id) AS place FROM halves WHERE date_diff('day', other.day, day) <= 20) WHERE place = 1""",
+        """landed AS (
+            SELECT md5(concat_ws('|', statement_type, a, b, valid_from, amount)) AS tie_id, a AS company_id, statement_type AS kind, valid_from AS day
+            FROM ties WHERE a LIKE 'C%' AND statement_type IN ('DONATED_TO', 'CONTRACTED_WITH')),
+        halves AS (
+            SELECT *, CASE kind WHEN 'DONATED_TO' THEN max(CASE WHEN kind = 'CONTRACTED_WITH' THEN {'day': day, 'tie_id': tie_id} END) OVER before
+                ELSE max(CASE WHEN kind = 'DONATED_TO' THEN {'day': day, 'tie_id': tie_id} END) OVER before END AS other
+            FROM landed WINDOW before AS (PARTITION BY company_id ORDER BY day, tie_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    ),
 }
