@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tieweave.llm import chat, langid, quality, queries, urls
 
@@ -207,10 +208,10 @@ def test_boilerplate_is_found_by_its_neighbours(spark):
     rows += ["A first line.\nA copied line.\nA last line." + f"\nEdit {i}." * (i % 3 == 0) for i in range(30)]
     rows += [page(100 + i, "Not often.") for i in range(9)] + [None, "", " \n"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, line string").repartition(3)
-    found = set(quality.boilerplate_lines(df).tolist())
+    found = {r.line for r in quality.boilerplate_lines(df).collect()}
     # The unfinished page marks at the ends of a text have neighbours of their own.
     assert found == {quality.line_hash(b"alle rechte vorbehalten.".split())}
-    assert len(quality.boilerplate_lines(df.limit(0))) == 0
+    assert quality.boilerplate_lines(df.limit(0)).count() == 0
     texts = {r.doc_id: r for r in quality.verdicts(df).collect()}
     assert texts[0].lost_words == 3 and texts[12].lost_words == 0
 
@@ -257,3 +258,43 @@ def test_documents_that_lose_too_much_go(spark):
     assert {i: r.kept for i, r in found.items()} == {1: True, 2: False, 3: True, 4: False, 5: False, None: True}
     clean = {r.doc_id: r for r in quality.clean(df).collect()}
     assert set(clean) == {1, 3, None} and clean[3].text == good and clean[3].n_chars == len(good) and clean[1].n_chars == 5
+
+
+def test_boilerplate_by_join_gives_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("*", "1 AS line", "2 AS key")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    pages = spark.range(12).selectExpr("id doc_id", "concat('Page ', id, repeat(' begins with words', 30), '.\\nAll rights are reserved here.\\nPage ', id, ' ends.') text")
+    docs = docs.unionByName(pages, allowMissingColumns=True)
+    assert quality.boilerplate_lines(docs).count() > 0
+    assert sorted(quality.verdicts(docs, most_broadcast=0).collect(), key=str) == sorted(quality.verdicts(docs).collect(), key=str)
+    assert sorted(quality.clean(docs, most_broadcast=0).collect(), key=str) == sorted(quality.clean(docs).collect(), key=str)
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    own = [(i, f"Page {i} begins here with some words of its own.\nAll rights are reserved here.\nPage {i} ends here with some words.") for i in range(10)]
+    others = [(1000 + i, "\n".join(f"Line {k} of text {i} says nothing new." for k in range(30))) for i in range(900)]
+    few = spark.createDataFrame(own, "doc_id long, text string")
+    many = spark.createDataFrame(own + others, "doc_id long, text string")
+    lost = lambda df: {r.doc_id: (r.lost_words, r.kept) for r in quality.verdicts(df).where("doc_id < 1000").collect()}
+    assert lost(few) == lost(many) and lost(few)[0][0] == 5
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "wort " * (20 + i % 50), "de" if i % 3 else "en") for i in range(600)] + [(1000 + i, "lang " * 50_000, "de") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.training_texts(df, id_col="doc_id", text_col="text", lang_col="lang", sample_rows=400, sample_bytes=20_000)
+    size = {lang: sum(len(t) for t, x in found if x == lang) for lang in ("de", "en")}
+    assert all(8_000 < n <= 10_000 for n in size.values()) and max(len(t) for t, _ in found) < 1000
+    assert langid.training_texts(df, id_col="doc_id", text_col="text", lang_col="lang", sample_bytes=2) == []
+
+
+def test_language_of_ties_and_repeated_rows(spark):
+    rows = [(1, "the same text", "en"), (1, "the same text", "en"), (2, "the same text", "fr"), (None, "the same text", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(df, langid.fit(df)).collect()
+    assert len(found) == 12 and len({(r.lang_pred, r.score) for r in found}) == 1
+    # Equal probabilities: the first language in order.
+    net = langid.new_network(["aa", "bb"], 2, np.random.default_rng(0))
+    for x in net.parts:
+        x[...] = 0
+    assert {(r.lang_pred, r.score) for r in langid.predict(df, net).collect()} == {("aa", 0.5)}

@@ -35,10 +35,10 @@ from .common import map_text
 
 WINDOW = 64
 HIDDEN = 8
-#: Labelled rows that a fit may read, over all languages.
-SAMPLE_ROWS = 480
-#: Passes over the sample's windows, one at least; fewer if there are more windows than this many.
-EPOCHS, PASSED_WINDOWS = 8, 200_000
+#: Labelled rows, and bytes of their texts, that a fit may read, over all languages.
+SAMPLE_ROWS, SAMPLE_BYTES = 480, 1_600_000
+#: Passes over the sample's windows.
+EPOCHS = 8
 BATCH = 256
 RATE = 0.02
 UNDETERMINED = "und"
@@ -152,7 +152,7 @@ def gradients(net: Network, windows: np.ndarray, labels: np.ndarray, weights: np
     return out
 
 
-def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int | None = None, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Network | None:
+def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Network | None:
     """A network fitted to texts with their languages (Adam); None without a text."""
     rows = [(raw, lang) for raw, lang in rows if raw]
     if not rows:
@@ -162,7 +162,6 @@ def train(rows: list[tuple[bytes, str]], *, hidden: int = HIDDEN, epochs: int |
     windows, owners = cut_windows([raw for raw, _ in rows])
     labels = np.array([number[lang] for _, lang in rows])[owners]
     weights = (len(windows) / len(languages) / np.bincount(labels, minlength=len(languages)))[labels]
-    epochs = epochs or max(1, min(EPOCHS, PASSED_WINDOWS // len(windows)))
     random = np.random.default_rng(seed)
     net = new_network(languages, hidden, random)
     first, second = [np.zeros_like(x) for x in net.parts], [np.zeros_like(x) for x in net.parts]
@@ -216,20 +215,30 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_texts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
-    """The bounded sample (text, language), brought to the driver; one scan counts, one takes."""
+def training_texts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, str]]:
+    """The bounded sample (text, language), brought to the driver; one scan counts, one takes.
+
+    Whole texts, each language an equal share of ``sample_rows`` and ``sample_bytes`` (one row at least).
+    Texts longer than a language's share of bytes are not learnt from.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("place"))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("place"), F.octet_length(text_col).alias("size"))
+    languages = known.select("lang").distinct().count()
+    if not languages:
+        return []
+    each, room = max(1, sample_rows // languages), max(1, sample_bytes // languages)
+    known = known.where(F.col("size") <= room)
     counts = dict(known.groupBy("lang").count().collect())
     if not counts:
         return []
-    each = max(1, sample_rows // len(counts))
     # Rows under its language's share of the hashes' range are about twice as many as wanted.
     span = 1 << 30
     shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(span, 2 * (each + 8) * span // n)))]
     within = known.where(F.pmod("place", F.lit(span)) < F.element_at(F.create_map(*shares), F.col("lang")))
-    ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(span)), "place", "text")))
-    rows = ranked.where(F.col("rank") <= each).orderBy("lang", "rank").select("text", "lang")
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(span)), "place", "text")
+    ranked = within.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    ranked = ranked.withColumn("bytes", F.sum("size").over(Window.partitionBy("lang").orderBy("rank")))
+    rows = ranked.where(F.col("bytes") <= room).orderBy("lang", "rank").select("text", "lang")
     return [(text.encode(), lang) for text, lang in rows.collect()]
 
 

@@ -201,8 +201,7 @@ SQL = {
             FROM judged WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
         boilerplate AS (
             SELECT own FROM placed WHERE n <= 40 GROUP BY own
-            HAVING count(*) >= 10 AND 1000000 * count(*) >= (SELECT count(*) FROM placed WHERE n <= 40)
-                AND 4 * greatest(count(DISTINCT earlier), count(DISTINCT later)) >= 3 * count(*)),
+            HAVING count(*) >= 10 AND 4 * greatest(count(DISTINCT earlier), count(DISTINCT later)) >= 3 * count(*)),
         losses AS (
             SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
                 sum(n) FILTER (
