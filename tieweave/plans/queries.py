@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import attention, dedupe, edges, enrich, findings, insights, matcher, reads, resolve
 from ..operators.findings import Graph
 from ..sources import fixture, sinks
-from . import build, extended, landed, network, whole
+from . import build, candidates, extended, landed, network, whole
 
 #: Materialised graphs by session, input folder and times of change: reads share what a build has written.
 _graphs: dict[tuple, Graph] = {}
@@ -283,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-QUERIES |= landed.queries(graph) | extended.queries(graph, mentions) | network.queries(graph) | whole.queries(graph, descriptions, words)
+QUERIES |= landed.queries(graph) | extended.queries(graph, mentions) | network.queries(graph) | whole.queries(graph, descriptions, words) | candidates.queries()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

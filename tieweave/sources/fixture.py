@@ -129,3 +129,41 @@ def names(spark: SparkSession, sf_dir: str) -> Names:
     j = F.col("s_suppkey") % 7
     form = F.when(j == 0, " Limited").when(j == 1, " plc").when(j == 2, " LLP").when(j == 3, " Inc.").when(j == 4, " & Co Ltd").when(j == 5, " Group Holdings UK").otherwise("")
     return Names(people, supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("The "), "s_name", form).alias("raw_name")))
+
+
+# Parts that the names below are put together from.
+SURNAME_PARTS = "ba ker tin mor phil son gar ley wood ches ter ham vic stone quin dale".split()
+FORENAME_BEGINNINGS = "an jo mar el ste da ro li vi phi ca ge wi ha su ed".split()
+FORENAME_ENDINGS = "na hn ry la ven vid bert sa ctor lip rol orge liam rold san win".split()
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mention_id, person_id, raw_name, birth_year): each customer by name, every third one also misspelt by another register.
+
+    Names come from the digest of the key. A register drops, doubles or swaps letters or
+    writes another one of the same sound; half of its rows lack the year.
+    """
+    k, digest = F.col("c_custkey"), F.md5(F.col("c_custkey").cast("string"))
+
+    def part(parts: list[str], place: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, parts)), F.conv(F.substring(digest, place, 1), 16, 10).cast("int") + 1)
+
+    surname = F.concat(part(SURNAME_PARTS, 1), part(SURNAME_PARTS, 2), part(SURNAME_PARTS, 3))
+    forename = F.concat(part(FORENAME_BEGINNINGS, 4), part(FORENAME_ENDINGS, 5))
+    own = table(spark, sf_dir, "customer").select(k.alias("k"), surname.alias("s"), forename.alias("f"))
+    s, at = F.col("s"), 2 + F.col("k") % (F.length("s") - 2)
+    cut = lambda a, n: F.substr(s, a, n)
+    end = F.length(s)
+    wrong = (
+        F.when(F.col("k") % 4 == 0, F.concat(cut(F.lit(1), at - 1), cut(at + 1, end))).when(F.col("k") % 4 == 1, F.concat(cut(F.lit(1), at), cut(at, end)))
+        .when(F.col("k") % 4 == 2, F.translate(F.replace(s, F.lit("ph"), F.lit("f")), "kvy", "cfi"))
+        .otherwise(F.concat(cut(F.lit(1), at - 1), cut(at + 1, F.lit(1)), cut(at, F.lit(1)), cut(at + 2, end)))
+    )
+    year = (1940 + F.col("k") % 50).cast("string")
+    row = lambda register, name, born: F.struct(
+        F.concat(F.lit(f"{register}:"), F.col("k").cast("string")).alias("mention_id"), F.concat(F.lit("P"), F.col("k").cast("string")).alias("person_id"),
+        name.alias("raw_name"), born.alias("birth_year"),
+    )
+    plain, misspelt = row("a", F.concat_ws(" ", "f", "s"), year), row("b", F.concat(F.upper(wrong), F.lit(", "), F.col("f")), F.when(F.col("k") % 2 == 0, year))
+    rows = F.when(F.col("k") % 3 == 0, F.array(plain, misspelt)).otherwise(F.array(plain))
+    return own.select(F.explode(rows).alias("x")).select("x.*")
