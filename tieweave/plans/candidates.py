@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..operators import blocking
+from ..operators import blocking, neighbours
 from ..sources import fixture
 
 
@@ -30,9 +30,39 @@ def name_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.recall(left.join(right, "person_id"), member, blocking.candidates(checkpointed(blocking.forms(member))))
 
 
+def vector_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(neighbours.units(fixture.table(spark, sf_dir, "embeddings")))
+
+
+def asked(spark: SparkSession, sf_dir: str, unit: DataFrame) -> DataFrame:
+    """The classes of the rows whose id is divisible by 20."""
+    rows = neighbours.classes(fixture.table(spark, sf_dir, "embeddings")).where("row_id % 20 = 0")
+    return unit.join(rows.select("class_id").distinct(), "class_id", "left_semi")
+
+
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = vector_units(spark, sf_dir)
+    return neighbours.nearest(asked(spark, sf_dir, unit), unit)
+
+
+def vector_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = vector_units(spark, sf_dir)
+    return neighbours.exact(asked(spark, sf_dir, unit), unit)
+
+
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = vector_units(spark, sf_dir)
+    own = checkpointed(asked(spark, sf_dir, unit))
+    return neighbours.recall(neighbours.nearest(own, unit), neighbours.exact(own, unit))
+
+
 def queries() -> dict[str, Callable]:
     return {
         "block_name_members": lambda s, d: name_members(s, d).select("mention_id", "form_id"),
         "block_name_pairs": name_pairs,
         "block_name_recall": name_recall,
+        "block_vector_classes": lambda s, d: neighbours.classes(fixture.table(s, d, "embeddings")),
+        "block_vector_neighbours": vector_neighbours,
+        "block_vector_exact": vector_exact,
+        "block_vector_recall": vector_recall,
     }

@@ -47,6 +47,14 @@ WITH parts AS (
         SELECT a, b, array_to_string(list_transform(list_sort(list(DISTINCT kind)), lambda x: ['year', 'initial', 'edit'][x + 1]), ',') AS met_by
         FROM (SELECT DISTINCT x.form_id AS a, y.form_id AS b, kind FROM keyed x JOIN keyed y USING (kind, key) WHERE x.form_id < y.form_id) GROUP BY a, b)"""
 
+_VECTORS = """
+WITH wide AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE + 0.0::DOUBLE) AS raw FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    usable AS (SELECT * FROM wide WHERE len(raw) = (SELECT len(raw) FROM wide GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+    class AS (SELECT vec_id AS row_id, min(vec_id) OVER (PARTITION BY raw) AS class_id, raw FROM usable),
+    unit AS (SELECT class_id, raw, sqrt(list_dot_product(raw, raw)) AS norm FROM class WHERE row_id = class_id)"""
+
 SQL: dict[str, str] = {
     "block_name_members": _NAMES + "SELECT mention_id, form_id FROM member",
     "block_name_pairs": _NAMES + """
@@ -63,4 +71,11 @@ SQL: dict[str, str] = {
         SELECT kind, count(*) AS n_true, count(*) FILTER (met_by IS NOT NULL AND (kind = 'any' OR list_contains(string_split(met_by, ','), kind))) AS n_found,
             round(count(*) FILTER (met_by IS NOT NULL AND (kind = 'any' OR list_contains(string_split(met_by, ','), kind))) / count(*), 6) AS recall
         FROM truth CROSS JOIN told_kinds LEFT JOIN met USING (a, b) GROUP BY kind""",
+    "block_vector_classes": _VECTORS + "SELECT row_id, class_id FROM class",
+    "block_vector_exact": _VECTORS + """
+        SELECT query_id, neighbour_id, similarity, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id)::INT AS place FROM (
+                SELECT q.class_id AS query_id, u.class_id AS neighbour_id, round(list_dot_product(q.raw, u.raw) / q.norm / u.norm, 9) AS similarity
+                FROM unit q JOIN unit u ON q.class_id <> u.class_id WHERE q.class_id IN (SELECT class_id FROM class WHERE row_id % 20 = 0)))
+        WHERE place <= 10""",
 }
