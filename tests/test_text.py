@@ -50,3 +50,7 @@ def test_employment_takes_the_last_comma(spark):
 
 def test_search_key_stops_at_generic_words(spark):
     assert values(spark, lambda x: text.search_key(text.supplier_name(x)), "Ecotrix Group Limited", "Group One", "A & B Capital") == ["ecotrix", "group one", "a and b"]
+
+
+def test_entities_without_a_semicolon_stay(spark):
+    assert values(spark, text.closed_entities, "a &amp; b&lt;&gt;&quot;", "cut &amp", "&amp;lt;", "&eacute;", "", None) == ['a & b<>"', "cut &amp", "&lt;", "&eacute;", "", None]
