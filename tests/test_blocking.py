@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tieweave.checkpoints import checkpointed
 from tieweave.operators import blocking
 
 MENTIONS = "mention_id string, raw_name string, birth_year string"
@@ -79,3 +80,10 @@ def test_odd_names(spark):
     none = blocking.members(mentions.limit(0))
     assert blocking.verified(blocking.candidates(blocking.forms(none))).count() == 0
     assert blocking.recall(spark.createDataFrame([], "left_id string, right_id string"), none, blocking.candidates(blocking.forms(none))).count() == 4
+
+
+def test_forms_by_key_are_not_broadcast(spark):
+    """Forms look small to the optimizer, but each is a row for every key, with all keys."""
+    member = blocking.members(spark.createDataFrame([("a", "Jo Baker", "1950"), ("b", "Jo Backer", None)], MENTIONS))
+    plan = blocking.candidates(checkpointed(blocking.forms(member)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -25,6 +25,8 @@ from ..functions import text
 
 SURNAME_SIMILARITY, FORENAME_SIMILARITY = 0.85, 0.8
 KINDS = ("year", "initial", "edit")
+#: Bits of a key's hash that are joined on; the kind stands above them.
+HASH_BITS = 61
 # Letters with marks and the plain ones that they stand for.
 MARKED, UNMARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 # Spellings of one sound, replaced in this order.
@@ -114,13 +116,23 @@ def forms(member: DataFrame) -> DataFrame:
     return own.withColumn("keys", F.array_sort(keys))
 
 
+def _packed(key: Column) -> Column:
+    """A key as one long: its kind above the lower bits of its hash, so that keys are in the order of kinds."""
+    return F.shiftleft(key["kind"].cast("long"), HASH_BITS).bitwiseOR(key["key"].bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+
 def candidates(form: DataFrame) -> DataFrame:
-    """(a, b, met_by) and both sides' names and years, of all pairs of forms that share a key, each once."""
-    side = lambda x: form.select(F.explode("keys").alias("k"), *(F.col(c).alias(x if c == "form_id" else f"{c}_{x}") for c in ("form_id", "surname", "forenames", "birth_year", "keys")))
+    """(a, b, met_by) and both sides' names and years, of all pairs of forms that share a key, each once.
+
+    A form is one row for each of its keys here, many times what the optimizer takes it for, so the join is
+    told to shuffle; a side that was broadcast would be on the driver as a whole.
+    """
+    own = form.withColumn("keys", F.array_sort(F.transform("keys", _packed)))
+    side = lambda x: own.select(F.explode("keys").alias("k"), *(F.col(c).alias(x if c == "form_id" else f"{c}_{x}") for c in ("form_id", "surname", "forenames", "birth_year", "keys")))
     shared = F.array_intersect("keys_a", "keys_b")
-    met = side("a").join(side("b"), "k").where(F.col("a") < F.col("b")).withColumn("shared", shared).where(F.col("k") == F.col("shared")[0])
-    kinds = F.array_distinct(F.transform("shared", lambda x: x["kind"]))
-    named = F.transform(F.array_sort(kinds), lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x.cast("int") + 1))
+    met = side("a").hint("merge").join(side("b"), "k").where(F.col("a") < F.col("b")).withColumn("shared", shared).where(F.col("k") == F.col("shared")[0])
+    kinds = F.array_distinct(F.transform("shared", lambda x: F.shiftright(x, HASH_BITS)))
+    named = F.transform(F.array_sort(kinds), lambda x: F.element_at(F.array(*map(F.lit, KINDS)), (x + 1).cast("int")))
     return met.withColumn("met_by", F.array_join(named, ",")).drop("k", "keys_a", "keys_b", "shared")
 
 
