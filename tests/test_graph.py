@@ -41,6 +41,17 @@ def test_components_go_to_the_fixed_point(spark):
     assert components.connected_components(chain.limit(0)).isEmpty()
 
 
+def test_links_join_what_pairs_join(spark):
+    """Of a group of n only n - 1 links are made; shared births and years count as in pairs."""
+    entity = spark.createDataFrame([(f"P{i:02}", "person", "A B" if i < 40 else "C D") for i in range(60)] + [("C1", "company", "X"), ("C2", "company", "Y")], "entity_id string, entity_type string, name string")
+    told = spark.createDataFrame([(f"P{i:02}", f"C{i % 2 + 1}") for i in range(50)], "subject_id string, object_id string")
+    births = spark.createDataFrame([(f"P{i:02}", "1910" if i % 3 else f"1910-0{i % 2 + 1}") for i in range(36, 60, 2)], "entity_id string, dob string")
+    for born in (None, births):
+        pairs, links = (f(entity, told, born) for f in (dedupe.person_pairs, dedupe.person_links))
+        assert sorted(dedupe.components(pairs).collect()) == sorted(dedupe.components(links).collect())
+        assert links.count() <= 60 < 400 <= pairs.count()
+
+
 def test_merging_again_changes_nothing(spark, data):
     raw, replaced = build.merged(fixture.raw(spark, data), fixture.AS_OF)
     assert not replaced.isEmpty()

@@ -67,7 +67,7 @@ def queries(graph: Callable[[SparkSession, str], Graph], mentions: Callable[[Spa
 
     def merges(s: SparkSession, d: str) -> DataFrame:
         g = graph(s, d)
-        comps = checkpointed(dedupe.components(dedupe.person_pairs(g.entities, g.statements)))
+        comps = checkpointed(dedupe.components(dedupe.person_links(g.entities, g.statements)))
         weights = findings.both_ends(g.statements).groupBy("entity_id").agg(F.count("*").alias("n"))
         return checkpointed(dedupe.replacements(comps, dedupe.survivors(comps, weights)))
 
