@@ -72,3 +72,18 @@ def test_blank_null_and_empty(spark):
     assert dict(similar.near_copies(df).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, by_similarity=True).collect()) == [1, 4]
     assert similar.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_dedup_uses_the_pivot_tables(spark, monkeypatch):
+    """The stage hands on what the fingerprints link as candidates."""
+    long = [f"w{i}" for i in range(400)]
+    near = [*long[:-1], "other"]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(f"x{i}" for i in range(400)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = similar.signatures(df, id_col="doc_id").select("node", "fingerprint")
+    assert simhash.meeting(prints).count() == 1
+    kept = lambda: sorted(r.doc_id for r in simhash.drop_near_duplicates(df, shingle_words=5, by_similarity=True).collect())
+    assert kept() == [1, 3]
+    without, seen = similar.near_copies, []
+    monkeypatch.setattr(similar, "near_copies", lambda docs, meet, **names: (seen.append(meet), without(docs, meet=meet, **names))[1])
+    assert kept() == [1, 3] and seen[0] is not None

@@ -23,7 +23,8 @@ BLOCK members is dealt out as pairs of blocks of members over several tasks.
 ``drop_near_duplicates`` can also link by the similarity of shingle sets, which so few
 bits can't decide: five-word texts at 0.8 differ in 9.7 of 64 bits on average, where
 unlinked ones are only 32 apart, and keys that meet at so many bits meet everywhere. Then
-candidates come from ``similar`` instead of the pivot table, each verified exactly.
+what the pivot tables link are candidates, those of ``similar`` come beside them for the
+pairs that the bits can't reach, and each is verified exactly by its whole sets.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero
 and links like any other; a very long text is read whole; repeated rows share a node; a
@@ -89,11 +90,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     last = ends[shingle_words - 1 :] if len(words) >= shingle_words else ends[-1:]
     first = (ends - lengths)[: len(last)]
     hashes = [xxh64_intdigest(whole[i:j], SEED) for i, j in zip(first.tolist(), last.tolist())]
-    set_bits = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > len(hashes)).view("<u8")[0])
+    return similar.majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -227,6 +224,18 @@ def near_duplicates(
     return prints.join(known, "fingerprint").select(F.col("id").alias(own), "fingerprint", "component_id")
 
 
+def meeting(prints: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): nodes to compare, as the pivot tables link their fingerprints. prints: (node, fingerprint).
+
+    Nodes of one fingerprint meet the least of them, those of linked ones by their least.
+    """
+    least = checkpointed(prints.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    own = prints.join(least.hint("merge"), "fingerprint").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    side = lambda c: least.select(F.col("fingerprint").alias(f"print_{c}"), F.col("least").alias(c)).hint("merge")
+    found = links(least, max_bits=max_bits).distinct().withColumnsRenamed({"a": "print_a", "b": "print_b"})
+    return own.unionByName(found.join(side("a"), "print_a").join(side("b"), "print_b").select("a", "b"))
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     *,
@@ -243,6 +252,6 @@ def drop_near_duplicates(
     """
     rows, name = named(docs, id_col, text_col)
     columns = {"id_col": name, "text_col": text_col, "shingle_words": shingle_words}
-    found = similar.near_copies(rows, **columns) if by_similarity else near_duplicates(rows, max_bits=max_bits, **columns)
+    found = similar.near_copies(rows, meet=lambda prints: meeting(prints, max_bits=max_bits), **columns) if by_similarity else near_duplicates(rows, max_bits=max_bits, **columns)
     lost = found.where(F.col(name) != F.col("component_id")).select(name).distinct()
     return rows.join(lost, name, "left_anti").select(*docs.columns)

@@ -12,7 +12,8 @@ similarity of SIMILAR (4/5) or more; what links, also by way of others, is a com
    full, so nothing that meets and is similar is lost. A key with more than BLOCK
    members is dealt out as pairs of blocks of members over several tasks.
 
-No pair links by MinHash alone. Of the pairs found in step 3 only a spanning forest is
+Pairs that meet in another way (``meet``) are verified with those of step 2. No pair
+links by MinHash alone. Of the pairs found in step 3 only a spanning forest is
 emitted, so rows grow with the members of a group of near copies.
 
 Defined results: null, empty and blank texts are equal to one another and similar to
@@ -24,7 +25,7 @@ the name of the result comes back with ``_id`` after it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,15 @@ def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(np.array([xxh64_intdigest(whole[i:j], SEED) for i, j in zip(first.tolist(), last.tolist())], dtype=np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A number of 64 bits: each is 1 if it is set in over half of the ``hashes``."""
+    set_bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(hashes)).view("<u8")[0])
+
+
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     """Masks and odd factors of the MinHash permutations; always the same."""
     random = np.random.default_rng(20_240_229)
@@ -84,7 +94,7 @@ def band_keys(own: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> list[i
 
 
 def signatures(docs: DataFrame, *, with_sets: bool = False, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, node, bands) for each row, or (id, node, set)."""
+    """(id, node, fingerprint, bands) for each row, or (id, node, set). The fingerprint is the majority of the set."""
     longs = T.ArrayType(T.LongType())
 
     def make():
@@ -94,16 +104,20 @@ def signatures(docs: DataFrame, *, with_sets: bool = False, id_col: str = "doc_i
 
         def work(given: pa.Array) -> list[pa.Array]:
             texts = given.to_pylist()
-            nodes, others = [], []
+            nodes, prints, others = [], [], []
             for text in texts:
                 own = shingles(text, shingle_words)
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
                 others.append(own.view(np.int64) if with_sets else band_keys(own, masks, factors))
-            return [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(others, pa.list_(pa.int64()))]
+                if not with_sets:
+                    prints.append(majority(own))
+            numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ([nodes] if with_sets else [nodes, prints])]
+            return [*numbers, pa.array(others, pa.list_(pa.int64()))]
 
         return work
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("set" if with_sets else "bands", longs)]
+    numbers = [T.StructField(c, T.LongType()) for c in (["node"] if with_sets else ["node", "fingerprint"])]
+    fields = [*numbers, T.StructField("set" if with_sets else "bands", longs)]
     return map_text(docs, make, fields, id_col=id_col, text_col=text_col)
 
 
@@ -183,8 +197,11 @@ def _compared(members: DataFrame, block: int) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
-    """(id, component_id) for each row with an id; component_id is the least id reachable."""
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, block: int = BLOCK, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, component_id) for each row with an id; component_id is the least id reachable.
+
+    ``meet`` gives further pairs (a, b) of nodes to verify, from (node, fingerprint).
+    """
     spark, names = docs.sparkSession, {"id_col": "id", "text_col": "text", "shingle_words": shingle_words}
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     path = scratch_path(spark, "signatures")
@@ -196,12 +213,16 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hot = F.col("n") > members.count() // HOT_KEYS
     large, small = F.broadcast(shared.where(hot)), shared.where(~hot)
     meeting = checkpointed(members.join(large, "key").unionByName(members.join(large.select("key"), "key", "left_anti").join(small, "key")))
-    stars = checkpointed(meeting.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    stars = meeting.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    if meet is not None:
+        stars = stars.unionByName(meet(prints.select("node", "fingerprint").distinct()))
+    stars = checkpointed(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = checkpointed(meeting.select("node").unionByName(stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
 
-    ids = prints.join(meeting.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     read = signatures(docs.join(checkpointed(ids.select("id").distinct()), "id", "left_semi"), with_sets=True, **names)
     path = scratch_path(spark, "sets")
-    read.select("node", "set").join(meeting.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    read.select("node", "set").join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     sets = spark.read.parquet(path)
 
     links = checkpointed(_verified(stars, sets))
