@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,16 @@ def test_last_insights_heed_all_others(spark, data, g):
     assert ranked | last == {r.entity_id for r in g.entities.collect()}
     assert {r.kind for r in found} >= {"RANK_MONEY_GIVEN", "RANK_MONEY_RECEIVED", "RANK_PORTFOLIO", "BRIDGE"}
     assert {r.entity_id for r in queries.QUERIES["insight_basic"](spark, data).collect()} & ranked
+
+
+def test_scores_on_a_half_are_rounded_as_in_sql(spark):
+    """A donor with two ties and four registers: 0.95 * (0.4 + 0.6 / 2) * 2.5 * 0.5 is 0.8312499999999999 in doubles."""
+    entity = spark.createDataFrame([("P1", "person", "A B"), ("C1", "company", "One"), ("C2", "company", "Two")], "entity_id string, entity_type string, name string")
+    rows = [(f"s{i}", "P1", "OWNS", f"C{i}", ["a", "b", "c", "d"]) for i in (1, 2)]
+    told = spark.createDataFrame(rows, "statement_id string, subject_id string, statement_type string, object_id string, sources array<string>")
+    shape = "shape_code string, member_ids array<string>, statement_ids array<string>, slots map<string,string>, total_gbp double, min_confidence double"
+    candidate = spark.createDataFrame([("OVERSEAS_MONEY", ["P1"], ["s1"], {}, 0.0, 0.9)], shape)
+    (found,) = findings.score(Graph(entity, told, entity.limit(0), "2001-08-01"), candidate).select("surprise").collect()
+    x = 0.95 * (0.4 + 0.6 * 0.5) * 2.5 * 0.5
+    assert x == 0.8312499999999999
+    assert found.surprise == duckdb.connect().execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] == 0.8313
