@@ -284,3 +284,17 @@ def test_scores_on_a_half_are_rounded_as_in_sql(spark):
     x = 0.95 * (0.4 + 0.6 * 0.5) * 2.5 * 0.5
     assert x == 0.8312499999999999
     assert found.surprise == duckdb.connect().execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] == 0.8313
+
+
+def test_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
+    """Of persons of one name with three neighbours and a birth in common each pair is there once, and no step drops repeats after the join."""
+    entity = spark.createDataFrame([(f"P{i:02}", "person", "A B") for i in range(30)] + [(f"C{j}", "company", f"X {j}") for j in range(3)], "entity_id string, entity_type string, name string")
+    told = spark.createDataFrame([(f"P{i:02}", f"C{j}") for i in range(20) for j in range(3)], "subject_id string, object_id string")
+    births = spark.createDataFrame([(f"P{i:02}", "1910" if i % 2 else "1910-01") for i in range(10, 30)], "entity_id string, dob string")
+    for born, n in ((None, 20), (births, 30)):
+        pairs = dedupe.person_pairs(entity, told, born)
+        found = [tuple(r) for r in pairs.collect()]
+        expected = {(a, b) for a in range(n) for b in range(a + 1, n) if b < 20 or a >= 10}
+        assert len(found) == len(set(found)) and set(found) == {(f"P{a:02}", f"P{b:02}") for a, b in expected}
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")]
