@@ -298,3 +298,20 @@ def test_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
         assert len(found) == len(set(found)) and set(found) == {(f"P{a:02}", f"P{b:02}") for a, b in expected}
         plan = pairs._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_pairs_and_bands_equal_scores_of_all_pairs(spark, data):
+    """Also where most neighbours are frequent and blocks have many shares; pairs are not shuffled once they are made."""
+    people = checkpointed(queries.everyone(spark, data))
+    own = people.where("surname != ''")
+    a, b = (own.select("surname", F.col("entity_id").alias(x)) for x in "ab")
+    plain = matcher.scored(checkpointed(a.join(b, "surname").where("a < b").select("a", "b")), people)
+    columns = ["a", "b", "surname", "score", "across", "n_shared", "band"]
+    expected = sorted(tuple(r) for r in plain.select(*columns).collect())
+    bands = sorted(tuple(r) for r in plain.groupBy("band", "across").agg(F.count("*")).collect())
+    for often in (0, 3, 10_000):
+        found = matcher.pairs(people, often, share=5)
+        assert sorted(tuple(r) for r in found.select(*columns).collect()) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")]
+        assert sorted(tuple(r) for r in matcher.band_counts(people, often).collect()) == bands
