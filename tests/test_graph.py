@@ -315,3 +315,13 @@ def test_pairs_and_bands_equal_scores_of_all_pairs(spark, data):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Join")]
         assert sorted(tuple(r) for r in matcher.band_counts(people, often).collect()) == bands
+
+
+def test_gold_report_equals_the_report_of_its_pairs(spark, data):
+    """Counted by classes, also where most neighbours are frequent."""
+    from tieweave.plans import extended
+
+    people = extended.person_mentions(spark, data)
+    expected = sorted(tuple(r) for r in matcher.report(matcher.scored(checkpointed(matcher.gold(people)), people)).collect())
+    for often in (0, 10_000):
+        assert sorted(tuple(r) for r in matcher.gold_report(people, often=often).collect()) == expected

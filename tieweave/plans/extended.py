@@ -49,11 +49,6 @@ def person_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(matcher.person_mentions(mentions, raw.assertions, raw.resolutions, raw.entities))
 
 
-def gold_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = person_mentions(spark, sf_dir)
-    return matcher.scored(checkpointed(matcher.gold(people)), people)
-
-
 def half_active(spark: SparkSession, sf_dir: str) -> Raw:
     """The raw layer with some resolutions out of force."""
     raw = fixture.raw(spark, sf_dir)
@@ -131,7 +126,7 @@ def queries(graph: Callable[[SparkSession, str], Graph], mentions: Callable[[Spa
         "edges_active": lambda s, d: edges.mapped(half_active(s, d)).groupBy("statement_type").agg(F.count("*").alias("n")),
         "person_mentions": lambda s, d: person_mentions(s, d).select("entity_id", "group", "surname", F.array_join("forenames", " ").alias("forenames"), F.array_join("neighbours", ",").alias("neighbours"), "birth_year"),
         "gold_pairs": gold,
-        "gold_report": lambda s, d: matcher.report(gold_scored(s, d)),
+        "gold_report": lambda s, d: matcher.gold_report(person_mentions(s, d)),
         "calib_isotonic": lambda s, d: matcher.isotonic(_coarse(s, d)),
         "build_publish": published,
         "build_statements": rebuilt,
