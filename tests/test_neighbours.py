@@ -70,3 +70,16 @@ def test_odd_vectors(spark):
     assert neighbours.recall(neighbours.nearest(none, none), neighbours.exact(none, none)).first()["recall"] is None
     one = unit.where("class_id = 0")
     assert neighbours.nearest(one, one).count() == 0 and neighbours.exact(one, one).count() == 0
+
+
+def test_cells_hand_on_only_the_nearest_of_a_block(spark):
+    """Of a cell that holds all vectors, a query's ``keep`` nearest go on from each block, not each vector."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    unit = neighbours.units(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    cells = neighbours.Cells(np.ones((1, 6)), 1)
+    asked = unit.where("class_id % 20 = 0")
+    placed = [neighbours._packed(neighbours._placed(x, cells.centres, 1), side) for x, side in ((asked, "q"), (unit, "u"))]
+    assert neighbours._first(placed[0].join(placed[1], "cell"), unit, 4).count() == 15 * 4
+    found, truth = (sorted(tuple(r) for r in f.collect()) for f in (neighbours.nearest(asked, unit, 4, cells), neighbours.exact(asked, unit, 4)))
+    assert found == truth and len(found) == 15 * 4
