@@ -325,3 +325,39 @@ def test_gold_report_equals_the_report_of_its_pairs(spark, data):
     expected = sorted(tuple(r) for r in matcher.report(matcher.scored(checkpointed(matcher.gold(people)), people)).collect())
     for often in (0, 10_000):
         assert sorted(tuple(r) for r in matcher.gold_report(people, often=often).collect()) == expected
+
+
+def test_places_of_overseas_leads_equal_a_window_and_shuffle_no_pairs(spark, data):
+    """Also where names have more persons abroad than one list takes; a donor abroad is no lead of its own."""
+    g = queries.graph(spark, data)
+    keys = dedupe.person_keys(g.entities)
+    plain = reads.by_entity(findings.overseas_leads(g, keys, 1), "donor_id", F.asc("lead_id")).select("donor_id", "lead_id", "place")
+    expected = sorted(tuple(r) for r in plain.collect())
+    assert expected
+    for listed in (0, 3, 100_000):
+        assert sorted(tuple(r) for r in findings.overseas_places(g, keys, 1, listed).select("donor_id", "lead_id", "place").collect()) == expected
+    used = queries.extended.queries(queries.graph, queries.mentions)["load_extras"](spark, data)
+    assert used.count() == reads.extras(None, None, findings.overseas_leads(g, keys)).count() + used.where("extra != 'overseas'").count()
+    places = findings.overseas_places(g, keys, 1).where("place > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in places[: places.index("Window")]
+
+
+@pytest.mark.parametrize("made", ["leads", "gold"])
+def test_pairs_of_one_name_are_made_in_many_tasks(spark, made):
+    n = 60
+    if made == "leads":
+        people = [(f"P{i:02}", "person", "Ann Lee", None, "FR" if i % 2 else "GB") for i in range(n)] + [("R", "party", "Party", "party", None)]
+        entities = spark.createDataFrame(people, "entity_id string, entity_type string, name string, category string, jurisdiction string")
+        gifts = [(f"S{i}", f"P{i:02}", "R", "DONATED_TO", 300_000.0, 0.9) for i in range(n)]
+        ties = spark.createDataFrame(gifts, "statement_id string, subject_id string, object_id string, statement_type string, amount_gbp double, confidence double")
+        found = findings.overseas_leads(Graph(entities, ties, None, fixture.AS_OF), dedupe.person_keys(entities))
+        expected = {(f"P{i:02}", n // 2 - i % 2) for i in range(n)}
+        assert {tuple(r) for r in found.groupBy("donor_id").count().collect()} == expected
+    else:
+        rows = [(f"m{i:02}", f"P{i // 2}", "Ann Lee", "lee", ["ann"], [f"C{i % 5}"], ["a"], str(1950 + i % 3)) for i in range(n)]
+        people = spark.createDataFrame(rows, "entity_id string, group string, name string, surname string, forenames array<string>, neighbours array<string>, sources array<string>, birth_year string")
+        found = matcher.gold(people, 2)
+        kind = lambda i, j: "one_entity" if i // 2 == j // 2 else "neighbour" if i % 5 == j % 5 else "birth_year" if i % 3 == j % 3 else ""
+        expected = {(f"m{i:02}", f"m{j:02}", f"positive_{k}" if (k := kind(i, j)) else "hard_negative") for i in range(n) for j in range(i + 1, n)}
+        assert sorted(tuple(r) for r in found.select("a", "b", "kind").collect()) == sorted(expected)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
