@@ -9,6 +9,7 @@ import pytest
 from tieweave import schemas
 from tieweave.operators import centrality, control, paths, reads
 from tieweave.operators.findings import Graph
+from tieweave.plans import queries
 
 KINDS = ["DIRECTOR_OF", "OWNS", "MEMBER_OF", "DONATED_TO"]
 
@@ -236,3 +237,19 @@ def test_shortest_path_has_no_bound(spark):
     g = Graph(entities, statements, entities.limit(0), "2020-01-01")
     assert [r.entity_id for r in reads.shortest_path(g, "n00", "n40").orderBy("hop").collect()] == [f"n{i:02}" for i in range(41)]
     assert reads.shortest_path(g, "n00", "n41").collect() == []
+
+
+def test_frontiers_carry_no_statements_and_ties_are_not_shuffled_again(spark, data, monkeypatch):
+    g = queries.graph(spark, data)
+    kept = []
+    for name in ("written", "checkpointed"):
+        plain = getattr(paths, name)
+        monkeypatch.setattr(paths, name, lambda df, plain=plain: kept.append(set(df.columns)) or plain(df))
+    pairs = spark.createDataFrame([("P0", "P1"), ("P50", "R0")], "start_id string, goal_id string")
+    assert paths.best_paths(g, pairs).count() > 0
+    assert not any({"statement_ids", "grounds", "sources"} & columns for columns in kept)
+    ties = paths.Ties(paths.steps(g).select("a", "b"), share=5)
+    assert ties.large.count() > 0
+    front = spark.createDataFrame([("P0", 1)], "at string, n int")
+    plan = ties.meet(front, "at")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
