@@ -16,13 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TIES = "tie_id string, company_id string, kind string, at timestamp"
 GIFT, CONTRACT = "DONATED_TO", "CONTRACTED_WITH"
+CLOSED = "company_id string, closed_us long, tie_id string, other_id string, kind string"
 ALERTS = "company_id string, closed_at timestamp, tie_id string, other_id string, kind string"
 EXPIRY_DAYS = 180
 #: Fixed value: Spark's provider of state that keeps timers and several states for each key.
@@ -41,27 +41,28 @@ class ClosingLoops(StatefulProcessor):
         self.halves = {k: handle.getValueState(f"newest_{k.lower()}", "tie_id string, at long") for k in (GIFT, CONTRACT)}
         self.told = handle.getValueState("told", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         if self.told.exists():
             return
-        newest = {k: tuple(s.get()) for k, s in self.halves.items() if s.exists()}
-        landed = pd.concat(list(rows))
-        landed = landed.assign(ms=landed["at"].astype("datetime64[ms]").astype("int64")).sort_values(["ms", "tie_id"])
-        for tie_id, kind, ms, at in zip(landed["tie_id"], landed["kind"], landed["ms"].tolist(), landed["at"]):
+        newest = {k: tuple(half) for k, s in self.halves.items() if (half := s.get()) is not None}
+        changed = set()
+        for us, tie_id, kind in sorted(((r.us, r.tie_id, r.kind) for r in rows), key=lambda x: (x[0] // 1000, x[1] is None, x[1] or "")):
+            ms = us // 1000
             other = newest.get(CONTRACT if kind == GIFT else GIFT)
             if other and abs(ms - other[1]) <= self.expiry:
                 self.told.update((ms,))
                 for half in self.halves.values():
                     half.clear()
-                yield pd.DataFrame({"company_id": [key[0]], "closed_at": [max(at, pd.Timestamp(other[1], unit="ms"))], "tie_id": [tie_id], "other_id": [other[0]], "kind": [kind]})
+                yield Row(company_id=key[0], closed_us=max(us, other[1] * 1000), tie_id=tie_id, other_id=other[0], kind=kind)
                 return
             if kind not in newest or (ms, tie_id) > newest[kind][::-1]:
                 newest[kind] = (tie_id, ms)
-        for kind, half in newest.items():
-            self.halves[kind].update(half)
-            self.handle.registerTimer(half[1] + self.expiry + 1)
+                changed.add(kind)
+        for kind in changed:
+            self.halves[kind].update(newest[kind])
+            self.handle.registerTimer(newest[kind][1] + self.expiry + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         now = timerValues.getCurrentWatermarkInMs()
         for half in self.halves.values():
             if half.exists() and half.get()[1] + self.expiry < now:
@@ -85,4 +86,7 @@ def closing_loops(stream: DataFrame, late: str = "30 days", expiry_days: int = E
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     sound = stream.where(F.col("company_id").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(GIFT, CONTRACT)).withWatermark("at", late)
-    return sound.groupBy("company_id").transformWithStateInPandas(ClosingLoops(expiry_days), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
+    # As rows, as a frame and an Arrow batch for each alert cost more than all the rest. Times are numbers there, so no time zone matters.
+    ties = sound.withColumn("us", F.unix_micros("at"))
+    closed = ties.groupBy("company_id").transformWithState(ClosingLoops(expiry_days), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    return closed.select("company_id", F.timestamp_micros("closed_us").alias("closed_at"), "tie_id", "other_id", "kind")
