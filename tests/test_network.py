@@ -248,7 +248,7 @@ def test_frontiers_carry_no_statements_and_ties_are_not_shuffled_again(spark, da
     pairs = spark.createDataFrame([("P0", "P1"), ("P50", "R0")], "start_id string, goal_id string")
     assert paths.best_paths(g, pairs).count() > 0
     assert not any({"statement_ids", "grounds", "sources"} & columns for columns in kept)
-    ties = paths.Ties(paths.steps(g).select("a", "b"), share=5)
+    ties = paths.Ties(paths.steps(g).select("a", "b"), share=5, buckets=True)
     assert ties.large.count() > 0
     front = spark.createDataFrame([("P0", 1)], "at string, n int")
     plan = ties.meet(front, "at")._jdf.queryExecution().executedPlan().toString()
