@@ -42,6 +42,14 @@ def test_components_go_to_the_fixed_point(spark):
     assert components.connected_components(chain.limit(0)).isEmpty()
 
 
+def test_rounds_of_components_do_not_swell_the_estimated_size(spark):
+    """A path takes several rounds; an estimate that each of them multiplies has thousands of digits and fills the driver."""
+    path = spark.range(3000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = components.connected_components(path)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+    assert found.count() == 3001 and found.select("root").distinct().count() == 1
+
+
 def test_links_join_what_pairs_join(spark):
     """Of a group of n only n - 1 links are made; shared births and years count as in pairs."""
     entity = spark.createDataFrame([(f"P{i:02}", "person", "A B" if i < 40 else "C D") for i in range(60)] + [("C1", "company", "X"), ("C2", "company", "Y")], "entity_id string, entity_type string, name string")
