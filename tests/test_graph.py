@@ -335,6 +335,17 @@ def test_gold_report_equals_the_report_of_its_pairs(spark, data):
         assert sorted(tuple(r) for r in matcher.gold_report(people, often=often).collect()) == expected
 
 
+def test_donors_of_overseas_leads_are_those_of_the_pairs_and_make_none(spark):
+    """A donor who is the only person abroad of a name has no lead; 300 donors of one name are 300 rows, not 90,000."""
+    people = [("P1", "A B", "N5"), ("P2", "C D", "N5"), ("P3", "C D", "GB"), ("P4", "E F", "GB"), ("P5", "G H", "N5"), ("P6", "G H", "N5")] + [(f"Q{i}", "X Y", "N5") for i in range(300)]
+    entities = spark.createDataFrame([(i, "person", n, None, j) for i, n, j in people] + [("R1", "party", "Z", None, None)], "entity_id string, entity_type string, name string, category string, jurisdiction string")
+    ties = spark.createDataFrame([(f"s{i}", "DONATED_TO", i, "R1", 300_000.0) for i, _, _ in people], "statement_id string, statement_type string, subject_id string, object_id string, amount_gbp double")
+    small, keys = Graph(entities, ties, None, fixture.AS_OF), dedupe.person_keys(entities)
+    found = [r.donor_id for r in findings.overseas_donors(small, keys).collect()]
+    assert sorted(found) == sorted({r.donor_id for r in findings.overseas_leads(small, keys).select("donor_id").collect()})
+    assert len(found) == 303 and {"P3", "P5", "P6"} <= set(found)
+
+
 def test_places_of_overseas_leads_equal_a_window_and_shuffle_no_pairs(spark, data):
     """Also where names have more persons abroad than one list takes; a donor abroad is no lead of its own."""
     g = queries.graph(spark, data)

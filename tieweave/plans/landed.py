@@ -57,7 +57,7 @@ def news_names(graph: Callable[[SparkSession, str], Graph]) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = graph(spark, sf_dir)
         keys = g.entities.where("entity_type = 'person'").select("entity_id", text.person_key(F.col("name")).alias("name_key"))
-        return registers.news_names(findings.findings(g, "CROSSING"), insights.rank_portfolio(g), findings.overseas_leads(g, keys), g.entities, most=120)
+        return registers.news_names(findings.findings(g, "CROSSING"), insights.rank_portfolio(g), findings.overseas_donors(g, keys), g.entities, most=120)
 
     return query
 
