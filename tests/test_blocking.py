@@ -87,3 +87,18 @@ def test_forms_by_key_are_not_broadcast(spark):
     member = blocking.members(spark.createDataFrame([("a", "Jo Baker", "1950"), ("b", "Jo Backer", None)], MENTIONS))
     plan = blocking.candidates(checkpointed(blocking.forms(member)))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_dated_candidates_are_those_whose_years_do_not_differ(spark):
+    """Years are compared before keys are."""
+    rng = random.Random(7)
+    rows = [(f"m{i:03}", f"{rng.choice(['jo', 'jan', 'kim', ''])} {rng.choice(['kato', 'cato', 'phido', 'fido', 'toka', 'dofi'])}", rng.choice([None, "", "1950", "1951"])) for i in range(150)]
+    form = checkpointed(blocking.forms(blocking.members(spark.createDataFrame(rows, MENTIONS))))
+    every, found = blocking.candidates(form), blocking.candidates(form, dated=True)
+    assert found.columns == every.columns
+    alike = every.where("coalesce(birth_year_a = birth_year_b, true)")
+    assert sorted(map(str, found.collect())) == sorted(map(str, alike.collect()))
+    assert 0 < found.count() < every.count()
+    plan = blocking.verified(found)._jdf.queryExecution().optimizedPlan().toString()
+    (join,) = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert 0 < join.index("birth_year_a") < join.index("array_intersect")

@@ -121,16 +121,21 @@ def _packed(key: Column) -> Column:
     return F.shiftleft(key["kind"].cast("long"), HASH_BITS).bitwiseOR(key["key"].bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
 
-def candidates(form: DataFrame) -> DataFrame:
+def candidates(form: DataFrame, dated: bool = False) -> DataFrame:
     """(a, b, met_by) and both sides' names and years, of all pairs of forms that share a key, each once.
 
+    With ``dated`` pairs whose years differ are left out, and that is asked first: keys are only compared of the others.
+
     A form is one row for each of its keys here, many times what the optimizer takes it for, so the join is
     told to shuffle; a side that was broadcast would be on the driver as a whole.
     """
     own = form.withColumn("keys", F.array_sort(F.transform("keys", _packed)))
     side = lambda x: own.select(F.explode("keys").alias("k"), *(F.col(c).alias(x if c == "form_id" else f"{c}_{x}") for c in ("form_id", "surname", "forenames", "birth_year", "keys")))
     shared = F.array_intersect("keys_a", "keys_b")
-    met = side("a").hint("merge").join(side("b"), "k").where(F.col("a") < F.col("b")).withColumn("shared", shared).where(F.col("k") == F.col("shared")[0])
+    first = F.col("a") < F.col("b")
+    if dated:
+        first &= F.coalesce(F.col("birth_year_a") == F.col("birth_year_b"), F.lit(True))
+    met = side("a").hint("merge").join(side("b"), "k").where(first).withColumn("shared", shared).where(F.col("k") == F.col("shared")[0])
     kinds = F.array_distinct(F.transform("shared", lambda x: F.shiftright(x, HASH_BITS)))
     named = F.transform(F.array_sort(kinds), lambda x: F.element_at(F.array(*map(F.lit, KINDS)), (x + 1).cast("int")))
     return met.withColumn("met_by", F.array_join(named, ",")).drop("k", "keys_a", "keys_b", "shared")
