@@ -380,3 +380,14 @@ def test_pairs_of_one_name_are_made_in_many_tasks(spark, made):
         expected = {(f"m{i:02}", f"m{j:02}", f"positive_{k}" if (k := kind(i, j)) else "hard_negative") for i in range(n) for j in range(i + 1, n)}
         assert sorted(tuple(r) for r in found.select("a", "b", "kind").collect()) == sorted(expected)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_shared_neighbours_are_compared_once_for_each_pair(spark):
+    """A score uses them several times; as an expression each use would be another comparison."""
+    columns = "entity_id string, name string, surname string, forenames array<string>, neighbours array<string>, sources array<string>"
+    people = spark.createDataFrame([(f"P{i}", "Jo Baker", "baker", ["jo"], ["N1", f"M{i % 3}"], ["s"]) for i in range(6)], columns)
+    for found in (matcher.pairs(people, often=1), matcher.band_counts(people, often=6)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        compared = [line for line in plan.splitlines() if "array_intersect(names_a" in line]
+        assert compared and all(line.count("array_intersect(names_a") == 1 for line in compared)
+    assert matcher.pairs(people, often=1).count() == 15
